@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup
+from . import linededup, urls, vectors, warc
 from .bpe import bpe_digest, default_path
 from .common import table
 from .mixing import mix
@@ -18,12 +18,24 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("purity")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = mix(table(spark, sf_dir, "documents"))
     rows = units.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return rows.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.exact_topk(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -33,6 +45,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe_digest(docs["text"], default_path(), spark).alias("x")).select("doc_id", "x.*")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
@@ -46,6 +62,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_mixing, op6_simhash, op7_bpe, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest, op3_url_filter, op4_mixing, op5_exact_topk, op6_simhash, op7_bpe, op9_warc, op10_toxicity, pipeline)}
 
-ORACLES = {"op1_line_dedup": linededup.ORACLE}
+ORACLES = {"op1_line_dedup": linededup.ORACLE, "op3_url_filter": urls.oracle(), "op5_exact_topk": vectors.TOPK_ORACLE, "op9_warc": warc.ORACLE}
