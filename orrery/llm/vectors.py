@@ -163,7 +163,7 @@ def scan(query: np.ndarray, turned: np.ndarray, held: np.ndarray, held_turned: n
     return kept
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", max_sample: int = 20_000, max_lists: int = 1024, probe_share: float = 0.25, probe_least: int = 2000, block: int = 16, error: float = 2.1, cell_rows: int = CELL_ROWS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", max_sample: int = 20_000, max_lists: int = 1024, probe_share: float = 0.6, probe_least: int = 2000, block: int = 16, error: float = 2.1, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` (Euclidean distance on the original vectors): for each id divisible by ``every``, the k
     nearest rows found. Centres of lists are fitted on at most ``max_sample`` rows (those of the least hash of their id); every row is
     in a list. A query probes lists, nearest centre first, until they hold ``probe_share`` of all rows and ``probe_least`` rows."""
