@@ -9,6 +9,7 @@ from . import linededup, urls, vectors, warc
 from .bpe import bpe_digest, default_path
 from .common import table
 from .mixing import mix
+from .suffixdedup import suffix_dedup
 from .simhash import simhash_components
 from .toxicity import fit, held_out, toxicity
 
@@ -45,6 +46,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe_digest(docs["text"], default_path(), spark).alias("x")).select("doc_id", "x.*")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -62,6 +67,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest, op3_url_filter, op4_mixing, op5_exact_topk, op6_simhash, op7_bpe, op9_warc, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest, op3_url_filter, op4_mixing, op5_exact_topk, op6_simhash, op7_bpe, op8_suffix_dedup, op9_warc, op10_toxicity, pipeline)}
 
 ORACLES = {"op1_line_dedup": linededup.ORACLE, "op3_url_filter": urls.oracle(), "op5_exact_topk": vectors.TOPK_ORACLE, "op9_warc": warc.ORACLE}
