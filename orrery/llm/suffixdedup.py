@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import arrow_bounds, materialize
 from .induced import repeated_windows, window_codes
 
-WIDTH, GRAM, SEGMENT, SHARD_BYTES, SEEN = 200, 32, 1 << 22, 12 << 20, 1 << 18
+WIDTH, GRAM, SEGMENT, SHARD_BYTES, SEEN, OUT_BYTES = 200, 32, 1 << 22, 3 << 20, 1 << 18, 4 << 20
 
 
 def slide(values: np.ndarray, span: int, least: bool) -> np.ndarray:
@@ -113,10 +113,10 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for b, x, y in zip(frame["body"], frame["f1"], frame["f2"], strict=True):
-                code, place = anchors(b, width, gram)
-                if len(code):
-                    yield pd.DataFrame({"anchor": code.view(np.int64), "f1": x, "f2": y, "place": place})
+            if len(frame):
+                codes, places = zip(*(anchors(b, width, gram) for b in frame["body"]), strict=True)
+                row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+                yield pd.DataFrame({"anchor": np.concatenate(codes).view(np.int64), "f1": frame["f1"].to_numpy()[row], "f2": frame["f2"].to_numpy()[row], "place": np.concatenate(places)})
 
     long_ = rows.filter(F.octet_length("body") >= width)
     found = materialize(long_.select("body", "f1", "f2").mapInPandas(find, "anchor long, f1 long, f2 long, place long"), "anchors")
@@ -131,9 +131,10 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
+        names = ["h1", "h2", "f1", "f2", "start", "n", "anchor", "piece"]
         for frame in frames:
+            out, held = [], 0
             for b, x, y, want in zip(frame["body"], frame["f1"], frame["f2"], frame["wanted"], strict=True):
-                out = []
                 for anchor, start, n in pieces(b, np.sort(np.asarray(want, np.int64).view(np.uint64)), width, gram):
                     piece = b[start : start + n + width - 1]
                     code = xxhash.xxh3_128_intdigest(piece)
@@ -145,8 +146,12 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                             seen.clear()
                         seen.add(name)
                     out.append((*name, x, y, start, n, anchor - 2**63, piece if new else None))
-                if out:
-                    yield pd.DataFrame(out, columns=["h1", "h2", "f1", "f2", "start", "n", "anchor", "piece"])
+                    held += 200 + len(piece) * new
+                    if held > OUT_BYTES:
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     cut = texts.filter("wanted is not null").select("body", "f1", "f2", "wanted")
     cut = materialize(cut.mapInPandas(split, "h1 long, h2 long, f1 long, f2 long, start long, n long, anchor long, piece binary"), "pieces")
