@@ -87,10 +87,12 @@ class Scorer:
         return {"weights": self.weights, "bias": self.bias, "known": {}}
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25, trust: float = 0.97) -> np.ndarray:
+def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25, trust: float = 0.99) -> np.ndarray:
     """Posterior of class 1 for each row. votes: rows x voters in {-1, 0, 1}; gold: the given labels, which vote with accuracy ``trust``
     at first, and then with the accuracy that the rounds find. Correlations: both classes share the covariance of the votes around
-    their class means, and a row's log odds are the linear discriminant under it."""
+    their class means, and a row's log odds are the linear discriminant under it. Where all voters abstain, that is no evidence: the prior and
+    the given label decide."""
+    silent = ~(votes > 0).any(1)
     votes = votes[:, votes.std(0) > 0]
     post, accuracy = np.where(gold == 1, trust, 1 - trust), trust
     for _ in range(rounds if votes.shape[1] else 0):
@@ -101,9 +103,10 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25, trust: fl
         cov += np.eye(votes.shape[1]) * (0.02 + 1.0 / len(votes))
         w = np.linalg.solve(cov, one - zero)
         odds = (votes - (one + zero) / 2) @ w + math.log(prior / (1 - prior))
+        odds[silent] = math.log(prior / (1 - prior))
         own = math.log(accuracy / (1 - accuracy))
         new = 1 / (1 + np.exp(-np.clip(odds + np.where(gold == 1, own, -own), -30, 30)))
-        accuracy = float(np.clip(np.where(gold == 1, new, 1 - new).mean(), 0.8, 0.995))
+        accuracy = float(np.clip(np.where(gold == 1, new, 1 - new).mean(), 0.95, 0.999))
         if np.abs(new - post).max() < 1e-4:
             return new
         post = new
@@ -126,6 +129,23 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 2e-3)
     return w, float(bias)
 
 
+def calibrate(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset that turn the classifier's log odds, flattened by its ridge, into those of the labels (Platt scaling with
+    smoothed labels)."""
+    ones, zeros = y.sum(), len(y) - y.sum()
+    goal = np.where(y > 0.5, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    ab, x = np.array([1.0, 0.0]), np.stack([z, np.ones(len(z))], 1)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
+        slope = x.T @ (p - goal)
+        curve = x.T @ (x * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        ab = ab - step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-6:
+            break
+    return (float(ab[0]), float(ab[1])) if ab[0] > 0 and np.isfinite(ab).all() else (1.0, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", max_labelled: int = 6000, max_features: int = 1500) -> Scorer:
     """Learns from labels whose id's ``crc32`` leaves a remainder other than 0 by 5, at most ``max_labelled`` of them."""
     spark = docs.sparkSession
@@ -159,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     every, n, k = float(n0 + n1), F.col("n"), F.col("k")
     g = sum(part(o, e) for o, e in ((k, n * n1 / every), (n - k, n * n0 / every), (n1 - k, (every - n) * n1 / every), (n0 - n + k, (every - n) * n0 / every)))
-    best = sums.filter(f"n >= 3 and n < {every}").withColumn("g", g).filter("g > 8").orderBy(F.desc("g"), "f").limit(max_features).collect()
+    best = sums.filter(f"n >= 3 and n < {every}").withColumn("g", g).filter("g > 5").orderBy(F.desc("g"), "f").limit(max_features).collect()
     rising = [r["f"] for r in best if r["k"] * n0 > (r["n"] - r["k"]) * n1]
     place = {number(r["f"]): i for i, r in enumerate(best)}
     lists = [frozenset(number(f) for f in rising[i::STRIPES] if (f[0] == "=") == own) for own in (True, False) for i in range(STRIPES)]
@@ -181,8 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     gold = (seen["y"].to_numpy() == 1).astype(int)
     post = label_model(np.array(seen["votes"].tolist(), np.float64), gold)
     w, bias = train(x, post)
-    weights = {at: float(w[i]) for at, i in place.items() if w[i]}
-    return Scorer(weights, bias)
+    slope, offset = calibrate(x @ w + bias, post)
+    return Scorer({at: slope * float(w[i]) for at, i in place.items() if w[i]}, slope * bias + offset)
 
 
 def held_out(doc_id: Column) -> Column:
