@@ -118,7 +118,12 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 2e-3)
     n, d = x.shape
     w, v, bias = np.zeros(d, np.float64), np.zeros(d, np.float64), math.log(np.clip(y.mean(), 1e-3, 0.999) / (1 - np.clip(y.mean(), 1e-3, 0.999)))
     look, mean = bias, bias
-    lipschitz = 0.25 * (np.linalg.norm(x, 2) ** 2 / n if min(n, d) else 0) + 0.25 + ridge
+    turn, largest = np.ones(d) / max(1, d) ** 0.5, 0.0
+    for _ in range(30 if min(n, d) else 0):  # power iteration
+        turn = x.T @ (x @ turn)
+        largest = float(np.linalg.norm(turn))
+        turn = turn / max(largest, 1e-12)
+    lipschitz = 0.25 * 1.05 * largest / n + 0.25 + ridge
     for k in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ v + look, -30, 30)))
         gap = (p - y) / n

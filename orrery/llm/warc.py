@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bounds, materialize, scratch
+from .common import arrow_bounds, materialize, partitions, scratch
 
 MAGIC = b"\x1f\x8b\x08"
 HEAD, CHUNK, ARCHIVE_BYTES = 512, 1 << 20, 256 << 20
@@ -157,12 +157,13 @@ def records_in(source, size: int, start: int, end: int) -> Iterator[bytes]:
         at = next_
 
 
-def read(archives: DataFrame, split_bytes: int = 32 << 20) -> DataFrame:
+def read(archives: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
     """archives: ``path``, ``bytes``. Returns the columns of ``RECORD``, payload null for revisits."""
     arrow_bounds(archives.sparkSession)
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     ranges = archives.filter("bytes > 0").select("path", "bytes", F.explode(starts).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # A number given keeps adaptive execution from putting many ranges, small as rows, into one task.
+    ranges = ranges.repartition(partitions(archives.sparkSession), F.col("path"), F.col("start"))
 
     def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, rows, held = [c.split()[0] for c in RECORD.split(", ")], [], 0
@@ -183,7 +184,7 @@ def read(archives: DataFrame, split_bytes: int = 32 << 20) -> DataFrame:
     return ranges.mapInPandas(records, RECORD)
 
 
-def round_trip(spark: SparkSession, pages: DataFrame, split_bytes: int = 32 << 20) -> DataFrame:
+def round_trip(spark: SparkSession, pages: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
     """Writes the pages' archives and reads them back: the records' columns without the payload."""
     archives = write(classify(pages), scratch(spark, "warc"))
     return read(archives, split_bytes).drop("payload")
