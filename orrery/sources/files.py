@@ -35,7 +35,8 @@ def skip_reason(path: Column, size: Column, binary: Column, max_bytes: int) -> C
 
 def scan(spark: SparkSession, root: str, max_files: int = 1500, max_bytes: int = 200 << 10) -> tuple[DataFrame, DataFrame]:
     """Files below a root, by any path that Spark reads, and the skipped ones with a reason. Of the accepted ones the first ``max_files``
-    by path are kept; the others are skipped as over the limit."""
+    by path are kept; the others are skipped as over the limit. Spark's reader itself leaves out hidden files (``.env`` among them) and
+    empty ones, so these are in neither table."""
     base = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = "/" + root.split("://", 1)[-1].split(":", 1)[-1].strip("/") + "/"
