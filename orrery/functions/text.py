@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ SECRETS = [
 ]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row; the optimizer would inline a plain column at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """Runs of white space become one space; none is left at the ends."""
     return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
@@ -50,17 +57,19 @@ def token_list(text: str, least: int = 3) -> list[str]:
 def fixed_chunks(text: Column, size: int, overlap: int) -> Column:
     """Array of (start, chunk, start_line, end_line): overlapping slices of the trimmed text, with line numbers from 1. None for
     blank texts."""
-    body = F.trim(F.regexp_replace(text, "\r\n", "\n"))
     step = size - overlap
-    last = F.greatest(F.length(body) - overlap - 1, F.lit(0))
     lines = lambda t: F.regexp_count(t, F.lit("\n"))
 
-    def cut(start: Column) -> Column:
-        chunk = F.substring(body, start + 1, F.lit(size))
-        first = lines(F.substring(body, F.lit(1), start)) + 1
-        return F.struct(start.alias("start"), chunk.alias("chunk"), first.alias("start_line"), (first + lines(chunk)).alias("end_line"))
+    def chunks(body: Column) -> Column:
+        def cut(start: Column) -> Column:
+            chunk = F.substring(body, start + 1, F.lit(size))
+            first = lines(F.substring(body, F.lit(1), start)) + 1
+            return F.struct(start.alias("start"), chunk.alias("chunk"), first.alias("start_line"), (first + lines(chunk)).alias("end_line"))
+
+        last = F.greatest(F.length(body) - overlap - 1, F.lit(0))
+        return F.when(F.coalesce(F.length(body), F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), cut))
 
-    return F.when(F.coalesce(F.length(body), F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), cut))
+    return let(F.trim(F.regexp_replace(text, "\r\n", "\n")), chunks)
 
 
 def preview_chunks(text: Column, size: int = 900, most: int = 6) -> Column:

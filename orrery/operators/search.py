@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import preview, token_list, tokens
+from ..functions.text import let, preview, token_list, tokens
 
 
 def keyword_score(path: Column, body: Column, terms: list[str]) -> Column:
     """For each term 2.5 if it is a token of the path, else 1 if it is in the text; divided by the number of terms."""
-    own = tokens(path)
-    low = F.lower(body)
-    parts = [F.when(F.array_contains(own, t), 2.5).when(F.contains(low, F.lit(t)), 1.0).otherwise(0.0) for t in terms]
-    return sum(parts[1:], parts[0]) / len(terms) if parts else F.lit(0.0)
+    if not terms:
+        return F.lit(0.0)
+    one = lambda own, low, t: F.when(F.array_contains(own, t), 2.5).when(F.contains(low, F.lit(t)), 1.0).otherwise(0.0)
+    return let(tokens(path), lambda own: let(F.lower(body), lambda low: sum((one(own, low, t) for t in terms), F.lit(0.0)))) / len(terms)
 
 
 def keyword_topk(docs: DataFrame, query: str, k: int) -> DataFrame:
@@ -44,9 +44,8 @@ def boost(results: DataFrame, terms: list[str], query: str) -> DataFrame:
     .04; importance adds .06 of itself; tests lose .12 unless asked for. Of each path and symbol the best positive row stays."""
     path, symbol = F.lower("path"), F.lower(F.coalesce("symbol", F.lit("")))
     hay = F.lower(F.concat_ws(" ", "path", "symbol", "kind", preview(F.col("body"))))
-    score = F.col("score")
-    for t in terms:
-        score = score + F.when(F.contains(path, F.lit(t)), 0.12).otherwise(0.0) + F.when(F.contains(symbol, F.lit(t)), 0.10).otherwise(0.0) + F.when(F.contains(hay, F.lit(t)), 0.04).otherwise(0.0)
+    plus = lambda text, x: let(text, lambda own: sum((F.when(F.contains(own, F.lit(t)), x).otherwise(0.0) for t in terms), F.lit(0.0)))
+    score = F.col("score") + plus(path, 0.12) + plus(symbol, 0.10) + plus(hay, 0.04)
     score = score + F.lit(0.06) * F.round(F.coalesce("importance", F.lit(0.0)), 3)
     if "test" not in query.lower() and "spec" not in query.lower():
         score = score - F.when(F.contains(path, F.lit("test")) | F.contains(path, F.lit("spec")), 0.12).otherwise(0.0)
