@@ -79,3 +79,35 @@ def usage(events: DataFrame, action: str, before: str, after: str) -> DataFrame:
     sums = events.groupBy(F.col(action).alias("action")).agg(F.count("*").alias("n"), F.sum(before).alias("before"), F.sum(after).alias("after"))
     saved = F.greatest(F.lit(0.0), F.col("before") - F.col("after"))
     return sums.select("action", "n", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), F.round(saved, 4).alias("saved"), F.when(F.col("before") > 0, F.bround(100 * saved / F.col("before"), 2)).otherwise(0.0).alias("percent"))
+
+
+def saved_tokens(files: Column, before: Column, after: Column, improved_longer: Column) -> Column:
+    """Tokens that a better prompt saves downstream, 150 at least."""
+    gain = 180 * files + F.when(improved_longer, 220).otherwise(120) + F.when(before < 25, 650).otherwise(320)
+    return F.greatest(F.lit(150), gain - F.greatest(F.lit(0), after - before)).cast("int")
+
+
+def reduction_percent(before: Column, after: Column) -> Column:
+    return F.when(before > 0, F.greatest(F.lit(0.0), F.bround((1 - after / before) * 100, 0))).otherwise(0.0).cast("int")
+
+
+def missing_context(task: Column, low: Column, words: Column, found: Column) -> Column:
+    """What a prompt should say but doesn't. found: how many files it matched."""
+    picture = contains_any(low, ["image", "screenshot", "match the"])
+    return F.array_compact(
+        F.array(
+            F.when(found == 0, "target file"),
+            F.when((task == "Ui") & picture, "reference image"),
+            F.when((task == "Ui") & ~picture & (found == 0), "component or page"),
+            F.when(task.isin("Bugfix", "Debug") & ~contains_any(low, ["error", "expected"]), "exact error"),
+            F.when((task == "Feature") & (words < 8), "acceptance criteria"),
+        )
+    )
+
+
+def payload(results: DataFrame, most: int = 5, size: int = 700) -> DataFrame:
+    """results: ``id``, ``path``, ``score``, ``body``. One row ``json``: the best results with trimmed bodies."""
+    top = results.orderBy(F.desc("score"), "id").limit(most)
+    rows = top.select(F.struct((-F.col("score")).alias("order"), "id", "path", F.substring("body", 1, size).alias("body")).alias("r"))
+    listed = rows.agg(F.sort_array(F.collect_list("r")).alias("r"))
+    return listed.select(F.to_json(F.transform("r", lambda r: F.struct(r["id"].alias("id"), r["path"].alias("path"), r["body"].alias("body")))).alias("json"))

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import code as C
 from ..functions import files as P
 from ..functions import text as X
 from ..functions import words as W
+from ..functions import wordpiece as WP
 from ..operators import graph as G
+from ..operators import project as J
 from ..operators import prompts as T
 from ..operators import search as R
 from ..operators import spelling as S
@@ -504,3 +507,106 @@ def usage_rollup(spark, sf_dir):
 def latest_session(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("last"))
     return rows.select("user_id", "last.event_id", "last.event_type")
+
+
+# --- project --------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT folder, count(*) AS files FROM (SELECT source AS folder FROM documents UNION ALL SELECT source || '/' || lang FROM documents) GROUP BY 1")
+def folder_tree(spark, sf_dir):
+    return J.folder_tree(documents(spark, sf_dir))
+
+
+@query("SELECT source AS folder, count(*) AS files FROM documents GROUP BY 1 ORDER BY files DESC, folder LIMIT 12")
+def folder_legend(spark, sf_dir):
+    return J.legend(documents(spark, sf_dir))
+
+
+@query("SELECT source || '/' || lang AS folder, count(*) AS files, max(n_chars) AS longest FROM documents GROUP BY 1")
+def top_folders(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy(C.top_folder(F.col("path")).alias("folder")).agg(F.count("*").alias("files"), F.max("n_chars").alias("longest"))
+
+
+URL_PATH = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]*/([^?#]*)', 1)"
+
+
+@query(f"""WITH f AS (SELECT page_id, {URL_PATH} AS path FROM pages), s AS (SELECT path, lower(regexp_replace(regexp_replace(path, '\\.[^.]*$', ''), '/index$', '')) AS stem FROM f),
+ t AS (SELECT stem, min(path) AS b FROM s GROUP BY 1)
+ SELECT DISTINCT a, b FROM (SELECT path AS a, lower(regexp_replace(regexp_extract(path, '^(.*/)', 1) || (page_id + 1), '\\.[^.]*$', '')) AS stem FROM f) JOIN t USING (stem) WHERE a <> b""")
+def import_resolution(spark, sf_dir):
+    """Pages stand in for files; each imports the page of the next id in its folder."""
+    path = F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*/([^?#]*)", 1)
+    rows = table(spark, sf_dir, "pages").select(path.alias("path"), F.concat(F.lit("./"), (F.col("page_id") + 1).cast("string")).alias("target"))
+    return J.resolve_imports(rows, rows.select("path"))
+
+
+@query("""SELECT DISTINCT a, b FROM (SELECT conv_id AS a, lower(w) AS k FROM (SELECT conv_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{7,}')) AS w FROM conversations WHERE role = 'user')) JOIN
+ (SELECT conv_id AS b, lower(w) AS k FROM (SELECT conv_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{7,}')) AS w FROM conversations WHERE role <> 'user')) USING (k) WHERE a <> b""")
+def cross_file_calls(spark, sf_dir):
+    """Conversations stand in for files: long capitalised words of users are calls, those of others symbols."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), "role", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{7,})"), F.lit(1))).alias("label"))
+    return J.cross_calls(rows.filter("role = 'user'"), rows.filter("role <> 'user'"))
+
+
+@query(" UNION ALL ".join(f"SELECT conv_id, turn, '{k}' AS intent FROM conversations WHERE role = 'user' AND {X.sql_contains_any('lower(text)', v)}" for k, v in J.INTENTS.items()))
+def query_intents(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    return rows.select("conv_id", "turn", F.explode(J.query_intents(F.col("text"))).alias("intent"))
+
+
+@query(f"""SELECT id, round(score, 6) AS score FROM (SELECT doc_id AS id, 0.5 + CASE WHEN doc_id % 3 = 0 THEN 0.14 ELSE 0 END + CASE WHEN doc_id % 3 = 1 THEN 0.14 ELSE 0 END AS score FROM documents)""")
+def intent_boost(spark, sf_dir):
+    role = F.when(F.col("doc_id") % 3 == 0, "Config").when(F.col("doc_id") % 3 == 1, "Api").otherwise("Docs")
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), role.alias("role"), F.lit("text").alias("kind"), F.lit(0.5).alias("score"))
+    return J.intent_boost(rows, "configure the endpoint").select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH r AS (SELECT path, 0.5 AS score FROM ({WAS})), m AS (SELECT path FROM ({NOW}))
+ SELECT path, round(score + CASE WHEN path IN (SELECT path FROM m) THEN 0.08 ELSE 0 END, 6) AS score FROM r UNION ALL SELECT path, 0.62 FROM m WHERE path NOT IN (SELECT path FROM r)""")
+def hub_merge(spark, sf_dir):
+    now, was = versions(spark, sf_dir)
+    out = J.append_missing(was.select("path", F.lit(0.5).alias("score")), now.select("path"), 0.08, F.lit(0.62))
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT coalesce(i.root, s.root) AS root, coalesce(s.name, i.name) AS name, coalesce(s.ts, i.ts) AS ts, s.ts IS NOT NULL AS active FROM (SELECT c_custkey AS root, c_name AS name, 0 AS ts FROM customer WHERE c_custkey % 3 <> 0) i
+ FULL JOIN (SELECT o_custkey AS root, max(o_orderpriority) AS name, max(o_orderkey) AS ts FROM orders GROUP BY 1) s ON i.root = s.root""")
+def project_sessions(spark, sf_dir):
+    indexed = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("root"), F.col("c_name").alias("name"), F.lit(0).cast("long").alias("ts"))
+    last = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("root")).agg(F.max("o_orderpriority").alias("name"), F.max("o_orderkey").alias("ts"))
+    return J.projects(indexed, last)
+
+
+@query(f"SELECT doc_id, CAST(greatest(150, 180 * (doc_id % 4) + CASE WHEN b > 1.1 * a THEN 220 ELSE 120 END + CASE WHEN a < 25 THEN 650 ELSE 320 END - greatest(0, b - a)) AS INT) AS saved, CAST(CASE WHEN a > 0 THEN greatest(0, round_even((1 - b / CAST(a AS DOUBLE)) * 100, 0)) ELSE 0 END AS INT) AS percent FROM (SELECT doc_id, CASE WHEN coalesce({FLAT}, '') = '' THEN 0 ELSE greatest(1, round_even(len(text) / 4.0, 0)) END AS a, greatest(1, round_even(len({FLAT}) / 4.0, 0)) AS b FROM documents WHERE {FLAT} <> '')")
+def savings_estimate(spark, sf_dir):
+    rows = documents(spark, sf_dir).filter(~X.blank(F.col("text"))).select("doc_id", X.token_estimate(F.col("text")).alias("a"), X.token_estimate(X.clean(F.col("text"))).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return rows.select("doc_id", T.saved_tokens((F.col("doc_id") % 4).cast("int"), a, b, b > 1.1 * a).alias("saved"), T.reduction_percent(a, b).alias("percent"))
+
+
+@query()
+def missing_context(spark, sf_dir):
+    low = F.lower(X.clean(F.coalesce("text", F.lit(""))))
+    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", low.alias("low"))
+    return rows.select("conv_id", "turn", F.array_join(T.missing_context(T.task_type(F.col("low")), F.col("low"), F.size(F.split("low", " ")), F.lit(0)), "; ").alias("missing"))
+
+
+@query()
+def writer_payload(spark, sf_dir):
+    return T.payload(R.boost(results(spark, sf_dir), TERMS, QUERY))
+
+
+@query()
+def wordpiece_ids(spark, sf_dir):
+    """The vocabulary is made of the most frequent words and of letters, as pieces."""
+    words = S.dictionary(documents(spark, sf_dir)).orderBy(F.desc("freq"), "word").limit(2000).collect()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["[UNK]", "[CLS]", "[SEP]", *(r["word"] for r in words), *letters, *(f"##{c}" for c in letters)]
+    vocabulary = {t: i for i, t in enumerate(dict.fromkeys(names))}
+    return documents(spark, sf_dir).select("doc_id", WP.wordpiece(F.col("text"), vocabulary).alias("ids"))
+
+
+@query()
+def code_inspection(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", C.inspect(F.col("html")).alias("c"))
+    return rows.select("page_id", F.array_join("c.imports", ",").alias("imports"), F.array_join("c.exports", ",").alias("exports"), F.array_join("c.symbols", ",").alias("symbols"))

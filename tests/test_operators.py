@@ -117,3 +117,25 @@ def test_sync_and_sources(spark, tmp_path):
     append_history(spark.sql("select timestamp'2024-01-01 00:00:00' as timestamp, 'a' as original"), log)
     append_history(spark.sql("select timestamp'2024-01-02 00:00:00' as timestamp, 'b' as original"), log)
     assert [r["original"] for r in read_history(spark, log).collect()] == ["b", "a"]
+
+
+def test_code_functions(spark):
+    from orrery.functions import code as C
+    from orrery.functions import wordpiece as WP
+    from orrery.operators import project as J
+
+    body = "import a from './x'\nconst y = require('z')\nexport class Foo {}\nfunction bar(a) {}\n  # TODO: fix me\n// plain\n"
+    got = one(spark, C.inspect(F.lit(body)))
+    assert got["imports"] == ["./x", "z"] and got["exports"] == ["Foo"] and set(got["symbols"]) == {"y", "bar", "Foo"}
+    assert [tuple(r) for r in one(spark, C.rationale(F.lit(body)))] == [(5, "TODO", "fix me")]
+    assert [tuple(r) for r in one(spark, C.sections(F.lit("lead\n# One two\nbody\n## Three\nmore")))] == [("One", 2, "# One two\nbody"), ("Three", 4, "## Three\nmore")]
+    assert one(spark, C.resolve(F.lit("a/b/c.ts"), F.lit("../../../x/./y"))) == "x/y"
+    assert one(spark, C.strip_extension(F.lit("a/b/index.ts"))) == "a/b"
+    files = spark.createDataFrame([("src/a.ts",), ("src/b/index.ts",), ("src/b.ts",)], "path string")
+    imports = spark.createDataFrame([("src/a.ts", "./b"), ("src/a.ts", "react"), ("src/a.ts", "./a")], "path string, target string")
+    assert [tuple(r) for r in J.resolve_imports(imports, files).collect()] == [("src/a.ts", "src/b.ts")]
+    points = J.entry_points(spark.createDataFrame([("x/Program.cs", 1.0), ("y/main.go", None), ("z.txt", 1.0)], "path string, importance double")).collect()
+    assert [(r["path"], r["kind"], round(r["score"], 2)) for r in points] == [("x/Program.cs", "dotnet-main", 1.05), ("y/main.go", "go-main", 0.96)]
+    vocabulary = {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "hello", "world", "wor", "##ld"])}
+    assert WP.encode("Héllo wörld!", vocabulary) == [2, 4, 5, 1, 3] and WP.encode(None, vocabulary) == [2, 3]
+    assert J.intents("Configure the API") == ["config", "api"]
