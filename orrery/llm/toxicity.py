@@ -33,6 +33,8 @@ from .common import arrow_bounds, materialize
 INSULTS = frozenset("idiot idiots moron morons stupid dumb fool fools loser losers trash garbage scum pathetic worthless disgusting clown clowns jerk filthy vermin imbecile cretin".split())
 WORD = re.compile(r"[^\W\d_]+")
 RUNS = (4, 5, 6)
+#: So many different words of one beginning are a feature of their own.
+TIMES = (2, 3, 4, 6)
 STRIPES = 6
 
 
@@ -42,6 +44,14 @@ def features_of(word: str) -> list[str]:
     return [f"={word}", *dict.fromkeys(marked[i : i + n] for n in RUNS for i in range(len(marked) - n + 1))]
 
 
+def text_features(text: str | None) -> set[str]:
+    """Features of all words, and beginnings that several different words share: ``2^abc`` and so on."""
+    seen: Counter = Counter()
+    for w in words_of(text):
+        seen.update(features_of(w))
+    return set(seen) | {f"{k}{f}" for f, n in seen.items() if n > 1 and f[0] == "^" for k in TIMES if n >= k}
+
+
 def number(feature: str) -> int:
     return zlib.crc32(feature.encode())
 
@@ -63,28 +73,35 @@ class Scorer:
 
     weights: dict[int, float]
     bias: float
+    #: Of a beginning's number, the features of several words that share it.
+    shared: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
     def hits(self, text: str | None) -> set[int]:
         found: set[int] = set()
-        known, weights = self.known, self.weights
+        many: Counter = Counter()
+        known, weights, shared = self.known, self.weights, self.shared
         if len(known) > 400_000:
             known.clear()
         for w in words_of(text):
             if (at := known.get(w)) is None:
-                at = tuple(x for f in features_of(w) if (x := number(f)) in weights)
+                at = tuple(x for f in features_of(w) if (x := number(f)) in weights or x in shared)
                 if len(w) <= 40:
                     known[w] = at
             if at:
                 found.update(at)
+                many.update(at)
+        for x, n in many.items():
+            if n > 1 and x in shared:
+                found.update(y for k, y in shared[x] if n >= k)
         return found
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(self.weights[x] for x in self.hits(text))
+        z = self.bias + sum(self.weights.get(x, 0.0) for x in self.hits(text))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
     def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "known": {}}
+        return {"weights": self.weights, "bias": self.bias, "shared": self.shared, "known": {}}
 
 
 def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25, trust: float = 0.99) -> np.ndarray:
@@ -170,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         ones, alls = Counter(), Counter()
         for frame in frames:
             for t, y in zip(frame["text"], frame["toxic"], strict=True):
-                seen = {f for w in words_of(t) for f in features_of(w)}
+                seen = text_features(t)
                 alls.update(seen)
                 if y == 1:
                     ones.update(seen)
@@ -190,7 +207,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     lists = [frozenset(number(f) for f in rising[i::STRIPES] if (f[0] == "=") == own) for own in (True, False) for i in range(STRIPES)]
     lists += [frozenset(number(f"={w}") for w in INSULTS)]
     named = frozenset().union(*lists) | frozenset(place)
-    probe = Scorer(dict.fromkeys(named, 0.0), 0.0)
+    shared: dict[int, list[tuple[int, int]]] = {}
+    for f in (r["f"] for r in best if r["f"][0].isdigit()):
+        shared.setdefault(number(f[1:]), []).append((int(f[0]), number(f)))
+    probe = Scorer(dict.fromkeys(named, 0.0), 0.0, shared)
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -207,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     post = label_model(np.array(seen["votes"].tolist(), np.float64), gold)
     w, bias = train(x, post)
     slope, offset = calibrate(x @ w + bias, post)
-    return Scorer({at: slope * float(w[i]) for at, i in place.items() if w[i]}, slope * bias + offset)
+    return Scorer({at: slope * float(w[i]) for at, i in place.items() if w[i]}, slope * bias + offset, shared)
 
 
 def held_out(doc_id: Column) -> Column:
