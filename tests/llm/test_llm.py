@@ -331,6 +331,14 @@ def test_matches_sql(spark, name):
     assert sorted(map(str, (tuple(r[c] for c in at) for r in df.collect()))) == sorted(map(str, found.fetchall()))
 
 
+def test_near_stage_keeps_one_of_each_group(spark, rows):
+    docs = docs_of(spark, [*rows, rows[8], (None, rows[8][1], "z")])
+    kept = drop_near(spark, docs, SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({r["component_id"] for r in simhash.simhash_components(docs).collect()})
+    alone = docs_of(spark, [(None, "one two three four", "a"), (None, "one two three four", "b")])
+    assert drop_near(spark, alone, SF).count() == 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
