@@ -72,10 +72,11 @@ def reorder(prints: np.ndarray, order: list[int]) -> np.ndarray:
     return out
 
 
-def trie_join(left: np.ndarray, right: np.ndarray, budget: int, depth: int, same: bool, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_join(left: np.ndarray, right: np.ndarray, budget: int, depth: int, same: bool, most: int = 1 << 17, bucket: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (into left and right, both sorted and distinct) within the budget. Their first ``depth`` bits are walked too, as
     ranges that don't split. same: both are one array, each pair comes once. most: node pairs walked at a time; the rest waits on a
-    stack, so memory stays bounded."""
+    stack, so memory stays bounded. bucket: nodes of so many rows at most are leaves, whose rows are compared one by one; with it,
+    fingerprints may repeat."""
     if not len(left) or not len(right):
         return
     first = bin(int(left[0] ^ right[0]) >> (64 - depth)).count("1") if depth else 0
@@ -86,6 +87,18 @@ def trie_join(left: np.ndarray, right: np.ndarray, budget: int, depth: int, same
             half = len(pairs) // 2
             stack += [(pairs[:half], level), (pairs[half:], level)]
             continue
+        if bucket:
+            small = ((pairs[:, 1] - pairs[:, 0] <= bucket) & (pairs[:, 3] - pairs[:, 2] <= bucket)) | (level == 64)
+            for x0, x1, y0, y1, _ in pairs[small].tolist():
+                for at in range(x0, x1, 4 * bucket):
+                    for to in range(y0, y1, 4 * bucket):
+                        i, j = np.nonzero(np.bitwise_count(left[at : min(x1, at + 4 * bucket), None] ^ right[None, to : min(y1, to + 4 * bucket)]) <= budget)
+                        i, j = i + at, j + to
+                        keep = i < j if same and x0 == y0 else slice(None)
+                        yield i[keep], j[keep]
+            pairs = pairs[~small]
+            if not len(pairs):
+                continue
         a0, a1, b0, b1, err = pairs.T
         if level == 64:
             yield a0, b0

@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from orrery.llm import induced, linededup, mixing, queries, simhash, suffixdedup, toxicity, urls, vectors, warc
+from orrery.llm import induced, linededup, mixing, neardup, queries, simhash, suffixdedup, toxicity, urls, vectors, warc
 from orrery.llm.bpe import Encoder, bpe_decode, bpe_digest, bpe_encode, default_path
 from orrery.llm.stages import drop_lines, drop_near, drop_toxic, mix_sources, tokenize
 
@@ -331,14 +331,73 @@ def test_matches_sql(spark, name):
     assert sorted(map(str, (tuple(r[c] for c in at) for r in df.collect()))) == sorted(map(str, found.fetchall()))
 
 
+def shingle_sets(texts, n=5):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    return [frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset() for w in words]
+
+
+def near_components(rows, least=0.8):
+    """Smallest id that pairs of Jaccard similarity ``least`` reach, for each (id, text)."""
+    sets = shingle_sets([t for _, t in rows])
+    distinct = list(dict.fromkeys(sets))
+    root = {s: s for s in distinct}
+
+    def find(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    for i, x in enumerate(distinct):
+        for y in distinct[:i]:
+            if len(x & y) >= least * len(x | y) > 0:
+                root[find(x)] = find(y)
+    best = {}
+    for (i, _), s in zip(rows, sets, strict=True):
+        best[find(s)] = min(x for x in (best.get(find(s)), i) if x is not None) if i is not None else best.get(find(s))
+    return [best[find(s)] for s in sets]
+
+
 def test_near_stage_keeps_one_of_each_group(spark, rows):
     docs = docs_of(spark, [*rows, rows[8], (None, rows[8][1], "z")])
     kept = drop_near(spark, docs, SF).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted({r["component_id"] for r in simhash.simhash_components(docs).collect()})
+    reps = near_components([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(reps))
     alone = docs_of(spark, [(None, "one two three four", "a"), (None, "one two three four", "b")])
     assert drop_near(spark, alone, SF).count() == 1
 
 
+@pytest.mark.parametrize("leaf", [16, 4096])
+def test_near_groups_against_all_pairs(spark, leaf):
+    """Copies with edits, clean texts and one group of a third of all rows; leaf 16 makes many tries, cells and blocks."""
+    rng = random.Random(leaf)
+    text = lambda: [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 200))]
+
+    def edited(words):
+        return [f"e{rng.random()}" if rng.random() < 0.01 else w for w in words]
+
+    hot = text()
+    data = [edited(hot) for _ in range(100)] + [w for _ in range(40) for base in [text()] for w in (base, edited(base))] + [text() for _ in range(120)]
+    rng.shuffle(data)
+    given = [(i, " ".join(w)) for i, w in enumerate(data)]
+    rows, best = neardup.near_groups(spark.createDataFrame(given, "doc_id long, text string"), leaf=leaf)
+    got = {r["doc_id"]: r["_best"] for r in rows.join(best, "_node").collect()}
+    want = near_components(given)
+    assert len(got) == len(given)
+    differ = sum(got[i] != w for (i, _), w in zip(given, want, strict=True))
+    assert differ <= 3 and all(want[got[i]] == w for (i, _), w in zip(given, want, strict=True))  # a link may be missed, none is made up
+
+
+def test_sketch_estimates_similarity():
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    other = [f"x{i}" if i % 40 == 0 else w for i, w in enumerate(base)]
+    x, y = shingle_sets([" ".join(base), " ".join(other)])
+    bits = [np.frombuffer(neardup.sketch(" ".join(w).encode()), np.uint64) for w in (base, other)]
+    assert abs(np.bitwise_count(bits[0] ^ bits[1]).sum() / 1024 - neardup.apart(len(x & y) / len(x | y))) < 0.04
+    assert neardup.sketch(None) == neardup.sketch(b" \n") == bytes(128)
+    assert neardup.sketch(b"A b") == neardup.sketch(b"a\tB") != neardup.sketch(b"a c")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -351,7 +410,7 @@ def test_pipeline(spark):
     assert clean.columns == lines.columns == near.columns == mixed.columns == docs.columns
     kept = {r["doc_id"]: r["text"] for r in linededup.line_dedup(clean).collect()}
     assert {r["doc_id"]: r["text"] for r in lines.collect()} == kept
-    reps = {r["component_id"] for r in simhash.simhash_components(lines).collect()}
+    reps = set(near_components([(r["doc_id"], r["text"]) for r in lines.collect()]))
     assert sorted(r["doc_id"] for r in near.collect()) == sorted(reps)
     own = Encoder(default_path())
     want = Counter((r["doc_id"], *own.digest(r["text"])) for r in mixed.collect())
