@@ -9,9 +9,10 @@ Below those levels, node pairs are walked together over 64 bits, differing bits
 dropped; what is left is held to the budget of the whole sketch, which tells the similarity with a standard error of 0.02. Pairs within
 2.5 standard errors of the least similarity are then decided by the Jaccard similarity of their shingles.
 
-Only distinct sketches enter, so groups of exact copies count once. A cell returns a spanning forest of its links, the sure ones before
-the others and the nearest first, so rows stay linear in the cell's rows. A prefix that holds a large share of a trie is dealt in blocks,
-every block against every other.
+Only distinct sketches enter, so groups of exact copies count once. A cell returns a spanning forest of its sure links, and the rows that have
+other pairs between what these connect. Those rows meet again with their shingles, in blocks bounded by shingles, and all their pairs are verified
+before they connect anything; a spanning forest of the verified ones is returned, so rows stay linear in the cell's rows and none hides another. A
+prefix that holds a large share of a trie is dealt in blocks, every block against every other.
 
 Cases: null and empty texts, and texts without words, have the zero sketch and are copies of each other; fewer words than a shingle make
 one shingle; null ids rank last; an empty table gives an empty result. Texts of any length are read whole, in steps.
@@ -59,7 +60,10 @@ def shingle_hashes(text: bytes | None, shingle: int = 5, seed: int = 42) -> np.n
 
 def sketch(text: bytes | None, shingle: int = 5, seed: int = 42) -> bytes:
     """SimHash of ``BITS`` bits over the different word shingles."""
-    hashes = shingle_hashes(text, shingle, seed)
+    return sketch_of(shingle_hashes(text, shingle, seed))
+
+
+def sketch_of(hashes: np.ndarray) -> bytes:
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), STEP):
         bits = np.unpackbits(spread(hashes[at : at + STEP, None] + SALTS).view(np.uint8), axis=1)
@@ -70,9 +74,10 @@ def sketch(text: bytes | None, shingle: int = 5, seed: int = 42) -> bytes:
 def sketches(docs: DataFrame, text: str = "text", shingle: int = 5, seed: int = 42) -> Column:
     arrow_bounds(docs.sparkSession)
 
-    @F.pandas_udf(T.BinaryType())
-    def made(texts: pd.Series) -> pd.Series:
-        return pd.Series([sketch(x, shingle, seed) for x in texts], dtype=object)
+    @F.pandas_udf("sketch binary, size long")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        hashes = [shingle_hashes(x, shingle, seed) for x in texts]
+        return pd.DataFrame({"sketch": pd.Series([sketch_of(h) for h in hashes], dtype=object), "size": pd.Series([len(h) for h in hashes], dtype=np.int64)})
 
     return made(docs[text].cast("binary"))
 
@@ -109,8 +114,8 @@ def tries(n: int, similarity: float, recall: float, leaf: int) -> tuple[int, np.
     return depth, np.array(chosen[:count]).reshape(count, depth)
 
 
-def spanning(data: np.ndarray, passes: list[tuple[Iterator[tuple[np.ndarray, np.ndarray]], int]], step: int = 1 << 16) -> list[tuple[int, int, int]]:
-    """A spanning forest of the pairs whose sketches differ in no more bits than their pass allows, with that number. Sketches are compared only for
+def spanning(data: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int, step: int = 1 << 16) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Root of each sketch under the pairs that differ in ``most`` bits at most, and a spanning forest of these pairs. Sketches are compared only for
     pairs that earlier ones don't connect."""
     root, edges = np.arange(len(data)), []
 
@@ -120,40 +125,37 @@ def spanning(data: np.ndarray, passes: list[tuple[Iterator[tuple[np.ndarray, np.
             i = root[i]
         return i
 
-    def batches(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs not yet connected, from many leaves together, so that the nearest come first."""
-        held, size = [], 0
-        for a, b in pairs:
-            for at in range(0, len(a), step):
-                x, y = a[at : at + step], b[at : at + step]
-                open_ = root[x] != root[y]
-                held.append((x[open_], y[open_]))
-                size += int(open_.sum())
-                if size >= step:
-                    yield tuple(map(np.concatenate, zip(*held, strict=True)))
-                    held, size = [], 0
-        if size:
-            yield tuple(map(np.concatenate, zip(*held, strict=True)))
-
-    for pairs, most in passes:
-        for x, y in batches(pairs):
-            d = np.bitwise_count(data[x] ^ data[y]).sum(1, dtype=np.int64)
-            order = np.argsort(d, kind="stable")
-            order = order[d[order] <= most]
-            for i, j, k in zip(x[order].tolist(), y[order].tolist(), d[order].tolist(), strict=True):
-                u, v = find(i), find(j)
-                if u != v:
-                    root[max(u, v)] = min(u, v)
-                    edges.append((i, j, k))
-            if len(order):
-                while not np.array_equal(up := root[root], root):
-                    root[:] = up
-    return edges
-
-
-def links(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.995, leaf: int = 4096) -> DataFrame:
-    """nodes: ``node`` long, ``sketch`` binary, distinct. Returns ``a``, ``b``, ``sure``: links that connect what is similar enough, and (not sure)
-    candidates. leaf: rows that one cell's side should hold."""
+    for x, y, d in compared(data, pairs, root, step):
+        near = d <= most
+        for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
+            u, v = find(i), find(j)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                edges.append((i, j))
+        if near.any():
+            while not np.array_equal(up := root[root], root):
+                root[:] = up
+    return root, edges
+
+
+def compared(data: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], root: np.ndarray, step: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of different roots, ``step`` at a time, with the number of bits in which their sketches differ."""
+    for a, b in pairs:
+        for at in range(0, len(a), step):
+            x, y = a[at : at + step], b[at : at + step]
+            open_ = root[x] != root[y]
+            x, y = x[open_], y[open_]
+            yield x, y, np.bitwise_count(data[x] ^ data[y]).sum(1, dtype=np.int64)
+
+
+CELL = ["t", "p", "i", "j", "u", "v"]
+MEMBERS = "t int, p long, i long, j long, u int, v int, side int, node long, root long"
+
+
+def links(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.995, leaf: int = 4096, held: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+    """nodes: ``node`` long, ``sketch`` binary, ``size`` (shingles), distinct. Returns ``a``, ``b``: links that connect what is surely similar enough;
+    and the members of cells whose other pairs :func:`verified` decides: the cell's key, ``side``, ``node`` and ``root``, equal for members that sure
+    links connect. leaf: rows that one cell's side should hold; held: shingles that one side of a verified cell holds, but for a single larger text."""
     n = nodes.count()
     depth, bits = tries(n, similarity, recall, leaf)
     near, sure, whole = budget_of(similarity, 64, 3.0), budget_of(similarity, BITS, -2.5), budget_of(similarity, BITS, 2.5)
@@ -182,13 +184,13 @@ def links(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.995, leaf
                 block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
                 mine = (node.view(np.uint64) % np.uint64(1_000_003)).astype(np.int64)[row] % times[row]
                 low, high = np.minimum(mine, block), np.maximum(mine, block)
-                yield pd.DataFrame({"t": np.full(len(row), t, np.int32), "p": p[row], "i": low, "j": high, "side": (mine > block).astype(np.int32), "node": node[row], "sketch": frame["sketch"].to_numpy()[row]})
+                yield pd.DataFrame({"t": np.full(len(row), t, np.int32), "p": p[row], "i": low, "j": high, "side": (mine > block).astype(np.int32), "node": node[row], "sketch": frame["sketch"].to_numpy()[row], "size": frame["size"].to_numpy()[row]})
 
     def walk(cell: pd.DataFrame) -> pd.DataFrame:
         data = np.frombuffer(b"".join(cell["sketch"]), np.uint64).reshape(len(cell), BITS // 64)
         word = data[:, 0].byteswap()
         rank = np.argsort(word, kind="stable")
-        node, side, data, word = cell["node"].to_numpy()[rank], cell["side"].to_numpy()[rank], data[rank], word[rank]
+        node, side, size, data, word = cell["node"].to_numpy()[rank], cell["side"].to_numpy()[rank], cell["size"].to_numpy()[rank], data[rank], word[rank]
         same = cell["i"].iat[0] == cell["j"].iat[0]
         a = np.arange(len(node)) if same else np.flatnonzero(side == 0)
         b = a if same else np.flatnonzero(side == 1)
@@ -196,30 +198,79 @@ def links(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.995, leaf
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             return ((a[x], b[y]) for x, y in trie_join(word[a], word[b], near, 0, same, bucket=256))
 
-        edges = np.array(spanning(data, [(pairs(), sure), (pairs(), whole)]), np.int64).reshape(-1, 3)
-        x, y = node[edges[:, 0]], node[edges[:, 1]]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "sure": edges[:, 2] <= sure})
-
-    dealt = nodes.select("node", "sketch").mapInPandas(deal, "t int, p long, i long, j long, side int, node long, sketch binary")
-    return dealt.groupBy("t", "p", "i", "j").applyInPandas(walk, "a long, b long, sure boolean").distinct()
+        root, edges = spanning(data, pairs(), sure)
+        x, y = node[np.array(edges, np.int64).reshape(-1, 2)].T
+        linked, out = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "side": -1}), []
+        # Blocks of the shingles that may lie in memory together; a row is a member where it has an open pair with a row of the other block.
+        part = np.zeros(len(node), np.int64)
+        for own in (a,) if same else (a, b):
+            part[own] = (np.cumsum(size[own]) - size[own]) // held
+        open_ = np.zeros((len(node), int(part.max()) + 1), bool)
+        for x, y, d in compared(data, pairs(), root):
+            x, y = x[d <= whole], y[d <= whole]
+            open_[x, part[y]] = open_[y, part[x]] = True
+        for row, other in zip(*(z.tolist() for z in np.nonzero(open_)), strict=True):
+            mine = int(part[row])
+            first = mine <= other if same else side[row] == 0
+            u, v = (mine, other) if first else (other, mine)
+            out.append((u, v, 0 if first else 1, node[row], node[root[row]]))
+        members = pd.DataFrame(out, columns=["u", "v", "side", "node", "root"]).assign(**{c: cell[c].iat[0] for c in CELL[:4]})
+        columns = ["a", "b", *CELL, "side", "node", "root"]
+        return pd.concat([x.astype("Int64").reindex(columns=columns).astype("Int64") for x in (linked, members)])  # never through floats
+
+    dealt = nodes.select("node", "sketch", "size").mapInPandas(deal, "t int, p long, i long, j long, side int, node long, sketch binary, size long")
+    found = materialize(dealt.groupBy("t", "p", "i", "j").applyInPandas(walk, f"a long, b long, {MEMBERS}"), "pairs")
+    return found.filter("side < 0").select("a", "b").distinct(), found.filter("side >= 0").drop("a", "b")
+
+
+def verified(members: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """members: as of :func:`links`, with ``set``, the hashes of each one's shingles, and ``sketch``. Returns ``a``, ``b``: in each cell, a spanning forest of the pairs
+    whose Jaccard similarity is large enough. Only such pairs connect, so none hides another."""
+    whole = budget_of(similarity, BITS, 2.5)
+
+    def decide(cell: pd.DataFrame) -> pd.DataFrame:
+        node, side, size = cell["node"].to_numpy(), cell["side"].to_numpy(), cell["set"].map(len).to_numpy(np.int64)
+        data = np.frombuffer(b"".join(cell["sketch"]), np.uint64).reshape(len(cell), BITS // 64)
+        label = np.unique(cell["root"].to_numpy(), return_inverse=True)[1]
+        names, ids = np.unique(np.concatenate(cell["set"].tolist()), return_inverse=True)
+        start, marked, edges = np.cumsum(size) - size, np.zeros(len(names), bool), []
+        same = cell["i"].iat[0] == cell["j"].iat[0] and cell["u"].iat[0] == cell["v"].iat[0]
+        right = np.flatnonzero(side == 1)
+        for x in range(len(node)) if same else np.flatnonzero(side == 0).tolist():
+            y = np.arange(x + 1, len(node)) if same else right
+            y = y[label[y] != label[x]]
+            y = y[np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x])]
+            y = y[np.bitwise_count(data[y] ^ data[x]).sum(1, dtype=np.int64) <= whole]
+            if not len(y):
+                continue
+            own = ids[start[x] : start[x] + size[x]]
+            marked[own] = True
+            cut = np.cumsum(size[y]) - size[y]
+            at = np.repeat(start[y] - cut, size[y]) + np.arange(size[y].sum())
+            common = np.add.reduceat(marked[ids[at]], cut, dtype=np.int64)
+            marked[own] = False
+            for z in y[common >= similarity * (size[y] + size[x] - common)].tolist():
+                if label[z] != label[x]:
+                    label[label == label[z]] = label[x]
+                    edges.append((min(node[x], node[z]), max(node[x], node[z])))
+        return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return members.groupBy(*CELL).applyInPandas(decide, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, leaf: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Returns the rows of ``docs`` with ``_node`` (number of their sketch), and for each ``_node`` its ``_best``: the smallest id of its
     group, null where no member has one."""
-    rows = docs.withColumn("_sketch", sketches(docs, text, shingle))
-    rows = materialize(rows.withColumn("_node", F.xxhash64("_sketch")), "sketches")
-    nodes = materialize(rows.groupBy(F.col("_node").alias("node")).agg(F.min(F.col(doc_id)).alias("best"), F.min("_sketch").alias("sketch")), "nodes")
-    pairs = materialize(links(nodes.select("node", "sketch"), similarity, leaf=leaf), "pairs")
+    rows = docs.withColumn("_made", sketches(docs, text, shingle))
+    rows = materialize(rows.withColumns({"_sketch": F.col("_made.sketch"), "_size": F.col("_made.size"), "_node": F.xxhash64("_made.sketch")}).drop("_made"), "sketches")
+    nodes = rows.groupBy(F.col("_node").alias("node")).agg(F.min(F.col(doc_id)).alias("best"), F.min("_sketch").alias("sketch"), F.max("_size").alias("size"))
+    nodes = materialize(nodes, "nodes")
+    sure, members = links(nodes.filter("size > 0").select("node", "sketch", "size"), similarity, leaf=leaf)
     # The row of the smallest id stands for its node.
-    unsure = pairs.filter("not sure")
-    ends = unsure.select(F.col("a").alias("node")).union(unsure.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "best"), "node")
+    ends = members.select("node").distinct().join(nodes.select("node", "best", "sketch"), "node")
     texts = rows.select("_node", F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     texts = texts.join(ends, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("best")))
-    sets = materialize(texts.select("node", shingle_sets(texts, "_text", shingle).alias("set")).groupBy("node").agg(F.first("set").alias("set")), "sets")
-    one, two = (sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
-    both = unsure.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
-    alike = both.filter(F.col("common") >= similarity * (F.size("a_set") + F.size("b_set") - F.col("common")))
-    edges = materialize(pairs.filter("sure").select("a", "b").union(alike.select("a", "b")), "links")
+    sets = materialize(texts.select("node", "sketch", shingle_sets(texts, "_text", shingle).alias("set")).groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("set").alias("set")), "sets")
+    edges = materialize(sure.union(verified(members.join(sets, "node"), similarity)), "links")
     found = components(edges, nodes.select("node", "best"))
-    return rows.drop("_sketch"), materialize(found.select(F.col("node").alias("_node"), F.col("best").alias("_best")), "best")
+    return rows.drop("_sketch", "_size"), materialize(found.select(F.col("node").alias("_node"), F.col("best").alias("_best")), "best")
