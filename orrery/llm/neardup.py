@@ -9,6 +9,9 @@ Below those levels, node pairs are walked together over 64 bits, differing bits
 dropped; what is left is held to the budget of the whole sketch, which tells the similarity with a standard error of 0.02. Pairs within
 2.5 standard errors of the least similarity are then decided by the Jaccard similarity of their shingles.
 
+Texts of under ``SHORT`` different shingles have no use for sketches, whose bits tie too often. Pairs with such a text are found by an exact prefix
+join: of the shingles in the order of their hashes, two texts similar enough share one among so many first ones. All these pairs are verified.
+
 Only distinct sketches enter, so groups of exact copies count once. A cell returns a spanning forest of its sure links, and the rows that have
 other pairs between what these connect. Those rows meet again with their shingles, in blocks bounded by shingles, and all their pairs are verified
 before they connect anything; a spanning forest of the verified ones is returned, so rows stay linear in the cell's rows and none hides another. A
@@ -33,7 +36,7 @@ from pyspark.sql import types as T
 from .common import arrow_bounds, components, materialize
 from .simhash import LOWER, forest, trie_join
 
-BITS, STEP = 1024, 255
+BITS, STEP, SHORT = 1024, 255, 64
 SALTS = np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,17 +74,23 @@ def sketch_of(hashes: np.ndarray) -> bytes:
     return np.packbits(ones * 2 > len(hashes)).tobytes()
 
 
-def sketches(docs: DataFrame, text: str = "text", shingle: int = 5, seed: int = 42) -> Column:
+def sketches(docs: DataFrame, text: str = "text", shingle: int = 5, seed: int = 42, similarity: float = 0.8) -> Column:
     arrow_bounds(docs.sparkSession)
 
-    @F.pandas_udf("sketch binary, size long")
+    @F.pandas_udf("sketch binary, size long, heads array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
         hashes = [shingle_hashes(x, shingle, seed) for x in texts]
-        return pd.DataFrame({"sketch": pd.Series([sketch_of(h) for h in hashes], dtype=object), "size": pd.Series([len(h) for h in hashes], dtype=np.int64)})
+        return pd.DataFrame({"sketch": pd.Series([sketch_of(h) for h in hashes], dtype=object), "size": pd.Series([len(h) for h in hashes], dtype=np.int64), "heads": pd.Series([heads(h, similarity) for h in hashes], dtype=object)})
 
     return made(docs[text].cast("binary"))
 
 
+def heads(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The least hashes of a short text, or of one similar to it; two such texts that are similar enough have one of these in common."""
+    n = len(hashes) if len(hashes) < SHORT / similarity else 0
+    return hashes[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0].view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, text: str, shingle: int = 5, seed: int = 42) -> Column:
     arrow_bounds(docs.sparkSession)
 
@@ -223,6 +232,17 @@ def links(nodes: DataFrame, similarity: float = 0.8, recall: float = 0.995, leaf
     return found.filter("side < 0").select("a", "b").distinct(), found.filter("side >= 0").drop("a", "b")
 
 
+def short_members(nodes: DataFrame, leaf: int = 4096) -> DataFrame:
+    """nodes: ``node``, ``heads``. Returns members of cells as :func:`links` does: texts that share one of their heads. A head that many
+    texts share is dealt in blocks, every block against every other; trie -1 marks that no sketch decides."""
+    tokens = nodes.select("node", F.explode("heads").alias("p"))
+    times = tokens.groupBy("p").count().filter("count > 1").select("p", F.ceil(F.col("count") / leaf).alias("times"))
+    rows = tokens.join(times, "p").withColumn("mine", F.pmod(F.xxhash64("node"), "times")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    one, zero = F.lit(-1).alias("t"), F.lit(0)
+    side = (F.col("mine") > F.col("block")).cast("int").alias("side")
+    return rows.select(one, "p", F.least("mine", "block").alias("i"), F.greatest("mine", "block").alias("j"), zero.alias("u"), zero.alias("v"), side, "node", F.col("node").alias("root"))
+
+
 def verified(members: DataFrame, similarity: float = 0.8) -> DataFrame:
     """members: as of :func:`links`, with ``set``, the hashes of each one's shingles, and ``sketch``. Returns ``a``, ``b``: in each cell, a spanning forest of the pairs
     whose Jaccard similarity is large enough. Only such pairs connect, so none hides another."""
@@ -235,12 +255,13 @@ def verified(members: DataFrame, similarity: float = 0.8) -> DataFrame:
         names, ids = np.unique(np.concatenate(cell["set"].tolist()), return_inverse=True)
         start, marked, edges = np.cumsum(size) - size, np.zeros(len(names), bool), []
         same = cell["i"].iat[0] == cell["j"].iat[0] and cell["u"].iat[0] == cell["v"].iat[0]
-        right = np.flatnonzero(side == 1)
+        right, sketched = np.flatnonzero(side == 1), cell["t"].iat[0] >= 0
         for x in range(len(node)) if same else np.flatnonzero(side == 0).tolist():
             y = np.arange(x + 1, len(node)) if same else right
             y = y[label[y] != label[x]]
             y = y[np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x])]
-            y = y[np.bitwise_count(data[y] ^ data[x]).sum(1, dtype=np.int64) <= whole]
+            if sketched:
+                y = y[np.bitwise_count(data[y] ^ data[x]).sum(1, dtype=np.int64) <= whole]
             if not len(y):
                 continue
             own = ids[start[x] : start[x] + size[x]]
@@ -261,11 +282,13 @@ def verified(members: DataFrame, similarity: float = 0.8) -> DataFrame:
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, leaf: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Returns the rows of ``docs`` with ``_node`` (number of their sketch), and for each ``_node`` its ``_best``: the smallest id of its
     group, null where no member has one."""
-    rows = docs.withColumn("_made", sketches(docs, text, shingle))
-    rows = materialize(rows.withColumns({"_sketch": F.col("_made.sketch"), "_size": F.col("_made.size"), "_node": F.xxhash64("_made.sketch")}).drop("_made"), "sketches")
-    nodes = rows.groupBy(F.col("_node").alias("node")).agg(F.min(F.col(doc_id)).alias("best"), F.min("_sketch").alias("sketch"), F.max("_size").alias("size"))
+    rows = docs.withColumn("_made", sketches(docs, text, shingle, similarity=similarity))
+    rows = materialize(rows.withColumns({"_sketch": F.col("_made.sketch"), "_size": F.col("_made.size"), "_heads": F.col("_made.heads"), "_node": F.xxhash64("_made.sketch")}).drop("_made"), "sketches")
+    nodes = rows.groupBy(F.col("_node").alias("node")).agg(F.min(F.col(doc_id)).alias("best"), F.min("_sketch").alias("sketch"), F.max("_size").alias("size"), F.max("_heads").alias("heads"))
     nodes = materialize(nodes, "nodes")
-    sure, members = links(nodes.filter("size > 0").select("node", "sketch", "size"), similarity, leaf=leaf)
+    # Sketches tell little about short texts: their pairs, with each other and with longer ones, are all found by common shingles.
+    sure, members = links(nodes.filter(F.col("size") >= SHORT).select("node", "sketch", "size"), similarity, leaf=leaf)
+    members = members.union(short_members(nodes.select("node", "heads"), leaf))
     # The row of the smallest id stands for its node.
     ends = members.select("node").distinct().join(nodes.select("node", "best", "sketch"), "node")
     texts = rows.select("_node", F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
@@ -273,4 +296,4 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     sets = materialize(texts.select("node", "sketch", shingle_sets(texts, "_text", shingle).alias("set")).groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("set").alias("set")), "sets")
     edges = materialize(sure.union(verified(members.join(sets, "node"), similarity)), "links")
     found = components(edges, nodes.select("node", "best"))
-    return rows.drop("_sketch", "_size"), materialize(found.select(F.col("node").alias("_node"), F.col("best").alias("_best")), "best")
+    return rows.drop("_sketch", "_size", "_heads"), materialize(found.select(F.col("node").alias("_node"), F.col("best").alias("_best")), "best")

@@ -401,6 +401,23 @@ def test_near_hot_group_below_the_least_similarity(spark):
     assert sum(got[i] != w for (i, _), w in zip(given, want, strict=True)) <= 2
 
 
+def test_near_short_texts(spark):
+    """Short texts with one word more (Jaccard 0.8) are linked, those at 0.75 aren't."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    data = [w for _ in range(60) for base in [words(8)] for w in (base, [*base, *words(1)])]
+    data += [w for _ in range(60) for base in [words(10)] for w in (base, [*base, *words(2)])]
+    data += [w for n in (67, 75) for _ in range(20) for base in [words(n)] for w in (base, [*words(7), *base])]
+    given = [(i, " ".join(w)) for i, w in enumerate(data)]
+    want = near_components(given)
+    assert len(set(want)) == 60 + 120 + 40
+    for leaf in (16, 4096):
+        rows, best = neardup.near_groups(spark.createDataFrame(given, "doc_id long, text string"), leaf=leaf)
+        got = {r["doc_id"]: r["_best"] for r in rows.join(best, "_node").collect()}
+        assert [got[i] for i, _ in given][:240] == want[:240]
+        assert sum(got[i] != w for (i, _), w in zip(given, want, strict=True)) <= 1
+
+
 def test_sketch_estimates_similarity():
     rng = random.Random(7)
     base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
