@@ -9,13 +9,17 @@ pages, falls below a threshold. Rules come before the tree: the longest rule tha
 DataFrame functions only. The tree works on distinct generalised paths with counts, combined before each shuffle; joins on hosts or
 paths are sort-merge joins, whose hot partitions adaptive execution splits. Nothing is collected.
 
-Cases: a null url, or one without ``://``, has an empty host and path, which form a template like any other; paths deeper than
-``DEPTH`` segments end in ``**``; pages whose label is null or missing count as unlabelled; repeated rows count each; a null page id joins no label;
+Every segment of a path is a level, however deep; a level takes one round, and only hosts with longer paths stay in the rounds. The SQL
+spells out ``DEPTH`` levels, which is all that the tables at hand have; deeper paths it ends in ``**``.
+
+Cases: a null url, or one without ``://``, has an empty host and path, which form a template like any other; pages whose label is null or missing count as unlabelled; repeated rows count each; a null page id joins no label;
 without any label no template is rejected; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,22 +54,25 @@ def generalised(segment: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(segment, r"[0-9a-f]{16,}", "#"), r"[0-9]+", "#")
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", depth: int = DEPTH) -> DataFrame:
+def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id") -> DataFrame:
     """labels: ``label_id``, ``quality``, ``toxic``; a page is bad if its quality is 0 or toxic is 1. Returns for each row ``page_id``,
     ``host``, ``path``, ``rule``, ``verdict``, ``template`` and ``purity`` (smoothed)."""
     host, path = host_path(pages[url])
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
     rows = pages.select(pages[page_id].alias("page_id"), host.alias("host"), path.alias("path"))
-    cells = [F.coalesce(generalised(F.get(parts, F.lit(i))), F.lit("")).alias(f"g{i}") for i in range(depth)]
-    rows = rows.select("*", *cells, F.when(F.size(parts) > depth, "/**").otherwise("").alias("tail"))
+    # The wildcards never span a slash.
+    rows = rows.withColumn("general", generalised(F.regexp_replace("path", "^/", "")))
     bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
     known = labels.filter("quality is not null or toxic is not null").groupBy(labels[label_id].alias("_id")).agg(F.max(bad.cast("int")).alias("bad"))
-    keys = ["host", *(f"g{i}" for i in range(depth)), "tail"]
+    keys = ["host", "general"]
     counted = rows.join(known, F.col("page_id") == F.col("_id"), "left")
     tree = counted.groupBy(*keys).agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    tree = materialize(tree.withColumn("prefix", F.lit("")), "tree")
+    tree = materialize(tree.select("*", F.split("general", "/", -1).alias("segments"), F.lit("").alias("prefix")), "paths")
+    tree = materialize(tree.join(tree.groupBy("host").agg(F.max(F.size("segments")).alias("deepest")), "host"), "tree")
+    done, seg = [], "segment"
+    depth = tree.agg(F.max("deepest")).first()[0] or 0
     for i in range(depth):
-        seg = f"g{i}"
+        done.append(tree.filter(F.col("deepest") <= i))
+        tree = tree.filter(F.col("deepest") > i).withColumn(seg, F.coalesce(F.get("segments", F.lit(i)), F.lit("")))
         child = tree.groupBy("host", "prefix", seg).agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
         parent = child.groupBy("host", "prefix").agg(F.count("*").alias("kids"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")))
         both = child.join(parent, ["host", "prefix"])
@@ -76,8 +83,8 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, page_id: str =
         rare = (F.col("kids") > CHILDREN) & (F.col("n") < RARE * F.col("all_n"))
         made = F.when(F.col(seg) == "", "").when(F.coalesce(differs, F.lit(False)), F.concat(F.lit("/"), F.col(seg))).when(rare, "/*").otherwise("/+")
         named = both.select("host", "prefix", seg, F.concat("prefix", made).alias("next"))
-        tree = materialize(tree.join(named, ["host", "prefix", seg]).drop("prefix").withColumnRenamed("next", "prefix"), f"tree{i}")
-    tree = tree.withColumn("template", F.concat("prefix", "tail"))
+        tree = materialize(tree.join(named, ["host", "prefix", seg]).drop("prefix", seg).withColumnRenamed("next", "prefix"), f"tree{i}")
+    tree = reduce(DataFrame.unionByName, done, tree).withColumnRenamed("prefix", "template")
     whole = tree.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).first()
     rate = (whole["b"] or 0) / whole["l"] if whole["l"] else 0.0
     pure = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))

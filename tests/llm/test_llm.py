@@ -272,6 +272,14 @@ def test_url_filter(spark):
     assert urls.url_filter(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_url_filter_parts_at_the_fifth_segment(spark):
+    pages = [(i, f"http://deep.io/a/b/c/d/{('spam', 'fine')[i % 2]}/{i}") for i in range(80)] + [(100, "http://flat.io/a"), (101, "http://deep.io/a/b/c/d/spam/x/y/z")]
+    labels = [(i, i % 2, 0) for i in range(80)]
+    got = {r["page_id"]: (r["verdict"], r["template"]) for r in urls.url_filter(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert len(got) == 82 and got[100] == ("allow", "/+")
+    assert all(got[i] == (("block", "allow")[i % 2], f"/+/+/+/+/{('spam', 'fine')[i % 2]}/+") for i in range(80))
+
+
 @pytest.mark.parametrize("split", [64, 1000, 1 << 22])
 def test_warc(spark, split):
     pages = [(i, f"http://h/{i}", "<p>" + random.Random(i % 37).randbytes(300).hex() + "\r\n\r\nWARC/1.1</p>") for i in range(120)] + [(500, None, None), (501, "u", ""), (None, "u", "alone"), (None, "u", "alone"), (3, "u", "same"), (3, "u", "same")]
