@@ -49,7 +49,8 @@ def components(edges: DataFrame, rank: DataFrame, max_rounds: int = 64) -> DataF
     """Connected components by least label and pointer jumping.
 
     edges: ``a``, ``b`` long, in any direction. rank: ``node`` long, ``best`` long (may be null, which ranks last) for every
-    node. Returns ``node``, ``best`` for every node of ``rank``: the least ``best`` that the node reaches. Nodes without an edge
+    node. Returns ``node``, ``best``, ``root`` for every node of ``rank``: the least ``best`` that the node reaches, and one node that stands for
+    the component. Nodes without an edge
     never enter the rounds. Each round is written to the shared folder; the driver sees one count a round.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
@@ -69,8 +70,8 @@ def components(edges: DataFrame, rank: DataFrame, max_rounds: int = 64) -> DataF
             break
     else:
         raise RuntimeError("components did not settle")
-    found = state.select("node", F.when(F.col("label.best") < last, F.col("label.best")).alias("reached"), F.lit(True).alias("linked"))
-    return rank.join(found, "node", "left").select("node", F.when(F.col("linked"), F.col("reached")).otherwise(F.col("best")).alias("best"))
+    found = state.select("node", F.when(F.col("label.best") < last, F.col("label.best")).alias("reached"), F.col("label.root").alias("root"), F.lit(True).alias("linked"))
+    return rank.join(found, "node", "left").select("node", F.when(F.col("linked"), F.col("reached")).otherwise(F.col("best")).alias("best"), F.coalesce("root", "node").alias("root"))
 
 
 def words_count(text: Column) -> Column:

@@ -281,7 +281,7 @@ def verified(members: DataFrame, similarity: float = 0.8) -> DataFrame:
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, leaf: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Returns the rows of ``docs`` with ``_node`` (number of their sketch), and for each ``_node`` its ``_best``: the smallest id of its
-    group, null where no member has one."""
+    group, null where no member has one; and ``_root``, equal for the nodes of one group."""
     rows = docs.withColumn("_made", sketches(docs, text, shingle, similarity=similarity))
     rows = materialize(rows.withColumns({"_sketch": F.col("_made.sketch"), "_size": F.col("_made.size"), "_heads": F.col("_made.heads"), "_node": F.xxhash64("_made.sketch")}).drop("_made"), "sketches")
     nodes = rows.groupBy(F.col("_node").alias("node")).agg(F.min(F.col(doc_id)).alias("best"), F.min("_sketch").alias("sketch"), F.max("_size").alias("size"), F.max("_heads").alias("heads"))
@@ -296,4 +296,4 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     sets = materialize(texts.select("node", "sketch", shingle_sets(texts, "_text", shingle).alias("set")).groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("set").alias("set")), "sets")
     edges = materialize(sure.union(verified(members.join(sets, "node"), similarity)), "links")
     found = components(edges, nodes.select("node", "best"))
-    return rows.drop("_sketch", "_size", "_heads"), materialize(found.select(F.col("node").alias("_node"), F.col("best").alias("_best")), "best")
+    return rows.drop("_sketch", "_size", "_heads"), materialize(found.select(F.col("node").alias("_node"), F.col("best").alias("_best"), F.col("root").alias("_root")), "best")

@@ -30,14 +30,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the smallest id stays; of rows that share that
-    id, or of a sketch whose group has no id, the one whose text has the least hash."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the smallest id stays; of a group's rows that share that
+    id, or of a group without an id, the one whose text has the least hash. Groups that share an id keep a row each."""
     rows, found = near_groups(docs)
     kept = rows.join(found, "_node").filter(F.col("_best").isNull() | (F.col("doc_id") == F.col("_best")))
-    kept = kept.withColumn("_only", F.when(F.col("doc_id").isNull(), F.col("_node")))
-    # Texts are shuffled for this only where ids repeat.
-    if kept.groupBy("doc_id", "_only").count().filter("count > 1").limit(1).count():
-        kept = kept.withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id", "_only").orderBy(F.xxhash64("text"), "text"))).filter("_rn = 1")
+    # Texts are shuffled for this only where ids repeat in a group.
+    if kept.groupBy("_root").count().filter("count > 1").limit(1).count():
+        kept = kept.withColumn("_rn", F.row_number().over(Window.partitionBy("_root").orderBy(F.xxhash64("text"), "text"))).filter("_rn = 1")
     return kept.select(*docs.columns)
 
 

@@ -374,6 +374,11 @@ def test_near_stage_keeps_one_of_each_group(spark, rows):
     assert drop_near(spark, alone, SF).count() == 1
 
 
+def test_near_stage_keeps_unlike_texts_of_one_id(spark):
+    docs = docs_of(spark, [(7, "one two three four five", "a"), (7, "six seven eight nine ten", "a"), (7, "one two three four FIVE", "b"), (9, "six seven eight nine ten", "a")])
+    assert sorted(r["text"].lower() for r in drop_near(spark, docs, SF).collect()) == ["one two three four five", "six seven eight nine ten"]
+
+
 @pytest.mark.parametrize("leaf", [16, 4096])
 def test_near_groups_against_all_pairs(spark, leaf):
     """Copies with edits, clean texts and one group of a third of all rows; leaf 16 makes many tries, cells and blocks."""
