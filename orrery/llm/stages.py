@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import bpe_digest, default_path
-from .common import materialize, table
-from .linededup import line_dedup
+from .common import table
+from .linededup import deduped
 from .mixing import mixed_documents
 from .neardup import near_groups
 from .toxicity import fit, toxicity
@@ -21,12 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated multi-line chunks go; documents stay, with what is left of their text."""
-    kept = line_dedup(docs).select(F.col("doc_id").alias("_id"), F.col("fold").alias("_fold"), F.col("text").alias("_text"), "n_removed")
-    cut = materialize(kept.filter("n_removed > 0").drop("n_removed").distinct(), "cut")
-    rows = docs.join(cut, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.md5(docs["text"]) == F.col("_fold")), "left")
-    text = F.when(F.col("_fold").isNull(), docs["text"]).otherwise(F.col("_text"))
-    made = {"text": text, "n_chars": F.when(F.col("_fold").isNull(), docs["n_chars"]).otherwise(F.length("_text")).cast("long")}
-    return rows.select(*(made[c].alias(c) if c in made else docs[c] for c in docs.columns))
+    made = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return deduped(docs).select(*(made[c].alias(c) if c in made else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
