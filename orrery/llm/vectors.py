@@ -4,7 +4,7 @@ Both take as queries a stated share of the rows against all rows. Rows meet in c
 candidates and one block of queries, so no task holds more and nothing that grows with the table goes to the driver or is broadcast.
 
 Cases, for both: rows with a null id take no part; vectors that are null or hold null or non-finite components take no part (the nearest
-neighbour search also leaves out zero vectors, and vectors of another length than most of its sample); rows that repeat an id are
+neighbour search also leaves out zero vectors); where lengths differ, a missing component counts as 0; rows that repeat an id are
 candidates each, and their least vector is the query; a query never finds rows of its own id; ties go to the smaller id; empty tables
 give empty results; other columns are ignored.
 """
@@ -136,93 +136,149 @@ def rotation(width: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(query: np.ndarray, turned: np.ndarray, held: np.ndarray, held_turned: np.ndarray, ids: np.ndarray, own: int, k: int, block: int, error: float) -> list[tuple[float, int]]:
-    """The k nearest rows, nearest first. Column blocks of the rotated vectors add up partial distances; a candidate is abandoned once
-    its partial distance refutes, at the error bound, that its whole distance is within the k-th best so far."""
-    width, kept = held.shape[1], []
-    limit = math.inf
-    # The first rows set the limit; later ones are tested against it. ids are sorted, so equal rows come in order.
-    for start in range(0, len(ids), 1024):
-        at = np.arange(start, min(start + 1024, len(ids)))
+def scan(query: np.ndarray, turned: np.ndarray, held: np.ndarray, held_turned: np.ndarray, ids: np.ndarray, own: int, k: int, block: int, sigma: float, limit: float = math.inf, seen: list[int] | None = None) -> list[tuple[float, int]]:
+    """The k nearest rows within ``limit``, nearest first. Column blocks of the rotated vectors add up partial distances. After each block a
+    candidate stands the test of the hypothesis that its whole distance is within the k-th best so far: a random rotation spreads a distance
+    evenly, so over ``high`` of ``width`` columns the root of its share has a standard deviation of about sqrt((1 - high / width) / (2 high)); beyond
+    ``sigma`` of these it is abandoned. seen: counts of tested and of abandoned candidates are added to it."""
+    width, kept, tested, gone = held.shape[1], [], 0, 0
+    steps = [(low, min(low + block, width)) for low in range(0, width, block)]
+    slack = [(high / width) * (1 + sigma * math.sqrt((1 - high / width) / (2 * high))) ** 2 if high < width else 1.0 for _, high in steps]
+    start, size = 0, max(k, 16)
+    while start < len(ids):
+        at = np.arange(start, min(start + size, len(ids)))
+        start, size = start + size, min(2 * size, 1024)  # the limit is sharpened early and often
         at = at[ids[at] != own]
-        part = np.zeros(len(at))
         if limit < math.inf:
-            for low in range(0, width, block):
-                high = min(low + block, width)
+            tested, whole, part = tested + len(at), len(at), np.zeros(len(at))
+            for (low, high), room in zip(steps, slack, strict=True):
                 part += ((held_turned[at, low:high] - turned[low:high]) ** 2).sum(1)
-                bound = limit * limit * (high / width) * (1 + error / math.sqrt(high)) ** 2 if high < width else limit * limit * (1 + 1e-9)
-                alive = part <= bound
+                alive = part <= limit * limit * room * (1 + 1e-9)
                 at, part = at[alive], part[alive]
                 if not len(at):
                     break
+            gone += whole - len(at)
         if len(at):
             exact = np.sqrt(((held[at] - query) ** 2).sum(1))
             kept = sorted([*kept, *zip(exact.tolist(), ids[at].tolist(), strict=True)])[:k]
             if len(kept) == k:
-                limit = kept[-1][0]
+                limit = min(limit, kept[-1][0])
+    if seen is not None:
+        seen[0] += tested
+        seen[1] += gone
     return kept
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", max_sample: int = 20_000, max_lists: int = 1024, probe_share: float = 0.6, probe_least: int = 2000, block: int = 16, error: float = 2.1, cell_rows: int = CELL_ROWS) -> DataFrame:
+def normal_share(z: np.ndarray) -> np.ndarray:
+    """Share of a normal distribution below z, by the logistic approximation."""
+    return 1 / (1 + np.exp(-np.clip(1.5976 * z + 0.07056 * z**3, -50, 50)))
+
+
+def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", max_sample: int = 20_000, max_lists: int = 1024, first_rows: int = 2000, miss: float = 0.1, block: int = 16, sigma: float = 2.2, cell_rows: int = CELL_ROWS, count: bool = False) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` (Euclidean distance on the original vectors): for each id divisible by ``every``, the k
-    nearest rows found. Centres of lists are fitted on at most ``max_sample`` rows (those of the least hash of their id); every row is
-    in a list. A query probes lists, nearest centre first, until they hold ``probe_share`` of all rows and ``probe_least`` rows."""
+    nearest rows found. Centres of lists are fitted on at most ``max_sample`` rows (those of the least hash of their id); every row is in a
+    list, and the mean squared distance of each list's rows to its centre is taken over all of them.
+
+    A query first scans the lists of the nearest centres until these hold ``first_rows`` rows. The k-th distance found there bounds its answer. For every
+    other list the expected number of rows within that bound follows from the list's size, its distance and its spread (a member's squared
+    distance is about normal around the sum of both squares); lists are scanned, the most promising first, until those left are expected to
+    hold no more than the share ``miss`` of all such rows. So where data has neighbours, few lists are scanned, however many rows there are; where
+    all rows are about equally far, nearly all are. ``miss=0`` and ``sigma=inf`` make the search exact. With ``count``, returns instead one row for each
+    cell: ``tested`` and ``abandoned`` candidates."""
     spark = vectors.sparkSession
     arrow_bounds(spark)
     rows = vectors.select(vectors[vec_id].alias("vec_id"), vectors[embedding].cast("array<double>").alias("v"))
     rows = rows.filter(F.col("vec_id").isNotNull() & finite(F.col("v")) & F.exists("v", lambda x: x != 0))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).toPandas()
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     result = "query_id long, vec_id long, score double"
-    if not len(sample):
-        return best(spark.createDataFrame([], result), k, [F.col("score"), F.col("vec_id")])
-    width = int(sample["v"].map(len).mode().iat[0])
-    rows = rows.filter(F.size("v") == width)
-    x = stack(sample["v"][sample["v"].map(len) == width], np.float64)
-    n = rows.count()
-    x = np.unique(x, axis=0)
+    tally = "tested long, abandoned long"
+    if not n:
+        return spark.createDataFrame([], tally) if count else best(spark.createDataFrame([], result), k, [F.col("score"), F.col("vec_id")])
+    # A missing component counts as 0, so vectors of every length take part.
+    rows = rows.withColumn("v", F.when(F.size("v") < width, F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v")))).otherwise(F.col("v")))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).toPandas()
+    x = np.unique(stack(sample["v"], np.float64), axis=0)
     centres = kmeans(x, max(1, min(len(x), max_lists, round(math.sqrt(n)))))
     turn = rotation(width)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                yield frame.assign(list=nearest(stack(frame["v"], np.float64), centres).astype(np.int32))
-
-    placed = materialize(rows.mapInPandas(place, "vec_id long, v array<double>, list int"), "lists")
-    sizes = np.zeros(len(centres), np.int64)
-    for row in placed.groupBy("list").count().collect():  # max_lists rows at most
-        sizes[row["list"]] = row["count"]
+                own = stack(frame["v"], np.float64)
+                at = nearest(own, centres)
+                yield frame.assign(list=at.astype(np.int32), far=((own - centres[at]) ** 2).sum(1))
+
+    placed = materialize(rows.mapInPandas(place, "vec_id long, v array<double>, list int, far double"), "lists")
+    sizes, spread = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for row in placed.groupBy("list").agg(F.count("*").alias("n"), F.avg("far").alias("far")).collect():  # max_lists rows at most
+        sizes[row["list"]], spread[row["list"]] = row["n"], row["far"]
     blocks = np.maximum(1, -(-sizes // cell_rows))
-    need = max(probe_share * n, probe_least)
 
-    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def dealt(frame: pd.DataFrame, lists: list[np.ndarray], limits: np.ndarray) -> pd.DataFrame:
+        cells = [(i, int(c), b) for i, o in enumerate(lists) for c in o if sizes[c] for b in range(blocks[c])]
+        row, at, b = (np.array(c, np.int64) for c in (zip(*cells, strict=True) if cells else ((), (), ())))
+        return pd.DataFrame({"vec_id": frame["vec_id"].to_numpy()[row], "v": frame["v"].to_numpy()[row], "limit": limits[row], "list": at.astype(np.int32), "block": b.astype(np.int32)})
+
+    def ordered(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Squared distances to the centres, lists by these, and how many of them the first scan takes."""
+        q = stack(frame["v"], np.float64)
+        far = np.maximum(0.0, (centres**2).sum(1) - 2 * (q @ centres.T) + (q**2).sum(1)[:, None])
+        order = np.argsort(far, axis=1, kind="stable")
+        held = np.cumsum(sizes[order], axis=1)
+        return far, order, np.minimum((held < first_rows).sum(1) + 1, len(centres))
+
+    def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if not len(frame):
-                continue
-            q = stack(frame["v"], np.float64)
-            order = np.argsort((centres**2).sum(1) - 2 * (q @ centres.T), axis=1, kind="stable")
-            held = np.cumsum(sizes[order], axis=1)
-            lists = [o[: int(np.searchsorted(h, need)) + 1] for o, h in zip(order, held, strict=True)]
-            cells = [(i, int(c), b) for i, o in enumerate(lists) for c in o if sizes[c] for b in range(blocks[c])]
-            row, at, b = (np.array(c) for c in zip(*cells, strict=True))
-            yield pd.DataFrame({"vec_id": frame["vec_id"].to_numpy()[row], "v": frame["v"].to_numpy()[row], "list": at.astype(np.int32), "block": b.astype(np.int32)})
-
-    queries = placed.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).mapInPandas(probe, "vec_id long, v array<double>, list int, block int")
+            if len(frame):
+                _, order, first = ordered(frame)
+                yield dealt(frame, [o[:f] for o, f in zip(order, first, strict=True)], np.full(len(frame), math.inf))
+
+    def beyond(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                far, order, first = ordered(frame)
+                limit = frame["limit"].to_numpy(np.float64)
+                lists = []
+                for i in range(len(frame)):
+                    rest = order[i, first[i] :]
+                    sd = np.sqrt(np.maximum(4 * far[i] * spread / width + 2 * spread**2 / width, 1e-300))
+                    hits = sizes * normal_share(np.clip((limit[i] ** 2 - far[i] - spread) / sd, -1e3, 1e3)) if limit[i] < math.inf else sizes.astype(float)
+                    rest = rest[np.argsort(-hits[rest], kind="stable")]
+                    left = hits[rest].sum() - np.cumsum(hits[rest])  # expected behind each list
+                    lists.append(rest if limit[i] == math.inf or not miss else rest[: int((left > miss * hits.sum()).sum()) + (hits[rest].sum() > miss * hits.sum())])
+                yield dealt(frame, lists, limit)
+
     split = F.array(*(F.lit(int(b)) for b in blocks))
-    cand = placed.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.get(split, F.col("list"))).cast("int"))
+    cand = placed.select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id", "v"), F.get(split, F.col("list"))).cast("int").alias("block"))
 
-    def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    def search(asked: pd.DataFrame, held: pd.DataFrame, counts: bool = False) -> pd.DataFrame:
         out: list[tuple[int, int, float]] = []
+        seen = [0, 0]
         if len(asked) and len(held):
             held = held.sort_values("vec_id", ignore_index=True)
             ids, own, data, q = held["vec_id"].to_numpy(), asked["vec_id"].to_numpy(), stack(held["v"], np.float64), stack(asked["v"], np.float64)
             data_turned, q_turned = data @ turn, q @ turn
-            for i in range(len(own)):
-                out += [(own[i], b, a) for a, b in scan(q[i], q_turned[i], data, data_turned, ids, own[i], k, block, error)]
+            for i, limit in enumerate(asked["limit"].tolist()):
+                out += [(own[i], b, a) for a, b in scan(q[i], q_turned[i], data, data_turned, ids, own[i], k, block, sigma, limit, seen)]
+        if counts:
+            return pd.DataFrame([seen], columns=["tested", "abandoned"])
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = queries.groupBy("list", "block").cogroup(cand.groupBy("list", "block")).applyInPandas(search, result)
-    return best(found, k, [F.col("score"), F.col("vec_id")])
+    cells = "vec_id long, v array<double>, limit double, list int, block int"
+    asked = materialize(placed.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    order = [F.col("score"), F.col("vec_id")]
+
+    def scanned(queries: DataFrame, counts: bool = False) -> DataFrame:
+        cell = queries.groupBy("list", "block").cogroup(cand.groupBy("list", "block"))
+        return cell.applyInPandas(lambda a, b: search(a, b, counts), tally if counts else result)
+
+    first = asked.mapInPandas(home, cells)
+    near = materialize(best(scanned(first), k, order), "near")
+    limits = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("limit"))
+    second = asked.join(limits, "vec_id", "left").withColumn("limit", F.coalesce("limit", F.lit(math.inf))).mapInPandas(beyond, cells)
+    if count:
+        return scanned(first, True).union(scanned(second, True))
+    return best(near.drop("rank").union(scanned(second)), k, order)
 
 
 TOPK_ORACLE = """
