@@ -16,6 +16,7 @@ and text are one unit whose words they share evenly; an empty table gives an emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -75,8 +76,8 @@ def targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int = 64, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row for each unit (rows of equal id, source and text): ``doc_id``, ``source``, ``fold`` (hash of the text), ``copies`` (its
-    rows), ``size``, ``source_size``, ``target``, ``taken`` (words that each of its rows gives, repeats counted) and ``draws``: an
-    array of (``shard``, ``place``, ``words``), one for each time that a row is drawn; ``place`` orders a shard's documents."""
+    rows), ``size``, ``source_size``, ``target``, ``block``, ``draws``: an array of (``shard``, ``place``, ``words``, ``turn``), one for each time that
+    a row is drawn with its block; and ``taken``, the words of these draws. ``place`` orders a shard's documents."""
     cols = docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), F.xxhash64(docs[text]).alias("fold"), words_count(docs[text]).alias("size"))
     units = materialize(cols.groupBy("doc_id", "source", "fold", "size").agg(F.count("*").alias("copies")), "units")
     per_source = units.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.count("*").alias("units"))
@@ -108,10 +109,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     out = out.withColumn("part", F.floor(part / F.col("copies")))
     draws = F.transform(
         F.col("drawn"),
-        lambda s, i: F.struct(s.alias("shard"), F.xxhash64(F.lit(seed + 2), "key", i).alias("place"), F.when(i < F.col("whole"), F.col("size")).otherwise(F.col("part")).alias("words")),
+        lambda s, i: F.struct(s.alias("shard"), F.xxhash64(F.lit(seed + 2), "key", i).alias("place"), F.when(i < F.col("whole"), F.col("size")).otherwise(F.col("part")).cast("long").alias("words"), i.cast("int").alias("turn")),
     )
     draws = F.filter(draws, lambda d: d["words"] > 0)
-    return out.select("doc_id", "source", "fold", "copies", "size", "source_size", "target", (F.col("size") * F.col("whole") + F.col("part")).cast("long").alias("taken"), draws.alias("draws"))
+    out = out.select("doc_id", "source", "fold", "copies", "size", "source_size", "target", "block", draws.alias("draws"))
+    return out.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"]))
 
 
 def shard_of(place):
@@ -140,12 +142,20 @@ def draw_shards(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
     return quota.groupBy("bucket").applyInPandas(split, "name string, unnamed boolean, blocks_of long, ends array<long>")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each draw; a draw of part of a text keeps its first words. ``options`` go to
-    :func:`mix`; ``doc_id``, ``text`` and ``source`` must keep their names."""
+def mixed_documents(docs: DataFrame, places: bool = False, piece_rows: int = 1 << 18, **options) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each draw; a draw of part of a text keeps its first words. Rows are
+    dealt by shard and ordered by place, so writing the result gives the shuffled shards as files; a shard of over ``piece_rows`` rows is dealt in
+    even ranges of places, so no task holds more than some pieces. places: adds ``shard`` and ``place``. ``options`` go to :func:`mix`; ``doc_id``, ``text`` and ``source`` must keep their names."""
     drawn = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("fold").alias("_fold"), F.col("size").alias("_size"), F.explode("draws").alias("_draw"))
+    drawn = materialize(drawn, "drawn")
+    most = drawn.groupBy("_draw.shard").count().agg(F.max("count")).first()[0] or 0
+    pieces = max(1, math.ceil(most / piece_rows))
     rows = docs.join(drawn, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (F.xxhash64(docs["text"]) == F.col("_fold")))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), 1, F.col("_draw.words").cast("int")), "")
     text = F.when(F.col("_draw.words") >= F.col("_size"), F.col("text")).otherwise(part)
     kept = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return rows.select(*(kept[c].alias(c) if c in kept else docs[c] for c in docs.columns))
+    columns = [(kept[c].alias(c) if c in kept else docs[c]) for c in docs.columns]
+    mixed = rows.select(*columns, F.col("_draw.shard").alias("_shard"), F.col("_draw.place").alias("_place"))
+    piece = F.floor((F.col("_place").cast("double") / 2.0**64 + 0.5) * pieces)
+    mixed = mixed.repartition("_shard", piece).sortWithinPartitions("_shard", "_place")
+    return mixed.withColumnsRenamed({"_shard": "shard", "_place": "place"}) if places else mixed.drop("_shard", "_place")

@@ -30,7 +30,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = mix(table(spark, sf_dir, "documents"))
     rows = units.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken")
+    first = F.transform("draws", lambda d: F.struct(d["shard"].alias("shard"), d["place"].alias("place")))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", first.alias("drawn"))
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

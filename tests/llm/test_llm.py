@@ -220,8 +220,37 @@ def test_mixing(spark, rows):
     assert all(goal[s] - 4 < taken[s] <= goal[s] for s in names)
     assert sum(r["copies"] for r in got) == len(rows)
     assert mixing.mix(docs_of(spark, [])).count() == 0
-    mixed = mixing.mixed_documents(docs_of(spark, rows), block_rows=4, shards=5)
-    assert mixed.columns == docs_of(spark, []).columns and sum(words(r["text"]) for r in mixed.collect()) == sum(taken.values())
+    mixed = mixing.mixed_documents(docs_of(spark, rows), block_rows=4, shards=5, places=True)
+    assert mixed.drop("shard", "place").columns == docs_of(spark, []).columns == mixing.mixed_documents(docs_of(spark, rows)).columns
+    assert sum(words(r["text"]) for r in mixed.collect()) == sum(taken.values())
+    # Each shard lies in one partition, in the order of its places, and holds what its draws say.
+    held = defaultdict(Counter)
+    for n, part in enumerate(mixed.rdd.glom().collect()):
+        assert [(r["shard"], r["place"]) for r in part] == sorted((r["shard"], r["place"]) for r in part)
+        for r in part:
+            held[r["shard"]][n] += words(r["text"])
+    assert all(len(x) == 1 for x in held.values())
+    want = Counter()
+    for r in got:
+        for d in r["draws"]:
+            want[d["shard"]] += d["words"] * r["copies"]
+    assert {k: sum(x.values()) for k, x in held.items()} == {k: n for k, n in want.items() if n}
+    pieces = mixing.mixed_documents(docs_of(spark, rows), block_rows=4, shards=5, places=True, piece_rows=8).collect()
+    assert Counter((r["shard"], r["place"], r["text"]) for r in pieces) == Counter((r["shard"], r["place"], r["text"]) for r in mixed.collect())
+
+
+def test_mixing_follows_the_tree(spark, rows):
+    """The tree decides the shards: with another tree, the draws differ while the words taken stay."""
+    docs = docs_of(spark, rows)
+    one = {(r["doc_id"], r["fold"]): r for r in mixing.mix(docs, block_rows=4, shards=5).collect()}
+    two = {(r["doc_id"], r["fold"]): r for r in mixing.mix(docs, block_rows=4, shards=5, seed=8).collect()}
+    assert {k: r["size"] for k, r in one.items()} == {k: r["size"] for k, r in two.items()}
+    assert any([d["shard"] for d in one[k]["draws"]] != [d["shard"] for d in two[k]["draws"]] for k in one)
+    # Quotas are exact: a shard holds its share of all block copies, to within one.
+    blocks = Counter()
+    for r in mixing.mix(docs, block_rows=4, shards=5).select("source", "block", F.explode("draws").alias("d"), F.col("d.turn").alias("turn")).select("source", "block", "turn", "d.shard").distinct().collect():
+        blocks[r["shard"]] += 1
+    assert len(blocks) == 5 and max(blocks.values()) - min(blocks.values()) <= 2
 
 
 def test_split_tree():
@@ -255,7 +284,7 @@ def test_nearest(spark):
     rows, df = vector_rows(spark)
     ok = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v)]
     got = defaultdict(list)
-    for r in vectors.nearest_neighbours(df, cell_rows=64).orderBy("query_id", "rank").collect():
+    for r in vectors.nearest_neighbours(df, cell_rows=64, first_rows=50).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["score"], r["vec_id"]))
     found = 0
     queries_ = {i: v for i, v in ok if i % 100 == 0}
@@ -268,17 +297,47 @@ def test_nearest(spark):
     assert vectors.nearest_neighbours(df.limit(0)).count() == 0
 
 
-def test_nearest_recall(spark):
+def brute_nearest(ids, v, q, k=10):
+    d = np.sqrt(((v - v[q]) ** 2).sum(1))
+    d[ids == ids[q]] = np.inf
+    return [int(ids[j]) for j in np.lexsort((ids, d))[:k]]
+
+
+@pytest.mark.parametrize("first_rows", [16, 100, 2000])
+def test_nearest_recall(spark, first_rows):
+    """first_rows 16: nearly all that is found comes from lists chosen by their expected hits."""
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     x = df.orderBy("vec_id").toPandas()
     ids, v = x["vec_id"].to_numpy(), np.array(x["embedding"].tolist(), np.float64)
-    got = vectors.nearest_neighbours(df, probe_least=100).toPandas().groupby("query_id")["vec_id"].apply(set)
-    recall = []
-    for i in np.flatnonzero(ids % 100 == 0):
-        d = ((v - v[i]) ** 2).sum(1)
-        d[i] = np.inf
-        recall.append(len(got[ids[i]] & set(ids[np.argsort(d)[:10]])) / 10)
+    got = vectors.nearest_neighbours(df, first_rows=first_rows).toPandas().groupby("query_id")["vec_id"].apply(set)
+    recall = [len(got[ids[i]] & set(brute_nearest(ids, v, i))) / 10 for i in np.flatnonzero(ids % 100 == 0)]
     assert np.mean(recall) >= 0.9
+    seen = vectors.nearest_neighbours(df, first_rows=first_rows, count=True).groupBy().sum().first()
+    assert seen[0] > 10_000 and seen[1] > 0.3 * seen[0]  # candidates are tested, and abandoned
+
+
+def test_nearest_in_clusters_scans_few_lists(spark):
+    """Where rows have neighbours, the share of rows that is scanned is small, and recall whole."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((60, 16)) * 10
+    v = np.repeat(base, 100, 0) + rng.standard_normal((6000, 16)) * 0.1
+    ids = rng.permutation(6000)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    got = vectors.nearest_neighbours(df, first_rows=300).toPandas().groupby("query_id")["vec_id"].apply(set)
+    recall = [len(got[ids[i]] & set(brute_nearest(ids, v, i))) / 10 for i in np.flatnonzero(ids % 100 == 0)]
+    assert np.mean(recall) >= 0.98
+    seen = vectors.nearest_neighbours(df, first_rows=300, count=True).groupBy().sum().first()
+    assert seen[0] < 0.15 * 60 * 6000
+
+
+def test_nearest_exact_setting_and_unequal_lengths(spark):
+    rng = np.random.default_rng(6)
+    full = [rng.standard_normal(int(n)).round(3).tolist() for n in rng.integers(5, 12, 500)]
+    v = np.array([x + [0.0] * (12 - len(x)) for x in full])
+    df = spark.createDataFrame(list(enumerate(full)), "vec_id long, embedding array<double>")
+    got = vectors.nearest_neighbours(df, first_rows=20, miss=0.0, sigma=float("inf")).orderBy("query_id", "rank").collect()
+    ids = np.arange(500)
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(q, i) for q in range(0, 500, 100) for i in brute_nearest(ids, v, q)]
 
 
 def test_url_filter(spark):
