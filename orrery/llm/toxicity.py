@@ -1,16 +1,20 @@
 """Toxicity by weak supervision.
 
-Many weak voters look at a text: word lists, patterns (runs of letters inside words) and the manner of writing. A generative label model
-takes their votes for a Gaussian mixture of two classes with a full covariance, so voters that err together count less, and
-estimates by expectation maximisation how accurate each voter is; the given label votes too. Its posterior labels train a linear
-classifier over the presence of words and letter runs; that classifier scores every text.
+Many weak voters look at a text: word lists, patterns, the manner of writing, and mined lists of words and letter runs. A generative label
+model takes their votes for a Gaussian mixture of two classes with a full covariance, so voters that err together count less, and
+estimates by expectation maximisation how accurate each voter is. A given label is one more voter, whose accuracy for either class is
+estimated too; rows without a label are voted on as well. The posterior labels train a linear classifier over the presence of words and letter
+runs; that classifier scores every text.
 
-What may be learned is bounded: ``max_labelled`` labelled rows (those of the least hash of their id) are read, and ``max_features``
-features kept. Every text is scored whole. Ids, languages, sources and labels are never inputs of a score.
+Voters never know the label of the row that they vote on: labelled rows are halved by a hash of their id, lists are mined in one half and vote
+on the other, and rows without a label are voted on by the lists of one half each.
+
+What may be learned is bounded: ``max_labelled`` labelled rows and ``max_unlabelled`` rows without a label (those of the least hash of their
+id) are read, none of them held out. Every text is scored whole. Ids, languages, sources and labels are never inputs of a score.
 
 Cases: null and empty texts get the score of a text without features; labels that are null or contradict each other: null is
-ignored, toxic wins; without labels of both classes the word list alone decides; rows are scored one by one, so repeated rows and null ids
-pass unchanged; other columns are ignored.
+ignored, toxic wins; without labels of both classes the fixed voters alone make the posterior labels; with no rows to learn from, the
+fixed word lists are the classifier; rows are scored one by one, so repeated rows and null ids pass unchanged; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +31,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bounds, materialize
-
-#: A voter's word list: common insults.
-INSULTS = frozenset("idiot idiots moron morons stupid dumb fool fools loser losers trash garbage scum pathetic worthless disgusting clown clowns jerk filthy vermin imbecile cretin".split())
+from .common import arrow_bounds, materialize, partitions
+
+#: Fixed voters' word lists, our own: names for people, scorn, and words that deny being human.
+LEXICONS = [
+    frozenset("idiot idiots moron morons fool fools loser losers clown clowns jerk jerks imbecile cretin dimwit".split()),
+    frozenset("stupid dumb pathetic worthless disgusting filthy trash garbage ugly".split()),
+    frozenset("scum vermin parasite parasites subhuman maggot maggots".split()),
+]
+INSULTS = frozenset().union(*LEXICONS)
+#: Fixed voters' patterns: an insult after "you", orders to be gone, masked words.
+PATTERNS = [re.compile(r"\byou(?:'re| are)?\W+(?:\w+\W+){0,2}(?:" + "|".join(sorted(INSULTS)) + r")\b"), re.compile(r"\b(?:shut up|get lost|drop dead|go to hell)\b"), re.compile(r"\b[a-z][*@#$%]{2,}[a-z]?\b")]
 WORD = re.compile(r"[^\W\d_]+")
 RUNS = (4, 5, 6)
 #: So many different words of one beginning are a feature of their own.
 TIMES = (2, 3, 4, 6)
 STRIPES = 6
+#: A feature counts where its G-squared against the class would make so many of all features pass by chance.
+BY_CHANCE = 4
+#: Share of toxic texts among those with a feature, at least, for a mined list.
+PURE = 0.9
 
 
 def features_of(word: str) -> list[str]:
@@ -104,47 +119,57 @@ class Scorer:
         return {"weights": self.weights, "bias": self.bias, "shared": self.shared, "known": {}}
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25, trust: float = 0.99) -> np.ndarray:
-    """Posterior of class 1 for each row. votes: rows x voters in {-1, 0, 1}; gold: the given labels, which vote with accuracy ``trust``
-    at first, and then with the accuracy that the rounds find. Correlations: both classes share the covariance of the votes around
-    their class means, and a row's log odds are the linear discriminant under it. Where all voters abstain, that is no evidence: the prior and
-    the given label decide."""
-    silent = ~(votes > 0).any(1)
+def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Posterior of class 1 for each row. votes: rows x voters in {-1, 0, 1}; gold: the given labels, -1 where there is none. Correlations: both
+    classes share the covariance of the votes around their class means, and a row's log odds are the linear discriminant under it. Rows on
+    which no voter calls class 1 share one estimate, since silence tells as much about the voters as about the row. The given label votes with
+    the accuracy for either class that the rounds find, from a prior of ten labels of which nine are right."""
+    silent, known = ~(votes > 0).any(1), gold >= 0
     votes = votes[:, votes.std(0) > 0]
-    post, accuracy = np.where(gold == 1, trust, 1 - trust), trust
-    for _ in range(rounds if votes.shape[1] else 0):
-        prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
-        one, zero = post @ votes / post.sum(), (1 - post) @ votes / (1 - post).sum()
-        a, b = votes - one, votes - zero
-        cov = (a.T @ (a * post[:, None]) + b.T @ (b * (1 - post)[:, None])) / len(votes)
-        cov += np.eye(votes.shape[1]) * (0.02 + 1.0 / len(votes))
-        w = np.linalg.solve(cov, one - zero)
-        odds = (votes - (one + zero) / 2) @ w + math.log(prior / (1 - prior))
-        odds[silent] = math.log(prior / (1 - prior))
-        own = math.log(accuracy / (1 - accuracy))
-        new = 1 / (1 + np.exp(-np.clip(odds + np.where(gold == 1, own, -own), -30, 30)))
-        accuracy = float(np.clip(np.where(gold == 1, new, 1 - new).mean(), 0.95, 0.999))
+    if (gold == 1).any() and (gold == 0).any():
+        post = np.where(gold == 1, 0.95, np.where(gold == 0, 0.05, (gold == 1).sum() / known.sum()))
+    else:
+        post = np.where(silent, 0.02, 0.9)
+    logit = lambda p: math.log(p / (1 - p))
+    bound = lambda p: float(np.clip(p, 1e-4, 1 - 1e-4))
+    for _ in range(rounds):
+        odds = np.full(len(votes), logit(bound(post.mean())))
+        if votes.shape[1]:
+            one, zero = post @ votes / post.sum(), (1 - post) @ votes / (1 - post).sum()
+            a, b = votes - one, votes - zero
+            cov = (a.T @ (a * post[:, None]) + b.T @ (b * (1 - post)[:, None])) / len(votes)
+            cov += np.eye(votes.shape[1]) * (0.02 + 1.0 / len(votes))
+            odds += (votes - (one + zero) / 2) @ np.linalg.solve(cov, one - zero)
+        if silent.any():
+            odds[silent] = logit(bound(post[silent].mean()))
+        right1 = (post[gold == 1].sum() + 9) / (post[known].sum() + 10)
+        right0 = ((1 - post)[gold == 0].sum() + 9) / ((1 - post)[known].sum() + 10)
+        own = np.where(gold == 1, math.log(right1 / (1 - right0)), np.where(gold == 0, math.log((1 - right1) / right0), 0.0))
+        new = 1 / (1 + np.exp(-np.clip(odds + own, -30, 30)))
         if np.abs(new - post).max() < 1e-4:
             return new
         post = new
     return post
 
 
-def train(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 2e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on posterior labels by accelerated gradient steps. Returns weights and bias."""
-    n, d = x.shape
-    w, v, bias = np.zeros(d, np.float64), np.zeros(d, np.float64), math.log(np.clip(y.mean(), 1e-3, 0.999) / (1 - np.clip(y.mean(), 1e-3, 0.999)))
+def train(rows: np.ndarray, at: np.ndarray, d: int, y: np.ndarray, rounds: int = 400, ridge: float = 2e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression on posterior labels by accelerated gradient steps. rows, at: row and feature of each feature present, of ``d``. Returns
+    weights and bias."""
+    n, share = len(y), float(np.clip(y.mean(), 1e-3, 0.999))
+    forth = lambda v: np.bincount(rows, v[at], n)
+    back = lambda g: np.bincount(at, g[rows], d)
+    w, v, bias = np.zeros(d), np.zeros(d), math.log(share / (1 - share))
     look, mean = bias, bias
     turn, largest = np.ones(d) / max(1, d) ** 0.5, 0.0
-    for _ in range(30 if min(n, d) else 0):  # power iteration
-        turn = x.T @ (x @ turn)
+    for _ in range(30 if d else 0):  # power iteration
+        turn = back(forth(turn))
         largest = float(np.linalg.norm(turn))
         turn = turn / max(largest, 1e-12)
     lipschitz = 0.25 * 1.05 * largest / n + 0.25 + ridge
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ v + look, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(forth(v) + look, -30, 30)))
         gap = (p - y) / n
-        w_new, b_new = v - (x.T @ gap + ridge * v) / lipschitz, look - gap.sum() / lipschitz
+        w_new, b_new = v - (back(gap) + ridge * v) / lipschitz, look - gap.sum() / lipschitz
         beta = k / (k + 3)
         v, look, w, bias = w_new + beta * (w_new - w), b_new + beta * (b_new - mean), w_new, b_new
         mean = bias
@@ -168,66 +193,125 @@ def calibrate(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return (float(ab[0]), float(ab[1])) if ab[0] > 0 and np.isfinite(ab).all() else (1.0, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", max_labelled: int = 6000, max_features: int = 1500) -> Scorer:
-    """Learns from labels whose id's ``crc32`` leaves a remainder other than 0 by 5, at most ``max_labelled`` of them."""
-    spark = docs.sparkSession
-    arrow_bounds(spark)
-    given = labels.select(labels[doc_id].alias("doc_id"), labels[toxic].alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
-    given = given.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).filter(~held_out(F.col("doc_id")))
-    # At most max_labelled rows of two numbers are broadcast. Repeated ids count once.
-    rows = texts.join(F.broadcast(given), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
-    rows = materialize(rows.repartition(8, "doc_id"), "labelled")
-    total = dict(rows.groupBy("toxic").count().collect())
-    n1, n0 = total.get(1, 0), sum(v for k, v in total.items() if k != 1)
-    if not n1 or not n0:
-        return Scorer({number(f"={w}"): 6.0 for w in INSULTS}, -3.0)
+def g_squared(n: Column, k: Column, rows: float, ones: float) -> Column:
+    """Half the G-squared of a feature against the class: it is in ``n`` of the rows and ``k`` of those of class 1."""
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    zeros = rows - ones
+    return part(k, n * ones / rows) + part(n - k, n * zeros / rows) + part(ones - k, (rows - n) * ones / rows) + part(zeros - n + k, (rows - n) * zeros / rows)
+
+
+def telling(sums: DataFrame, rows: float, ones: float) -> DataFrame:
+    """sums: ``n``, ``k`` of each feature. Those whose class is no chance, the most telling first. Of F features, F times exp(-g) / sqrt(pi g) pass a
+    half G-squared of g by chance, so the bound grows with the features that are tested."""
+    tested = sums.count()
+    g = 1.0
+    while tested * math.exp(-g) / math.sqrt(math.pi * g) > BY_CHANCE:
+        g += 0.05
+    return sums.withColumn("g", g_squared(F.col("n"), F.col("k"), rows, ones)).filter(F.col("g") > g).orderBy(F.desc("g"), "f")
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """rows: ``text``, ``y``, ``half``. Each feature ``f`` and half with ``n`` and ``k``: texts that have it, and those of them of class 1."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ones, alls = Counter(), Counter()
         for frame in frames:
-            for t, y in zip(frame["text"], frame["toxic"], strict=True):
-                seen = text_features(t)
+            for t, y, half in zip(frame["text"], frame["y"], frame["half"], strict=True):
+                seen = [(f, half) for f in text_features(t)]
                 alls.update(seen)
                 if y == 1:
                     ones.update(seen)
         if alls:
-            yield pd.DataFrame({"f": list(alls), "n": list(alls.values()), "k": [ones[f] for f in alls]})
-
-    sums = rows.select("text", "toxic").mapInPandas(count, "f string, n long, k long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    # G-squared of presence against the label.
-    def part(o: Column, e: Column) -> Column:
-        return F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-
-    every, n, k = float(n0 + n1), F.col("n"), F.col("k")
-    g = sum(part(o, e) for o, e in ((k, n * n1 / every), (n - k, n * n0 / every), (n1 - k, (every - n) * n1 / every), (n0 - n + k, (every - n) * n0 / every)))
-    best = sums.filter(f"n >= 3 and n < {every}").withColumn("g", g).filter("g > 5").orderBy(F.desc("g"), "f").limit(max_features).collect()
-    rising = [r["f"] for r in best if r["k"] * n0 > (r["n"] - r["k"]) * n1]
-    place = {number(r["f"]): i for i, r in enumerate(best)}
-    lists = [frozenset(number(f) for f in rising[i::STRIPES] if (f[0] == "=") == own) for own in (True, False) for i in range(STRIPES)]
-    lists += [frozenset(number(f"={w}") for w in INSULTS)]
-    named = frozenset().union(*lists) | frozenset(place)
-    shared: dict[int, list[tuple[int, int]]] = {}
-    for f in (r["f"] for r in best if r["f"][0].isdigit()):
-        shared.setdefault(number(f[1:]), []).append((int(f[0]), number(f)))
-    probe = Scorer(dict.fromkeys(named, 0.0), 0.0, shared)
+            yield pd.DataFrame({"f": [f for f, _ in alls], "half": [h for _, h in alls], "n": list(alls.values()), "k": [ones[f] for f in alls]})
+
+    sums = rows.select("text", "y", "half").mapInPandas(count, "f string, half int, n long, k long")
+    return sums.groupBy("f", "half").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+
+
+def learned_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, max_labelled: int, max_unlabelled: int) -> DataFrame:
+    """``doc_id``, ``text``, ``gold`` (0, 1 or null), ``half`` (0 or 1 by a hash of the id) of the rows to learn from; none is held out."""
+    given = labels.select(labels[doc_id].alias("doc_id"), labels[toxic].alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
+    given = given.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("gold"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    free = texts.select("doc_id").distinct().join(given.select("doc_id"), "doc_id", "left_anti").orderBy(*order).limit(max_unlabelled)
+    wanted = given.orderBy(*order).limit(max_labelled).select("doc_id", "gold").union(free.select("doc_id", F.lit(None).cast("int").alias("gold")))
+    # At most max_labelled + max_unlabelled rows of two numbers are broadcast. Repeated ids count once.
+    rows = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("gold").alias("gold"))
+    half = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).cast("int")
+    return rows.withColumn("half", half).repartition(partitions(docs.sparkSession), "doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", max_labelled: int = 6000, max_unlabelled: int = 3000) -> Scorer:
+    """Learns from labels whose id's ``crc32`` leaves a remainder other than 0 by 5, at most ``max_labelled`` of them, and from the texts of at
+    most ``max_unlabelled`` rows without a label."""
+    arrow_bounds(docs.sparkSession)
+    rows = materialize(learned_rows(docs, labels, doc_id, text, toxic, max_labelled, max_unlabelled), "learned")
+    total = {(r["half"], r["gold"]): r["n"] for r in rows.groupBy("half", "gold").agg(F.count("*").alias("n")).collect()}
+    if not total:
+        return Scorer({number(f"={w}"): 6.0 for w in INSULTS}, -3.0)
+    # Lists mined in one half vote on the other one.
+    mined: dict[int, list[str]] = {0: [], 1: []}
+    both = sum(n for (_, y), n in total.items() if y == 1) and sum(n for (_, y), n in total.items() if y == 0)
+    if both:
+        sums = materialize(counted(rows.filter("gold is not null").withColumnRenamed("gold", "y")), "counts")
+        for half in (0, 1):
+            n1, n0 = total.get((half, 1), 0), total.get((half, 0), 0)
+            if n1 and n0:
+                own = telling(sums.filter((F.col("half") == half) & (F.col("n") >= 2)), float(n1 + n0), float(n1)).filter(F.col("k") >= PURE * F.col("n"))
+                mined[half] = [r["f"] for r in own.select("f").collect()]  # of bounded rows
+    fixed = [frozenset(number(f"={w}") for w in words) for words in LEXICONS]
+    lists = {half: [frozenset(number(f) for f in found[i::STRIPES] if (f[0] == "=") == own) for own in (True, False) for i in range(STRIPES)] for half, found in mined.items()}
+    probe = Scorer(dict.fromkeys(frozenset().union(*fixed, *lists[0], *lists[1]), 0.0), 0.0, shared_of([*mined[0], *mined[1]]))
+
+    def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for t, half in zip(frame["text"], frame["half"], strict=True):
+                hits, low = probe.hits(t), (t or "").lower()
+                own = [int(bool(hits & x)) for x in [*lists[1 - half], *fixed]] + [int(bool(p.search(low))) for p in PATTERNS] + [int(shouts(t))]
+                out.append([*own, -1 if not any(own) else 0])
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "gold": frame["gold"].fillna(-1).astype(int), "votes": out})
+
+    seen = rows.select("doc_id", "text", "gold", "half").mapInPandas(vote, "doc_id long, gold int, votes array<int>").orderBy("doc_id").toPandas()  # bounded rows
+    post = label_model(np.array(seen["votes"].tolist(), np.float64), seen["gold"].to_numpy())
+    sure = dict(zip(seen["doc_id"].tolist(), post.tolist(), strict=True))
+
+    def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"text": frame["text"], "y": [int(sure[i] >= 0.5) for i in frame["doc_id"]], "half": 0})
+
+    ones, every = float((post >= 0.5).sum()), float(len(post))
+    best: list[str] = []
+    if 0 < ones < every:
+        sums = materialize(counted(rows.select("doc_id", "text").mapInPandas(judged, "text string, y int, half int")).filter(f"n >= 3 and n < {every}"), "judged")
+        best = [r["f"] for r in telling(sums, every, ones).select("f").collect()]  # of bounded rows
+    place = {number(f): i for i, f in reversed(list(enumerate(best)))}
+    shared = shared_of(best)
+    reader = Scorer(dict.fromkeys(place, 0.0), 0.0, shared)
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            hits = [probe.hits(t) for t in frame["text"]]
-            votes = [[int(bool(h & own)) for own in lists] + [int(shouts(t))] for h, t in zip(hits, frame["text"], strict=True)]
-            votes = [v + [-1 if not any(v) else 0] for v in votes]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["toxic"], "hits": [sorted(place[x] for x in h if x in place) for h in hits], "votes": votes})
-
-    seen = rows.mapInPandas(look, "doc_id long, y int, hits array<int>, votes array<int>").orderBy("doc_id").toPandas()  # max_labelled rows at most
-    x = np.zeros((len(seen), len(best)), np.float32)
-    for i, h in enumerate(seen["hits"]):
-        x[i, h] = 1
-    gold = (seen["y"].to_numpy() == 1).astype(int)
-    post = label_model(np.array(seen["votes"].tolist(), np.float64), gold)
-    w, bias = train(x, post)
-    slope, offset = calibrate(x @ w + bias, post)
-    return Scorer({at: slope * float(w[i]) for at, i in place.items() if w[i]}, slope * bias + offset, shared)
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "hits": [sorted(place[x] for x in reader.hits(t) if x in place) for t in frame["text"]]})
+
+    hits = rows.select("doc_id", "text").mapInPandas(look, "doc_id long, hits array<int>").orderBy("doc_id").toPandas()["hits"]  # bounded rows
+    who = np.repeat(np.arange(len(hits)), hits.map(len).to_numpy())
+    at = np.concatenate([np.zeros(0, np.int64), *(np.asarray(h, np.int64) for h in hits)])
+    w, bias = train(who, at, len(best), post)
+    slope, offset = calibrate(np.bincount(who, w[at], len(hits)) + bias, post)
+    return Scorer({x: slope * float(w[i]) for x, i in place.items() if w[i]}, slope * bias + offset, shared)
+
+
+def shared_of(features: list[str]) -> dict[int, list[tuple[int, int]]]:
+    """Of each beginning's number, the features of several words that share it."""
+    shared: dict[int, list[tuple[int, int]]] = {}
+    for f in dict.fromkeys(features):
+        if f[0].isdigit():
+            shared.setdefault(number(f[1:]), []).append((int(f[0]), number(f)))
+    return shared
 
 
 def held_out(doc_id: Column) -> Column:

@@ -405,10 +405,50 @@ def test_toxicity(spark):
     held = [(s >= 0.5) == (i % 6 == 0) for i, (h, s) in got.items() if i is not None and i < 900 and h]
     assert sum(held) / len(held) >= 0.95
     assert got[1000][1] == got[None][1] < 0.5
+    # Scores, recomputed from the weights by the stated features.
+    for t in ("you idiot", "zorgabc zorgfed", rows[0][1], "", None):
+        words = set(re.findall(r"[^\W\d_]+", (t or "").lower()))
+        runs = Counter(f for w in words for f in {f"={w}", *(f"^{w}"[i : i + n] for n in (4, 5, 6) for i in range(len(w) + 2 - n))})
+        have = set(runs) | {f"{k}{f}" for f, n in runs.items() if f[0] == "^" for k in (2, 3, 4, 6) if n >= max(k, 2)}
+        z = model.bias + sum(model.weights.get(zlib.crc32(f.encode()), 0.0) for f in have)
+        assert abs(model.score(t) - 1 / (1 + np.exp(-z))) < 1e-9
+    # Held-out labels change no score.
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    turned = toxicity.fit(docs, spark.createDataFrame([(i, 1, 1 - y if out(i) else y) for i, _, y in labels], "doc_id long, quality int, toxic int"))
+    assert turned.weights == model.weights and turned.bias == model.bias
+    # Repeated rows and extra columns change nothing; an empty table leaves the fixed lists.
+    twice = toxicity.fit(docs.union(docs), spark.createDataFrame(labels + labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("idiot")))
+    assert twice.weights == model.weights
+    none = toxicity.fit(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert none.score("you idiot") > 0.5 > none.score(None)
+    # Without labels, the fixed voters' posterior labels teach the classifier.
     alone = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert alone.score("you idiot") > 0.5 > alone.score("hello")
 
 
+def test_label_model_tells_voters_apart():
+    """Two copies of a bad voter don't outvote a good one; rows without a label get posteriors; wrong labels are overruled."""
+    rng = np.random.default_rng(1)
+    y = rng.random(4000) < 0.3
+    flip = lambda p: np.where(rng.random(4000) < p, ~y, y).astype(float)
+    good, bad = flip(0.03), flip(0.35)
+    votes = np.stack([good, flip(0.05), bad, np.where(rng.random(4000) < 0.02, 1 - bad, bad)], 1)
+    gold = np.where(rng.random(4000) < 0.3, np.where(rng.random(4000) < 0.02, ~y, y).astype(int), -1)
+    post = toxicity.label_model(votes, gold)
+    assert ((post > 0.5) == y)[gold < 0].mean() > 0.95 and ((post > 0.5) == y)[gold >= 0].mean() > 0.97
+    crowd = (votes.mean(1) > 0.5) == y
+    assert ((post > 0.5) == y)[gold < 0].mean() > crowd[gold < 0].mean()
+
+
+def test_mined_lists_never_see_the_label_of_the_row(spark):
+    """A word that stands in one text alone can't make that text's own vote."""
+    base = [(i, f"plain words of row {'idiot' if i % 5 == 0 else 'x'} only{i}", "s") for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: (r["gold"], r["half"]) for r in toxicity.learned_rows(docs_of(spark, base), labels.filter("doc_id < 150"), "doc_id", "text", "toxic", 6000, 20).collect()}
+    assert not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in rows)
+    assert sum(g is None for g, _ in rows.values()) == 20 and {h for _, h in rows.values()} == {0, 1}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
@@ -542,5 +582,5 @@ def test_pipeline(spark):
     want = Counter((r["doc_id"], *own.digest(r["text"])) for r in mixed.collect())
     assert Counter(map(tuple, tokenize(spark, mixed, SF).collect())) == want
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
-    for stage in (drop_lines, drop_near, mix_sources, tokenize):
+    for stage in (drop_toxic, drop_lines, drop_near, mix_sources, tokenize):
         assert stage(spark, docs.limit(0), SF).count() == 0
