@@ -159,11 +159,12 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str | None) -> Encoder:
+    """A worker's encoder. Without a path, the vocabulary file is found where the worker runs."""
+    return Encoder(path or default_path())
 
 
-def bpe_encode(text: Column, path: str) -> Column:
+def bpe_encode(text: Column, path: str | None = None) -> Column:
     """Array of ids of each text."""
 
     @F.pandas_udf("array<int>")
@@ -174,7 +175,7 @@ def bpe_encode(text: Column, path: str) -> Column:
     return encode(text)
 
 
-def bpe_decode(ids: Column, path: str) -> Column:
+def bpe_decode(ids: Column, path: str | None = None) -> Column:
     """Text of each array of ids; a null array decodes to an empty text, unknown ids are left out."""
 
     @F.pandas_udf("string")
@@ -185,7 +186,7 @@ def bpe_decode(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
-def bpe_digest(text: Column, path: str, spark) -> Column:
+def bpe_digest(text: Column, path: str | None, spark) -> Column:
     """Struct of ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each text, encoded and decoded in one pass."""
     arrow_bounds(spark)
 

@@ -13,9 +13,12 @@ ARROW_ROWS, ARROW_BYTES = 2048, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), an own temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a temporary one of
+    its own; a cluster gets an error, since executors can't see such a folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='checkpoints-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

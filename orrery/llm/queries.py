@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linededup, urls, vectors, warc
-from .bpe import bpe_digest, default_path
+from .bpe import bpe_digest
 from .common import table
 from .mixing import mix
 from .suffixdedup import suffix_dedup
@@ -44,7 +44,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", bpe_digest(docs["text"], default_path(), spark).alias("x")).select("doc_id", "x.*")
+    return docs.select("doc_id", bpe_digest(docs["text"], None, spark).alias("x")).select("doc_id", "x.*")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

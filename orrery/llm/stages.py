@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import bpe_digest, default_path
+from .bpe import bpe_digest
 from .common import table
 from .linededup import deduped
 from .mixing import mixed_documents
@@ -41,4 +41,4 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.select("doc_id", bpe_digest(docs["text"], default_path(), spark).alias("x")).select("doc_id", "x.*")
+    return docs.select("doc_id", bpe_digest(docs["text"], None, spark).alias("x")).select("doc_id", "x.*")

@@ -144,14 +144,17 @@ def records_in(source, size: int, start: int, end: int) -> Iterator[bytes]:
                 raise zlib.error
             member, parts, next_ = zlib.decompressobj(31), [], at
             while not member.eof:
+                held, base = held[next_ - base :], next_  # what is read is let go, so a long record is copied once
                 grow(next_ + CHUNK)
-                piece = held[next_ - base : next_ - base + CHUNK]
+                piece = held[:CHUNK]
                 if not piece:
                     raise zlib.error
                 parts.append(member.decompress(piece))
                 next_ += len(piece) - len(member.unused_data)
         except zlib.error:
             at += 1
+            if base > at:  # a candidate that failed far inside: the search goes on behind its start
+                held, base, more = b"", at, at
             continue
         yield b"".join(parts)
         at = next_

@@ -378,6 +378,15 @@ def test_warc(spark, split):
     assert warc.round_trip(spark, df.limit(0)).count() == 0
 
 
+def test_warc_long_record_and_false_starts(spark):
+    """A record of 12 MB that hardly compresses; magic bytes inside a payload start nothing."""
+    long_ = random.Random(1).randbytes(6 << 20).hex()
+    magic = b"\x1f\x8b\x08\x00".decode("latin-1") * 50
+    df = spark.createDataFrame([(1, "u", long_), (2, "u", magic), (3, "u", "x")], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.round_trip(spark, df, 1 << 20).collect()}
+    assert got == {i: (len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, h in ((1, long_), (2, magic), (3, "x"))}
+
+
 def test_warc_text(spark):
     df = spark.createDataFrame([(1, "http://a/1", "ä<p>")], "page_id long, url string, html string")
     from orrery.llm.common import scratch
