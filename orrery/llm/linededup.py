@@ -89,13 +89,15 @@ def chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, longes
 def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, divisor: int = DIVISOR, longest: int = LONGEST) -> DataFrame:
     """Returns, for each row, ``row`` (the struct of its columns), ``doc_id``, ``fold`` (MD5 of the input text), ``text`` (what is kept), ``n_lines`` and
     ``n_removed`` (lines of the input, and removed ones)."""
-    docs = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    slim = materialize(chunks(docs.select("doc_id", "text"), window, divisor, longest), "chunks")
+    slim = materialize(chunks(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), window, divisor, longest), "chunks")
     repeated = slim.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     near = materialize(slim.join(repeated, "hash", "left_semi"), "candidates")
     marks = near.groupBy(F.col("doc_id").alias("_id"), F.col("fold").alias("_fold")).agg(F.collect_set(F.struct("first", "lines", "hash")).alias("marks"))
-    rows = docs.withColumn("fold", F.md5("text"))
-    rows = materialize(rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fold") == F.col("_fold")), "left").drop("_id", "_fold"), "marked")
+    # A row travels as one struct: its text is held once, and columns of any name come along.
+    own = [F.col("row").getField(doc_id).alias("doc_id"), F.col("row").getField(text).alias("text")]
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.md5(docs[text]).alias("fold"))
+    rows = rows.join(marks, F.col("row").getField(doc_id).eqNullSafe(F.col("_id")) & (F.col("fold") == F.col("_fold")), "left")
+    rows = materialize(rows.select("row", "fold", "marks"), "marked").select("row", *own, "fold", "marks")
     # Byte comparison: of hashes that repeat, the chunks' own bytes are grouped.
     body = lambda lines: F.transform("marks", lambda m: F.struct(m["hash"].alias("hash"), m["first"].alias("first"), m["lines"].alias("lines"), F.array_join(F.slice(lines, m["first"] + 1, m["lines"]), "\n").alias("chunk")))
     texts = rows.filter("marks is not null").select("doc_id", "fold", F.explode(let(F.split("text", "\n", -1), body)).alias("z")).select("doc_id", "fold", "z.*")
