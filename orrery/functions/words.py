@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,7 +52,7 @@ def transposition(a: Column, b: Column) -> Column:
 
 def within_one(a: Column, b: Column) -> Column:
     """Whether the optimal string alignment distance is 1 at most."""
-    return (F.levenshtein(a, b) <= 1) | F.coalesce(transposition(a, b), F.lit(False))
+    return F.levenshtein(a, b, 1).between(0, 1) | F.coalesce(transposition(a, b), F.lit(False))
 
 
 def scramble(a: Column, b: Column) -> Column:
@@ -69,30 +68,22 @@ def keyboard_slip(a: Column, b: Column) -> Column:
     return (F.length(a) == F.length(b)) & (F.size(at) == 1) & F.coalesce(F.contains(near[F.substring(a, i, F.lit(1))], F.substring(b, i, F.lit(1))), F.lit(False))
 
 
-def alignment(a: str, b: str, limit: int) -> int:
-    """Optimal string alignment distance, or ``limit`` + 1 if it is larger."""
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
-    older, old = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, older[j - 2] + 1)
-            row.append(best)
-        if min(row) > limit and (i < 2 or min(old) > limit):
-            return limit + 1
-        older, old = old, row
-    return min(old[-1], limit + 1)
-
-
 def alignment_within(a: Column, b: Column, limit: int = 2) -> Column:
-    @F.pandas_udf("int")
-    def measure(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([alignment(p, q, limit) for p, q in zip(x, y, strict=True)], dtype="int32")
-
-    return measure(a, b)
+    """Optimal string alignment distance if it is 2 at most, else 3; ``limit`` 1 or 2. Plain edits are counted by the built-in distance, which stops early. Only
+    words that are 3 or 4 plain edits apart can be nearer by swaps: then a swapped pair must part both words so that at most one edit or swap is left
+    before or behind it."""
+    if limit == 1:
+        return F.when(a == b, 0).when(within_one(a, b), 1).otherwise(2)
+
+    def parted(i: Column, s: Column) -> Column:
+        pair = (F.substring(a, i, F.lit(1)) == F.substring(b, i + s + 1, F.lit(1))) & (F.substring(a, i + 1, F.lit(1)) == F.substring(b, i + s, F.lit(1)))
+        head, own = F.substring(a, F.lit(1), i - 1), F.substring(b, F.lit(1), i + s - 1)
+        tail, end = F.substring(a, i + 2, F.length(a)), F.substring(b, i + s + 2, F.length(b))
+        return (i + s >= 1) & pair & (((head == own) & within_one(tail, end)) | (within_one(head, own) & (tail == end)))
+
+    swapped = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: F.exists(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: parted(i, s)))
+    near = F.levenshtein(a, b, 4)
+    return F.when(a == b, 0).when(within_one(a, b), 1).when(near == 2, 2).when((near > 2) & (F.length(a) > 1) & swapped, 2).otherwise(3)
 
 
 def apply_casing(original: Column, word: Column) -> Column:

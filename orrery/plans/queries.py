@@ -177,21 +177,95 @@ def candidates_d1(spark, sf_dir):
     return pairs.filter(W.within_one(F.col("input"), F.col("word")))
 
 
+def distance2(a: str, b: str) -> str:
+    """SQL of the optimal string alignment distance of 2 at most: plain edits, or a swapped pair that parts both words."""
+    one = lambda x, y: f"(levenshtein({x}, {y}) <= 1 OR (len({x}) = len({y}) AND levenshtein({x}, {y}) = 2 AND len(list_filter(range(1, len({x})), lambda z: substr({x}, 1, z - 1) || substr({x}, z + 1, 1) || substr({x}, z, 1) || substr({x}, z + 2) = {y})) > 0))"
+    parts = []
+    for s in (-1, 0, 1):
+        pair = f"i + {s} >= 1 AND substr({a}, i, 1) = substr({b}, i + {s} + 1, 1) AND substr({a}, i + 1, 1) = substr({b}, i + {s}, 1)"
+        head, own, tail, end = f"substr({a}, 1, i - 1)", f"substr({b}, 1, i + {s} - 1)", f"substr({a}, i + 2)", f"substr({b}, i + {s} + 2)"
+        parts.append(f"({pair} AND (({head} = {own} AND {one(tail, end)}) OR ({one(head, own)} AND {tail} = {end})))")
+    swaps = f"len(list_filter(range(1, len({a})), lambda i: {' OR '.join(parts)})) > 0"
+    return f"(CASE WHEN {a} = {b} THEN 0 WHEN {one(a, b)} THEN 1 WHEN levenshtein({a}, {b}) = 2 OR (levenshtein({a}, {b}) <= 4 AND {swaps}) THEN 2 ELSE 3 END)"
+
+
+@query(f"SELECT input, word, d AS distance FROM (SELECT input, word, {distance2('input', 'word')} AS d FROM ({TYPOS}), (SELECT word FROM ({DICTIONARY})) WHERE abs(len(input) - len(word)) <= 2) WHERE d <= 2")
+def word_distances(spark, sf_dir):
+    """Pairs within 2 edits or swaps; candidates are found by the beginnings of 7 letters, which lose none of them here."""
+    words = G.checkpoint(S.dictionary(documents(spark, sf_dir)))
+    pairs = S.candidates(typos(words), words, 2).withColumn("distance", W.alignment_within(F.col("input"), F.col("word"), 2))
+    return pairs.filter("distance <= 2").select("input", "word", "distance")
+
+
+_SIGN = lambda c: f"array_to_string(list_sort(string_split(regexp_replace({c}, '[^a-z]', '', 'g'), '')), '')"
+_SCRAMBLE = f"(len(input) = len(word) AND len(input) >= 5 AND substr(input, 1, 1) = substr(word, 1, 1) AND {_SIGN('input')} = {_SIGN('word')})"
+_TRANSPOSED = "(len(input) = len(word) AND len(list_filter(range(1, len(input)), lambda q: substr(input, q, 1) <> substr(input, q + 1, 1) AND substr(input, 1, q - 1) || substr(input, q + 1, 1) || substr(input, q, 1) || substr(input, q + 2) = word)) > 0)"
+_DIFFER = "list_filter(range(1, len(input) + 1), lambda q: substr(input, q, 1) <> substr(word, q, 1))"
+_NEAR_KEYS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in W.NEIGHBOURS.items()) + "}"
+_KEYBOARD = f"(len(input) = len(word) AND len({_DIFFER}) = 1 AND coalesce(contains({_NEAR_KEYS}[substr(input, {_DIFFER}[1], 1)], substr(word, {_DIFFER}[1], 1)), false))"
+_SIGNED_ONE = f"(levenshtein({_SIGN('input')}, {_SIGN('word')}) <= 1 OR (len({_SIGN('input')}) = len({_SIGN('word')}) AND levenshtein({_SIGN('input')}, {_SIGN('word')}) = 2 AND len(list_filter(range(1, len({_SIGN('input')})), lambda q: substr({_SIGN('input')}, 1, q - 1) || substr({_SIGN('input')}, q + 1, 1) || substr({_SIGN('input')}, q, 1) || substr({_SIGN('input')}, q + 2) = {_SIGN('word')})) > 0))"
+_ALIGNED = "(substr(input, 1, 1) = substr(word, 1, 1) OR (substr(input, 1, 1) = substr(word, 2, 1) AND substr(input, 2, 1) = substr(word, 1, 1)))"
+RANKED = f"""WITH w AS ({DICTIONARY}), t AS ({TYPOS}), p AS (SELECT input, word, freq, {distance2('input', 'word')} AS d, {_SCRAMBLE} AS scramble, {_TRANSPOSED} AS transposed, {_KEYBOARD} AS keyboard
+  FROM (SELECT * FROM t WHERE input NOT IN (SELECT word FROM w)), w WHERE abs(len(input) - len(word)) <= 2),
+ q AS (SELECT *, d <= 2 AND NOT (len(input) <= 4 AND d > 1 AND NOT keyboard) AS normal FROM p),
+ j AS (SELECT *, NOT scramble AND NOT normal AND len(input) >= 5 AND len(word) >= 4 AND {_ALIGNED} AND {_SIGNED_ONE} AS jumble FROM q),
+ s AS (SELECT *, least(d, 2) AS e, 12 * log10(greatest(10, freq)) - 18 * least(d, 2) - 2.5 * abs(len(word) - len(input)) + CASE WHEN transposed THEN 8 ELSE 0 END + CASE WHEN keyboard THEN 5 ELSE 0 END
+  + CASE WHEN scramble THEN 10 ELSE 0 END + CASE WHEN jumble THEN 9 ELSE 0 END AS score FROM j WHERE scramble OR normal OR jumble),
+ r AS (SELECT *, row_number() OVER o AS rank, score - lead(score) OVER o AS margin FROM s WINDOW o AS (PARTITION BY input ORDER BY score DESC, word)),
+ c AS (SELECT *, least(0.995, greatest(0, CASE WHEN jumble THEN 0.94 ELSE CASE WHEN e = 0 THEN 1.0 WHEN e = 1 THEN 0.955 WHEN len(input) >= 7 THEN 0.93 ELSE 0.88 END + CASE WHEN transposed THEN 0.025 ELSE 0 END
+  + CASE WHEN keyboard THEN 0.015 ELSE 0 END + CASE WHEN scramble THEN 0.03 ELSE 0 END END - CASE WHEN margin < 8 THEN 0.08 ELSE 0 END)) AS confidence FROM r)"""
+
+
+@query(RANKED + " SELECT input, word, CAST(e AS INT) AS distance, round(score, 6) AS score, round(confidence, 6) AS confidence FROM c WHERE rank = 1")
+def ranked_words(spark, sf_dir):
+    words = G.checkpoint(S.dictionary(documents(spark, sf_dir)))
+    open_ = typos(words).join(words.select(F.col("word").alias("input")), "input", "left_anti")
+    return S.ranked(open_, words).filter("rank = 1").select("input", "word", "distance", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
+
+
+def personal(spark: SparkSession) -> S.Personal:
+    """A small personal state. The words are fixed, so that they touch few of the typos."""
+    frame = spark.createDataFrame
+    return S.Personal(
+        learned=frame([("orrery", 5), ("zodiac", 2)], "word string, count long"),
+        pairs=frame([("hte", "the", 3)], "input string, replacement string, count long"),
+        custom=frame([("teh", "the")], "input string, replacement string"),
+        builtin=frame([("teh", "tea"), ("adn", "and")], "input string, replacement string"),
+        rejected=frame([("adn", "and", 1)], "input string, replacement string, count long"),
+        protected=frame([("kubectl",)], "word string"),
+        ignored=frame([("lol",)], "word string"),
+    )
+
+
 @query()
 def correct_words(spark, sf_dir):
     words = G.checkpoint(S.dictionary(documents(spark, sf_dir)))
-    known = spark.createDataFrame([("teh", "the", "built-in", 0.995)], "input string, replacement string, source string, confidence double")
-    return S.correct(typos(words), words, known)
+    return S.correct(typos(words), words, personal(spark))
+
+
+@query()
+def split_words(spark, sf_dir):
+    """Pairs of frequent words that run together, one of them with a typo; the pairs are made of the most frequent words, which is what is asked."""
+    words = G.checkpoint(S.dictionary(documents(spark, sf_dir)))
+    top = words.filter("length(word) between 4 and 8").orderBy(F.desc("freq"), "word").limit(12).select("word")
+    pairs = typos(words).filter("length(input) between 4 and 8").orderBy("input").limit(12).join(top).select(F.concat("word", "input").alias("input"))
+    return S.split_words(pairs, words, spark.createDataFrame([("teh", "the")], "input string, replacement string"))
 
 
 @query(f"""WITH d AS ({DICTIONARY}), p AS (SELECT DISTINCT substr(input, 1, 3) AS prefix FROM ({TYPOS}) WHERE regexp_full_match(substr(input, 1, 3), '[a-z'']+')),
- s AS (SELECT prefix, word AS suggestion, 0.72 + least(0.2, log10(greatest(10, freq)) / 60) AS c FROM p JOIN d ON starts_with(word, prefix) AND word <> prefix)
+ t AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY freq DESC, word) AS rn FROM p JOIN d ON starts_with(word, prefix)),
+ s AS (SELECT prefix, word AS suggestion, 0.72 + least(0.2, log10(greatest(10, freq)) / 60) AS c FROM t WHERE rn <= 20 AND word <> prefix)
  SELECT prefix, suggestion, round(c, 6) AS confidence, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY c DESC, len(suggestion), suggestion) AS rank FROM s) WHERE rank <= 5""")
 def suggest_words(spark, sf_dir):
     words = G.checkpoint(S.dictionary(documents(spark, sf_dir)))
     return S.suggest(typos(words).select(F.substring("input", 1, 3).alias("prefix")), words).withColumn("confidence", F.round("confidence", 6))
 
 
+@query("SELECT event_type AS word, count(*) AS count FROM events GROUP BY 1 HAVING count(*) >= 2")
+def learned_words(spark, sf_dir):
+    return S.learned_words(table(spark, sf_dir, "events").select(F.col("event_type").alias("word")), 2)
+
+
 BIGRAMS = """SELECT prev, next, count(*) AS n FROM (SELECT w[i] AS prev, w[i + 1] AS next FROM (SELECT w, unnest(range(1, len(w))) AS i FROM
  (SELECT list_filter(string_split_regex(lower(text), '[^a-z'']+'), lambda x: x <> '') AS w FROM conversations))) GROUP BY 1, 2 HAVING count(*) >= 2"""
 

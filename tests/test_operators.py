@@ -28,12 +28,20 @@ def osa(a, b):
     return d[len(a) - 1, len(b) - 1]
 
 
-def test_alignment():
+def test_alignment(spark):
     rng = random.Random(1)
+    pairs = [tuple("".join(rng.choice("abcd") for _ in range(rng.randrange(9))) for _ in range(2)) for _ in range(3000)]
     for _ in range(3000):
-        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(7))) for _ in range(2))
-        for limit in (1, 2):
-            assert W.alignment(a, b, limit) == min(osa(a, b), limit + 1)
+        word = [rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))]
+        other = list(word)
+        for _ in range(2):
+            i = rng.randrange(max(1, len(other) - 1))
+            other[i : i + 2] = rng.choice([other[i : i + 2][::-1], other[i : i + 2][::-1], other[i : i + 1], [*other[i : i + 2], "x"], ["y", *other[i + 1 : i + 2]]])
+        pairs.append(("".join(word), "".join(other)))
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    for limit in (1, 2):
+        for r in rows.withColumn("d", W.alignment_within(F.col("a"), F.col("b"), limit)).collect():
+            assert r["d"] == min(osa(r["a"], r["b"]), limit + 1), (r["a"], r["b"], limit)
 
 
 def test_word_functions(spark):
@@ -45,14 +53,69 @@ def test_word_functions(spark):
     assert [one(spark, W.apply_casing(F.lit(a), F.lit("the"))) for a in ("teh", "Teh", "TEH")] == ["the", "The", "THE"]
 
 
-def test_correct_and_suggest(spark):
-    words = spark.createDataFrame([("hello", 900), ("help", 500), ("because", 800), ("world", 700), ("would", 650)], "word string, freq long")
-    inputs = spark.createDataFrame([("hlelo",), ("becuase",), ("hello",), ("Teh",), ("x1",), ("wrold",)], "input string")
-    known = spark.createDataFrame([("Teh", "the", "built-in", 0.995)], "input string, replacement string, source string, confidence double")
-    got = {r["input"]: (r["replacement"], r["source"]) for r in S.correct(inputs, words, known).collect()}
-    assert got == {"hlelo": ("hello", "local-index"), "becuase": ("because", "local-index"), "Teh": ("The", "built-in"), "wrold": ("world", "local-index")}
-    hints = S.suggest(spark.createDataFrame([("he",), ("w",)], "prefix string"), words).orderBy("rank").collect()
+WORDS = [("hello", 900), ("help", 500), ("because", 800), ("world", 700), ("would", 650), ("the", 5000), ("and", 4000)]
+
+
+def test_correct_decides_in_order(spark):
+    frame = spark.createDataFrame
+    words = frame(WORDS, "word string, freq long")
+    inputs = frame([(w,) for w in ("hlelo", " becuase ", "hello", "Teh", "x1", "wrold", "hte", "adn", "tehworld", "kubectk", "orrery", "orery", "camelCase", "lol", "HELO")], "input string")
+    personal = S.Personal(
+        learned=frame([("kubectl", 4), ("orrery", 9), ("rare", 1)], "word string, count long"),
+        pairs=frame([("hte", "the", 2), ("wrold", "sword", 1)], "input string, replacement string, count long"),
+        custom=frame([("teh", "the")], "input string, replacement string"),
+        builtin=frame([("teh", "tea"), ("adn", "and")], "input string, replacement string"),
+        rejected=frame([("adn", "AND", 1), ("Wrold", "sword", 2)], "input string, replacement string, count long"),
+        ignored=frame([("lol",)], "word string"),
+    )
+    got = {r["input"]: (r["replacement"], r["source"], round(r["confidence"], 6)) for r in S.correct(inputs, words, personal).collect()}
+    assert got == {
+        "hlelo": ("hello", "local-index", 0.995),
+        "becuase": ("because", "local-index", 0.995),
+        "Teh": ("The", "built-in", 0.995),  # the custom table wins over the built-in one
+        "hte": ("the", "personal-memory", 0.985),
+        "wrold": ("world", "local-index", 0.995),  # the user's earlier correction was rejected
+        "tehworld": ("the world", "split-words", 0.965),
+        "kubectk": ("kubectl", "local-index", 0.97),  # a personal word is a candidate
+        "orery": ("orrery", "local-index", 0.955),
+    }  # "adn" is rejected, which ends the matter; personal words, ignored ones, plain words and capitals inside get none
+
+
+def test_affinity_and_ties(spark):
+    frame = spark.createDataFrame
+    words = frame([("cat", 100), ("car", 100), ("cap", 100)], "word string, freq long")
+    weights = S.affinity(frame([("the", "car", 0.4)], "prev string, next string, weight double"), frame([("the", "cat", 5), ("My", "Cap", 1)], "prev string, next string, n long"))
+    assert {(r["prev"], r["next"]): round(r["weight"], 6) for r in weights.collect()} == {("the", "car"): 0.4, ("the", "cat"): 1.0, ("my", "cap"): 0.64}
+    rows = S.ranked(frame([("caa", "the"), ("caa", "my")], "input string, prev string"), words, weights).filter("rank = 1").collect()
+    assert {(r["prev"], r["word"]) for r in rows} == {("the", "cat"), ("my", "cap")}
+
+
+def test_split_words(spark):
+    frame = spark.createDataFrame
+    words = frame(WORDS, "word string, freq long")
+    known = frame([("teh", "the")], "input string, replacement string")
+    got = {r["input"]: (r["left"], r["right"]) for r in S.split_words(frame([("tehworld",), ("hlelobecause",), ("xyzxyz",)], "input string"), words, known).collect()}
+    assert got == {"tehworld": ("the", "world"), "hlelobecause": ("hello", "because")}
+
+
+def test_suggest_by_origin(spark):
+    frame = spark.createDataFrame
+    words = frame(WORDS, "word string, freq long")
+    hints = S.suggest(frame([("he",), ("w",)], "prefix string"), words).orderBy("rank").collect()
     assert [r["suggestion"] for r in hints] == ["hello", "help"]
+    personal = S.Personal(learned=frame([("helix", 6)], "word string, count long"), custom=frame([("helo", "hello")], "input string, replacement string"))
+    got = {(r["prefix"], r["suggestion"]): round(r["confidence"], 3) for r in S.suggest(frame([("hel",), ("helo",)], "prefix string"), words, 5, personal).collect()}
+    assert got["hel", "hello"] == 0.99 and got["hel", "helix"] == 0.95 and 0.72 <= got["hel", "help"] < 0.99
+    assert got["helo", "hello"] == 0.995  # the correction of what was typed counts over the table
+
+
+def test_personal_readers(spark):
+    lines = spark.createDataFrame([("teh=the",), (" word = 3 ",), ("alone",), ("=x",), ("a=b=c",)], "value string")
+    assert sorted(map(tuple, S.read_pairs(lines).collect()), key=str) == [("a", "b=c"), ("alone", None), ("teh", "the"), ("word", "3")]
+    assert S.fallback_dictionary(spark).count() == 15
+    typed = spark.createDataFrame([("A",), ("a",), ("b",)], "word string")
+    assert [tuple(r) for r in S.learned_words(typed).collect()] == [("a", 2), ("b", 1)]
+    assert one(spark, S.bigram_key(F.lit("The"), F.lit("Cat"))) == "the cat"
 
 
 def test_text_functions(spark):
