@@ -76,3 +76,54 @@ def importance(path: Column, of_role: Column) -> Column:
     base = F.coalesce(F.create_map(*(F.lit(x) for kv in IMPORTANCE.items() for x in kv))[of_role], F.lit(0.5))
     more = F.when(any_in(low, ["auth", "login"]), 0.12).otherwise(0.0) + F.when(any_in(low, ["readme", "package.json"]), 0.1).otherwise(0.0)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), base + more))
+
+
+#: Node types by role; all other roles are files (fixed values).
+NODE_TYPES = {"Route": "Route", "Component": "Component", "Hook": "Hook", "Api": "Api", "Style": "Style", "Config": "Config"}
+#: Lists of a project's folders by role (fixed values).
+BUCKETS = {"Route": "routes", "Component": "components", "Hook": "utils", "Util": "utils", "Style": "styles", "Api": "api", "Database": "data"}
+#: Layers by role (fixed values).
+LAYERS = {"Config": "config", "Api": "api", "Route": "api", "Component": "ui", "Style": "ui", "Database": "data"}
+#: Grammars by extension (fixed values).
+GRAMMARS = {
+    "TSX": [".tsx"], "TypeScript": [".ts"], "JavaScript": [".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".astro"], "Python": [".py"],
+    "CSharp": [".cs", ".razor", ".cshtml"], "Go": [".go"], "Rust": [".rs"], "Java": [".java", ".kt"], "Ruby": [".rb"], "PHP": [".php"], "Swift": [".swift"],
+    "Scala": [".scala"], "Bash": [".sh", ".bash"], "JSON": [".json"], "HTML": [".html", ".htm"], "CSS": [".css", ".scss", ".sass", ".less"],
+    "TOML": [".toml"], "CodeQL": [".sql"],
+}
+#: Categories of a project's overview, by role; our own names.
+CATEGORIES = {"Route": "pages", "Component": "components", "Api": "api", "Database": "data", "Config": "config", "Style": "styles"}
+
+
+def mapped(key: Column, table: dict[str, str], other: str | None = None) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[key], F.lit(other))
+
+
+def node_type(of_role: Column) -> Column:
+    return mapped(of_role, NODE_TYPES, "File")
+
+
+def bucket(of_role: Column) -> Column:
+    """The folder list that a file belongs to; null for none."""
+    return mapped(of_role, BUCKETS)
+
+
+def grammar(path: Column) -> Column:
+    """The grammar that reads a file; null for none."""
+    return mapped(extension_of(path), {e: g for g, exts in GRAMMARS.items() for e in exts})
+
+
+def layer(of_role: Column) -> Column:
+    return mapped(of_role, LAYERS, "core")
+
+
+def hub_layer(path: Column, of_role: Column) -> Column:
+    """Layer by role or by words in the path, the first that fits."""
+    low = F.lower(path)
+    return (
+        F.when((of_role == "Config") | any_in(low, ["appsettings", "config"]), "config")
+        .when(of_role.isin("Api", "Route") | any_in(low, ["/api/", "controller"]), "api")
+        .when(of_role.isin("Component", "Style") | low.endswith(".xaml") | any_in(low, ["/ui/"]), "ui")
+        .when((of_role == "Database") | any_in(low, ["migration", "repository"]), "data")
+        .otherwise("core")
+    )

@@ -73,9 +73,14 @@ def fixed_chunks(text: Column, size: int, overlap: int) -> Column:
 
 
 def preview_chunks(text: Column, size: int = 900, most: int = 6) -> Column:
-    """The first slices of a text."""
-    n = F.least(F.ceil(F.length(text) / size), F.lit(most)).cast("int")
-    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size))))
+    """The first slices of a text (the reader's preview: ``most`` is its length, not a limit of the work), with line ends of one sign and without
+    spaces and line ends around it."""
+
+    def cut(body: Column) -> Column:
+        n = F.least(F.ceil(F.length(body) / size), F.lit(most)).cast("int")
+        return F.when(F.length(body) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(body, i * size + 1, F.lit(size))))
+
+    return let(F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""), cut)
 
 
 def content_hash(text: Column) -> Column:

@@ -23,15 +23,16 @@ def keyword_topk(docs: DataFrame, query: str, k: int) -> DataFrame:
 
 
 def like_terms(chunks: DataFrame, terms: list[str], columns: list[str], per_term: int) -> DataFrame:
-    """For each term the first chunks, by id, of which a column holds it; ``_`` and ``%`` in terms are wildcards, ASCII case counts not."""
-    hits = None
-    for t in terms:
-        fits = F.lit(False)
+    """For each term the first chunks, by id, of which a column holds it; ``_`` and ``%`` in terms are wildcards, ASCII case counts not. One scan tests all terms."""
+
+    def fits(t: str) -> Column:
+        out = F.lit(False)
         for c in columns:
-            fits = fits | F.coalesce(F.col(c).ilike(f"%{t}%"), F.lit(False))
-        own = chunks.filter(fits).withColumn("term", F.lit(t)).orderBy("id").limit(per_term)
-        hits = own if hits is None else hits.unionByName(own)
-    return hits
+            out = out | F.coalesce(F.col(c).ilike(f"%{t}%"), F.lit(False))
+        return out
+
+    hits = chunks.withColumn("term", F.explode(F.array_compact(F.array(*(F.when(fits(t), t) for t in terms)))))
+    return top_per_key(hits, F.col("term"), [F.col("id")], per_term)
 
 
 def top_per_key(rows: DataFrame, key: Column, order: list[Column], most: int) -> DataFrame:

@@ -20,12 +20,15 @@ def topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
 
 
 def knn_edges(vectors: DataFrame, k: int = 3, id_col: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """``a`` < ``b``: an undirected edge between each row and the k rows of the highest dot product, ties to the smaller id. Blocks of
-    rows meet in cells; a cell returns k rows for each of its rows, and the best of all cells remain."""
-    n = vectors.count()
+    """``a`` < ``b``: an undirected edge between each row and the k rows of the highest dot product, ties to the smaller id. Rows
+    without an id, and vectors that are null or hold a null, take no part; where lengths differ, a missing component counts as 0. Exact: blocks of rows meet in cells, all
+    against all; a cell returns k rows for each of its rows, and the best of all cells remain. So its work grows with the square of the rows."""
+    vectors = vectors.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    n, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
     blocks = max(1, math.ceil(n / block))
     own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), own.alias("own"))
+    padded = F.concat(F.col(vector).cast("array<double>"), F.array_repeat(F.lit(0.0), F.lit(width) - F.size(vector)))
+    rows = vectors.select(F.col(id_col).alias("id"), padded.alias("v"), own.alias("own"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.select("id", "v", F.col("own").alias("i"), every.alias("j"))
     right = rows.select("id", "v", every.alias("i"), F.col("own").alias("j"))
@@ -65,7 +68,10 @@ def min_max(rows: DataFrame, value: str) -> DataFrame:
 
 
 def pca(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``id``, ``x``, ``y``: the two first principal components, each turned so that its largest weight is positive."""
+    """``id``, ``x``, ``y``: the two first principal components, each turned so that its largest weight is positive. Vectors that are null or hold a null, and those of another
+    length than the longest, have none and are left out."""
+    longest = vectors.agg(F.max(F.size(vector))).first()[0]
+    vectors = vectors.filter((F.size(vector) == longest) & ~F.exists(vector, lambda x: x.isNull()))
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 

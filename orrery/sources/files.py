@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import files as P
@@ -47,13 +47,19 @@ def scan(spark: SparkSession, root: str, max_files: int = 1500, max_bytes: int =
     nul = F.contains(F.substring("content", 1, 4096), F.lit(b"\0"))
     rows = rows.withColumn("reason", skip_reason(F.col("path"), F.col("length"), nul, max_bytes))
     kept = rows.filter("reason is null")
-    ranked = kept.withColumn("rn", F.row_number().over(Window.orderBy("path"))) if max_files else kept.withColumn("rn", F.lit(0))
+    # Paths alone are ranked, in ranges, so no task holds all of them and none holds the contents.
+    ranked = kept.join(first_paths(kept, max_files), "path", "left") if max_files else kept.withColumn("inside", F.lit(True))
     body = X.redact(F.decode("content", "UTF-8"))
-    files = ranked.filter(F.col("rn") <= (max_files or 1)).select("path", P.extension_of(F.col("path")).alias("extension"), body.alias("content"), X.content_hash(body).alias("hash"), F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"))
-    skipped = rows.filter("reason is not null").select("path", "reason").unionByName(ranked.filter(F.col("rn") > (max_files or 1)).select("path", F.lit("over the file limit").alias("reason")))
+    files = ranked.filter("inside").select("path", P.extension_of(F.col("path")).alias("extension"), body.alias("content"), X.content_hash(body).alias("hash"), F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"))
+    skipped = rows.filter("reason is not null").select("path", "reason").unionByName(ranked.filter("inside is null").select("path", F.lit("over the file limit").alias("reason")))
     return files, skipped
 
 
+def first_paths(files: DataFrame, most: int) -> DataFrame:
+    """``path``, ``inside``: the first ``most`` paths, by a sort whose tasks keep as many each."""
+    return files.select("path").orderBy("path").limit(most).select("path", F.lit(True).alias("inside"))
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """``word freq`` lines: two parts, 2 to 24 letters or apostrophes; of a word that repeats, the largest count."""
     parts = F.split(F.trim("value"), " ")
@@ -83,11 +89,13 @@ class Collections:
         return f"{self.root}/{name}/current"
 
     def read(self, name: str) -> DataFrame | None:
-        fs, path = self._fs(self._pointer(name))
-        if not fs.exists(path):
+        """The newest version that was written whole."""
+        fs, folder = self._fs(self._pointer(name))
+        if not fs.exists(folder):
             return None
-        last = self.spark.read.text(self._pointer(name)).orderBy(F.desc("value")).first()
-        return self.spark.read.parquet(f"{self.root}/{name}/{last['value'].split(' ')[1]}")
+        last = max(str(f.getPath().toString()) for f in fs.listStatus(folder))
+        version = self.spark.read.text(last).first()
+        return self.spark.read.parquet(f"{self.root}/{name}/{version['value']}") if version else None
 
     def _fs(self, uri: str):
         jvm = self.spark._jvm
@@ -95,11 +103,42 @@ class Collections:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def write(self, name: str, rows: DataFrame) -> None:
+        """A new version under the next free number. Two writers can't take the same one: the marker is created only if it isn't there."""
         version = uuid.uuid4().hex
         rows.write.parquet(f"{self.root}/{name}/{version}")
-        fs, path = self._fs(self._pointer(name))
-        order = self.spark.read.text(self._pointer(name)).count() if fs.exists(path) else 0
-        self.spark.createDataFrame([(f"{order:012d} {version}",)], "value string").coalesce(1).write.mode("append").text(self._pointer(name))
+        fs, folder = self._fs(self._pointer(name))
+        fs.mkdirs(folder)
+        order = len(fs.listStatus(folder))
+        while True:
+            _, marker = self._fs(f"{self._pointer(name)}/{order:012d}")
+            try:
+                out = fs.create(marker, False)
+                break
+            except Exception as e:  # noqa: BLE001 - the JVM's own exception for a file that exists
+                if "exists" not in str(e):
+                    raise
+                order += 1
+        out.write(bytearray(version, "utf-8"))
+        out.close()
+
+    def clear(self, name: str) -> None:
+        """An empty version of the same columns; what the collection is stays known."""
+        if (old := self.read(name)) is not None:
+            self.write(name, old.limit(0))
+
+    def replace_graph(self, name: str, nodes: DataFrame, edges: DataFrame) -> None:
+        self.write(f"{name}.nodes", nodes)
+        self.write(f"{name}.edges", edges)
+
+    def stats(self, name: str) -> dict[str, int]:
+        """Counts of vectors, nodes and edges, and the vectors' length."""
+        rows, nodes, edges = (self.read(n) for n in (name, f"{name}.nodes", f"{name}.edges"))
+        vectors, dim = (0, 0) if rows is None else rows.agg(F.count("vector"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+        return {"vectors": vectors, "dim": dim, "nodes": nodes.count() if nodes is not None else 0, "edges": edges.count() if edges is not None else 0}
+
+    def is_indexed(self, name: str) -> bool:
+        rows = self.read(name)
+        return rows is not None and bool(rows.limit(1).count())
 
     def upsert(self, name: str, rows: DataFrame, key: str = "id") -> None:
         from ..operators.sync import upsert
