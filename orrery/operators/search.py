@@ -64,4 +64,4 @@ def rank_line_first(rows: DataFrame, k: int) -> DataFrame:
 def line_hits(rows: DataFrame, per_file: int = 2, most: int = 14) -> DataFrame:
     """At most ``per_file`` different lines of a file, the best ``most`` of all."""
     once = top_per_key(rows.filter("start_line > 0"), F.concat_ws(":", F.lower("path"), "start_line"), [F.desc("score"), F.col("id")], 1)
-    return top_per_key(once, F.lower("path"), [F.desc("score"), F.col("id")], per_file).orderBy(F.desc("score"), "id").limit(most)
+    return top_per_key(once, F.lower("path"), [F.desc("score"), F.col("id"), F.col("start_line")], per_file).orderBy(F.desc("score"), "id", "start_line").limit(most)

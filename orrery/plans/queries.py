@@ -96,7 +96,10 @@ def fixed_chunks(spark, sf_dir):
     return rows.select("doc_id", "c.start", F.md5("c.chunk").alias("chunk_md5"), "c.start_line", "c.end_line")
 
 
-@query("SELECT doc_id, CAST(i AS INT) AS pos, md5(substr(text, i * 900 + 1, 900)) AS chunk_md5 FROM (SELECT doc_id, text, unnest(range(0, least(6, CAST(ceil(len(text) / 900.0) AS INT)))) AS i FROM documents)")
+BODY = "regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, CAST(i AS INT) AS pos, md5(substr(body, i * 900 + 1, 900)) AS chunk_md5 FROM (SELECT doc_id, body, unnest(range(0, least(6, CAST(ceil(len(body) / 900.0) AS INT)))) AS i FROM (SELECT doc_id, {BODY} AS body FROM documents))")
 def preview_chunks(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", F.posexplode(X.preview_chunks(F.col("text"))).alias("pos", "c"))
     return rows.select("doc_id", "pos", F.md5("c").alias("chunk_md5"))
@@ -283,13 +286,6 @@ def bigram_affinity(spark, sf_dir):
 # --- ingest -------------------------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, 'Docs' AS role, 'text' AS language, 10 AS priority, 0.95 AS importance FROM documents")
-def classify_rows(spark, sf_dir):
-    path = F.col("path")
-    rows = documents(spark, sf_dir).withColumn("role", P.role(path, F.coalesce("text", F.lit(""))))
-    return rows.select("doc_id", "role", P.language(path).alias("language"), P.priority(path).alias("priority"), P.importance(path, F.col("role")).alias("importance"))
-
-
 @query(f"SELECT {PATH} AS path, CASE WHEN octet_length(encode(text)) = 0 THEN 'empty' ELSE 'too large' END AS reason FROM documents WHERE octet_length(encode(text)) = 0 OR octet_length(encode(text)) > 20480")
 def rejects(spark, sf_dir):
     from ..sources.files import skip_reason
@@ -480,9 +476,14 @@ def rank_line_first(spark, sf_dir):
     return R.rank_line_first(rows, 12).select("id", "start_line", F.round("score", 6).alias("score"))
 
 
-@query()
+HITS = f"""SELECT c.doc_id AS id, {PATH.replace('doc_id', 'c.doc_id')} AS path, 1 + {LINES.format('substr(body, 1, start)')} AS start_line, 0.3 + (start % 7) / 20.0 AS score FROM ({CHUNKS}) c JOIN (SELECT doc_id, source, lang FROM documents) d USING (doc_id)"""
+
+
+@query(f"""WITH h AS ({HITS}), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(path), start_line ORDER BY round(score, 9) DESC, id) AS a FROM h WHERE start_line > 0) WHERE a = 1), f AS (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY round(score, 9) DESC, id, start_line) AS b FROM o)
+ SELECT id, CAST(start_line AS INT) AS start_line, round(score, 6) AS score FROM f WHERE b <= 2 ORDER BY round(score, 9) DESC, id, start_line LIMIT 14""")
 def line_hits(spark, sf_dir):
-    return R.line_hits(results(spark, sf_dir).drop("body")).select("id", "start_line", F.round("score", 6).alias("score"))
+    rows = results(spark, sf_dir).drop("body").withColumn("score", F.round("score", 9))
+    return R.line_hits(rows).select("id", "start_line", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -552,9 +553,39 @@ def prompt_analysis(spark, sf_dir):
     return T.analyze(table(spark, sf_dir, "conversations").filter("role = 'user'")).select("conv_id", "turn", "task", "clarity")
 
 
-@query()
+_MISSING = f"""list_filter(['target file', CASE WHEN task = 'Ui' AND {_ANY(["image", "screenshot", "match the"])} THEN 'reference image' END, CASE WHEN task = 'Ui' AND NOT {_ANY(["image", "screenshot", "match the"])} THEN 'component or page' END,
+ CASE WHEN task IN ('Bugfix', 'Debug') AND NOT {_ANY(["error", "expected"])} THEN 'exact error' END, CASE WHEN task = 'Feature' AND words < 8 THEN 'acceptance criteria' END], lambda m: m IS NOT NULL)"""
+_JUDGED = f"""SELECT conv_id, turn, task, clarity, {_MISSING} AS missing, round_even(0.55 * clarity + 0.45 * 0.35, 2) AS quality FROM (SELECT conv_id, turn, low, words, {_TASK} AS task, {_CLARITY} AS clarity FROM
+ (SELECT conv_id, turn, low, CASE WHEN low = '' THEN 0 ELSE len(string_split(low, ' ')) END AS words FROM (SELECT conv_id, turn, {_LOW} AS low FROM conversations WHERE role = 'user')))"""
+
+
+@query(f"SELECT conv_id, turn, task, clarity < 0.45 OR (quality < 0.5 AND len(missing) > 0) AS ask_more, 'High' AS risk FROM ({_JUDGED})")
 def prompt_risk(spark, sf_dir):
-    return T.analyze(table(spark, sf_dir, "conversations").filter("role = 'user'")).select("conv_id", "turn", "quality", "ask_more", "risk")
+    """Prompts for which nothing was retrieved: all are risky."""
+    return T.analyze(table(spark, sf_dir, "conversations").filter("role = 'user'")).select("conv_id", "turn", "task", "ask_more", "risk")
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {_LOW} AS low FROM conversations WHERE role = 'user'), r AS (SELECT conv_id, turn, count(*) AS found, sum(0.5) AS total, bool_or(contains(low, 'src' || (conv_id % 7))) AS named FROM p JOIN range(3) ON range < conv_id % 4 GROUP BY 1, 2)
+ SELECT conv_id, turn, round(least(1.0, 0.35 + CASE WHEN found > 0 THEN least(0.4, 0.15 * total + 0.05 * found) ELSE 0 END + CASE WHEN named THEN 0.15 ELSE 0 END), 4) AS context FROM p LEFT JOIN r USING (conv_id, turn)""")
+def prompt_context(spark, sf_dir):
+    """Prompts with up to three retrieved files each; the files' stems follow from the conversation."""
+    prompts = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    files = prompts.join(spark.range(3).withColumnRenamed("id", "n"), F.col("n") < F.col("conv_id") % 4)
+    files = files.select("conv_id", "turn", F.concat(F.lit("a/src"), (F.col("conv_id") % 7).cast("string"), F.lit(".ts")).alias("path"), F.lit("Api").alias("role"), F.lit(0.5).alias("score"))
+    return T.analyze(T.retrieved_for(prompts, files, ["conv_id", "turn"])).select("conv_id", "turn", "context")
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN len(w) > 12 THEN array_to_string(w[1:10], ' ') || '.' ELSE flat END AS short FROM (SELECT conv_id, turn, flat, string_split(flat, ' ') AS w FROM (SELECT conv_id, turn, {FLAT} AS flat FROM conversations WHERE role = 'user'))""")
+def capped_prompts(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", T.capped(X.clean(F.col("text")), 12, 10).alias("short"))
+
+
+@query()
+def compiled_prompts(spark, sf_dir):
+    prompts = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    hits = R.line_hits(results(spark, sf_dir).drop("body"), most=4).select(F.col("id").cast("string").alias("id"), "path", "symbol", "kind", "start_line", F.col("start_line").alias("end_line"), "score")
+    rows = T.compiled(prompts, prompts.select("conv_id", "turn").join(F.broadcast(hits)), ["conv_id", "turn"], agent="cli")  # four hits
+    return rows.select("conv_id", "turn", "prompt", "n_hits", "confidence", "token_change")
 
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS signal, count(CASE WHEN {_ANY(v)} THEN 1 END) AS rows, count(CASE WHEN {_ANY(v)} THEN 1 END) >= greatest(2, count(*) // 5) AS preferred FROM (SELECT lower(text) AS low FROM conversations WHERE role = 'user')" for k, v in T.SIGNALS.items()))
@@ -628,13 +659,6 @@ def query_intents(spark, sf_dir):
     return rows.select("conv_id", "turn", F.explode(J.query_intents(F.col("text"))).alias("intent"))
 
 
-@query(f"""SELECT id, round(score, 6) AS score FROM (SELECT doc_id AS id, 0.5 + CASE WHEN doc_id % 3 = 0 THEN 0.14 ELSE 0 END + CASE WHEN doc_id % 3 = 1 THEN 0.14 ELSE 0 END AS score FROM documents)""")
-def intent_boost(spark, sf_dir):
-    role = F.when(F.col("doc_id") % 3 == 0, "Config").when(F.col("doc_id") % 3 == 1, "Api").otherwise("Docs")
-    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), role.alias("role"), F.lit("text").alias("kind"), F.lit(0.5).alias("score"))
-    return J.intent_boost(rows, "configure the endpoint").select("id", F.round("score", 6).alias("score"))
-
-
 @query(f"""WITH r AS (SELECT path, 0.5 AS score FROM ({WAS})), m AS (SELECT path FROM ({NOW}))
  SELECT path, round(score + CASE WHEN path IN (SELECT path FROM m) THEN 0.08 ELSE 0 END, 6) AS score FROM r UNION ALL SELECT path, 0.62 FROM m WHERE path NOT IN (SELECT path FROM r)""")
 def hub_merge(spark, sf_dir):
@@ -658,11 +682,9 @@ def savings_estimate(spark, sf_dir):
     return rows.select("doc_id", T.saved_tokens((F.col("doc_id") % 4).cast("int"), a, b, b > 1.1 * a).alias("saved"), T.reduction_percent(a, b).alias("percent"))
 
 
-@query()
+@query(f"SELECT conv_id, turn, array_to_string(missing, '; ') AS missing FROM ({_JUDGED})")
 def missing_context(spark, sf_dir):
-    low = F.lower(X.clean(F.coalesce("text", F.lit(""))))
-    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", low.alias("low"))
-    return rows.select("conv_id", "turn", F.array_join(T.missing_context(T.task_type(F.col("low")), F.col("low"), F.size(F.split("low", " ")), F.lit(0)), "; ").alias("missing"))
+    return T.analyze(table(spark, sf_dir, "conversations").filter("role = 'user'")).select("conv_id", "turn", F.array_join("missing", "; ").alias("missing"))
 
 
 @query()
@@ -680,7 +702,4 @@ def wordpiece_ids(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", WP.wordpiece(F.col("text"), vocabulary).alias("ids"))
 
 
-@query()
-def code_inspection(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", C.inspect(F.col("html")).alias("c"))
-    return rows.select("page_id", F.array_join("c.imports", ",").alias("imports"), F.array_join("c.exports", ",").alias("exports"), F.array_join("c.symbols", ",").alias("symbols"))
+from . import projects as projects  # noqa: E402 - registers its queries in the tables above
