@@ -82,7 +82,7 @@ def chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, longes
         return F.array_compact(F.flatten(F.transform(ends, before)))
 
     parts = let(F.split("text", "\n", -1), lambda lines: let(boundaries(lines, window, divisor), lambda e: opened(lines, e)))
-    rows = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", F.md5("text").alias("fold"), F.explode(parts).alias("z"))
+    rows = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", F.unhex(F.md5("text")).alias("fold"), F.explode(parts).alias("z"))
     return rows.select("doc_id", "fold", "z.*")
 
 
@@ -95,7 +95,7 @@ def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     marks = near.groupBy(F.col("doc_id").alias("_id"), F.col("fold").alias("_fold")).agg(F.collect_set(F.struct("first", "lines", "hash")).alias("marks"))
     # A row travels as one struct: its text is held once, and columns of any name come along.
     own = [F.col("row").getField(doc_id).alias("doc_id"), F.col("row").getField(text).alias("text")]
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.md5(docs[text]).alias("fold"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.unhex(F.md5(docs[text])).alias("fold"))
     rows = rows.join(marks, F.col("row").getField(doc_id).eqNullSafe(F.col("_id")) & (F.col("fold") == F.col("_fold")), "left")
     rows = materialize(rows.select("row", "fold", "marks"), "marked").select("row", *own, "fold", "marks")
     # Byte comparison: of hashes that repeat, the chunks' own bytes are grouped.
