@@ -16,7 +16,6 @@ and text are one unit whose words they share evenly; an empty table gives an emp
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -142,20 +141,20 @@ def draw_shards(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
     return quota.groupBy("bucket").applyInPandas(split, "name string, unnamed boolean, blocks_of long, ends array<long>")
 
 
-def mixed_documents(docs: DataFrame, places: bool = False, piece_rows: int = 1 << 18, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each draw; a draw of part of a text keeps its first words. Rows are
-    dealt by shard and ordered by place, so writing the result gives the shuffled shards as files; a shard of over ``piece_rows`` rows is dealt in
-    even ranges of places, so no task holds more than some pieces. places: adds ``shard`` and ``place``. ``options`` go to :func:`mix`; ``doc_id``, ``text`` and ``source`` must keep their names."""
+def mixed_documents(docs: DataFrame, places: bool = False, **options) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each draw; a draw of part of a text keeps its first words. Texts are shuffled once, to meet their
+    draws; each task's rows are then ordered by shard and, inside it, by place, which shuffles them locally. places: adds ``shard`` and ``place``, by
+    which :func:`write_shards` lays down a folder for each shard. ``options`` go to :func:`mix`; ``doc_id``, ``text`` and ``source`` must keep their names."""
     drawn = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("fold").alias("_fold"), F.col("size").alias("_size"), F.explode("draws").alias("_draw"))
-    drawn = materialize(drawn, "drawn")
-    most = drawn.groupBy("_draw.shard").count().agg(F.max("count")).first()[0] or 0
-    pieces = max(1, math.ceil(most / piece_rows))
     rows = docs.join(drawn, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (F.xxhash64(docs["text"]) == F.col("_fold")))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), 1, F.col("_draw.words").cast("int")), "")
     text = F.when(F.col("_draw.words") >= F.col("_size"), F.col("text")).otherwise(part)
     kept = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
     columns = [(kept[c].alias(c) if c in kept else docs[c]) for c in docs.columns]
-    mixed = rows.select(*columns, F.col("_draw.shard").alias("_shard"), F.col("_draw.place").alias("_place"))
-    piece = F.floor((F.col("_place").cast("double") / 2.0**64 + 0.5) * pieces)
-    mixed = mixed.repartition("_shard", piece).sortWithinPartitions("_shard", "_place")
+    mixed = rows.select(*columns, F.col("_draw.shard").alias("_shard"), F.col("_draw.place").alias("_place")).sortWithinPartitions("_shard", "_place")
     return mixed.withColumnsRenamed({"_shard": "shard", "_place": "place"}) if places else mixed.drop("_shard", "_place")
+
+
+def write_shards(docs: DataFrame, path: str, **options) -> None:
+    """Writes the mix as Parquet, a folder ``shard=n`` for each shard; its files together hold the shard's draws, each in the order of their places."""
+    mixed_documents(docs, places=True, **options).write.partitionBy("shard").parquet(path)

@@ -194,7 +194,7 @@ def test_bpe(spark, rows):
     assert all(r["ids"] == own.encode(r["text"]) and r["x"]["n_tokens"] == len(r["ids"]) and r["back"] == own.decode(r["ids"]) for r in both)
 
 
-def test_mixing(spark, rows):
+def test_mixing(spark, rows, tmp_path):
     units = mixing.mix(docs_of(spark, rows), block_rows=4, shards=5)
     got = units.collect()
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs_of(spark, rows).repartition(3), block_rows=4, shards=5).collect()))
@@ -223,20 +223,21 @@ def test_mixing(spark, rows):
     mixed = mixing.mixed_documents(docs_of(spark, rows), block_rows=4, shards=5, places=True)
     assert mixed.drop("shard", "place").columns == docs_of(spark, []).columns == mixing.mixed_documents(docs_of(spark, rows)).columns
     assert sum(words(r["text"]) for r in mixed.collect()) == sum(taken.values())
-    # Each shard lies in one partition, in the order of its places, and holds what its draws say.
-    held = defaultdict(Counter)
-    for n, part in enumerate(mixed.rdd.glom().collect()):
+    # Each task's rows lie in the order of shards and places; a shard holds what its draws say, also as a folder.
+    held = Counter()
+    for part in mixed.rdd.glom().collect():
         assert [(r["shard"], r["place"]) for r in part] == sorted((r["shard"], r["place"]) for r in part)
         for r in part:
-            held[r["shard"]][n] += words(r["text"])
-    assert all(len(x) == 1 for x in held.values())
+            held[r["shard"]] += words(r["text"])
     want = Counter()
     for r in got:
         for d in r["draws"]:
             want[d["shard"]] += d["words"] * r["copies"]
-    assert {k: sum(x.values()) for k, x in held.items()} == {k: n for k, n in want.items() if n}
-    pieces = mixing.mixed_documents(docs_of(spark, rows), block_rows=4, shards=5, places=True, piece_rows=8).collect()
-    assert Counter((r["shard"], r["place"], r["text"]) for r in pieces) == Counter((r["shard"], r["place"], r["text"]) for r in mixed.collect())
+    assert held == +want
+    mixing.write_shards(docs_of(spark, rows), f"file://{tmp_path}/mix", block_rows=4, shards=5)
+    assert {int(p.name.split("=")[1]) for p in (tmp_path / "mix").glob("shard=*")} == set(held)
+    written = Counter((r["shard"], r["doc_id"], r["text"]) for r in spark.read.parquet(f"file://{tmp_path}/mix").collect())
+    assert written == Counter((r["shard"], r["doc_id"], r["text"]) for r in mixed.collect())
 
 
 def test_mixing_follows_the_tree(spark, rows):
