@@ -47,6 +47,8 @@ RUNS = (4, 5, 6)
 #: So many different words of one beginning are a feature of their own.
 TIMES = (2, 3, 4, 6)
 STRIPES = 6
+#: Words whose features a worker remembers, and features that it counts before it hands them on.
+KNOWN, HELD = 100_000, 150_000
 #: A feature counts where its G-squared against the class would make so many of all features pass by chance.
 BY_CHANCE = 4
 #: Share of toxic texts among those with a feature, at least, for a mined list.
@@ -96,7 +98,7 @@ class Scorer:
         found: set[int] = set()
         many: Counter = Counter()
         known, weights, shared = self.known, self.weights, self.shared
-        if len(known) > 400_000:
+        if len(known) > KNOWN:
             known.clear()
         for w in words_of(text):
             if (at := known.get(w)) is None:
@@ -217,15 +219,20 @@ def counted(rows: DataFrame) -> DataFrame:
     """rows: ``text``, ``y``, ``half``. Each feature ``f`` and half with ``n`` and ``k``: texts that have it, and those of them of class 1."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ones, alls = Counter(), Counter()
+        seen: dict[tuple[int, int], Counter] = {(h, y): Counter() for h in (0, 1) for y in (0, 1)}
+
+        def flushed() -> pd.DataFrame:
+            parts = [pd.DataFrame({"f": list(c), "half": h, "n": list(c.values()), "k": list(c.values()) if y else 0}) for (h, y), c in seen.items()]
+            for c in seen.values():
+                c.clear()
+            return pd.concat(parts).astype({"half": int, "n": int, "k": int})
+
         for frame in frames:
             for t, y, half in zip(frame["text"], frame["y"], frame["half"], strict=True):
-                seen = [(f, half) for f in text_features(t)]
-                alls.update(seen)
-                if y == 1:
-                    ones.update(seen)
-        if alls:
-            yield pd.DataFrame({"f": [f for f, _ in alls], "half": [h for _, h in alls], "n": list(alls.values()), "k": [ones[f] for f in alls]})
+                seen[half, int(y == 1)].update(text_features(t))
+                if sum(map(len, seen.values())) > HELD:
+                    yield flushed()
+        yield flushed()
 
     sums = rows.select("text", "y", "half").mapInPandas(count, "f string, half int, n long, k long")
     return sums.groupBy("f", "half").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
