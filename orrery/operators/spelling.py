@@ -70,7 +70,7 @@ def ranked(inputs: DataFrame, words: DataFrame, affinity: DataFrame | None = Non
         rows = rows.join(inputs.select(*keys).distinct(), "input")
         rows = rows.join(affinity.select("prev", F.col("next").alias("word"), "weight"), ["prev", "word"], "left")
         score = score + 16 * F.coalesce("weight", F.lit(0.0))
-    rows = rows.withColumn("score", score)
+    rows = rows.withColumn("score", F.round(score, 9))  # equal sums are ties, whatever their order of adding
     base = F.when(F.col("d") == 0, 1.0).when(F.col("d") == 1, 0.955).when(F.length("input") >= 7, 0.93).otherwise(0.88)
     sure = F.when(F.col("jumble"), 0.94).otherwise(base + plus("transposed", 0.025) + plus("keyboard", 0.015) + plus("scramble", 0.03))
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "word")

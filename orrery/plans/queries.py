@@ -211,9 +211,9 @@ _ALIGNED = "(substr(input, 1, 1) = substr(word, 1, 1) OR (substr(input, 1, 1) =
 RANKED = f"""WITH w AS ({DICTIONARY}), t AS ({TYPOS}), p AS (SELECT input, word, freq, {distance2('input', 'word')} AS d, {_SCRAMBLE} AS scramble, {_TRANSPOSED} AS transposed, {_KEYBOARD} AS keyboard
   FROM (SELECT * FROM t WHERE input NOT IN (SELECT word FROM w)), w WHERE abs(len(input) - len(word)) <= 2),
  q AS (SELECT *, d <= 2 AND NOT (len(input) <= 4 AND d > 1 AND NOT keyboard) AS normal FROM p),
- j AS (SELECT *, NOT scramble AND NOT normal AND len(input) >= 5 AND len(word) >= 4 AND {_ALIGNED} AND {_SIGNED_ONE} AS jumble FROM q),
- s AS (SELECT *, least(d, 2) AS e, 12 * log10(greatest(10, freq)) - 18 * least(d, 2) - 2.5 * abs(len(word) - len(input)) + CASE WHEN transposed THEN 8 ELSE 0 END + CASE WHEN keyboard THEN 5 ELSE 0 END
-  + CASE WHEN scramble THEN 10 ELSE 0 END + CASE WHEN jumble THEN 9 ELSE 0 END AS score FROM j WHERE scramble OR normal OR jumble),
+ j AS (SELECT *, NOT scramble AND NOT normal AND len(input) >= 5 AND len(word) >= 5 AND {_ALIGNED} AND {_SIGNED_ONE} AS jumble FROM q),
+ s AS (SELECT *, least(d, 2) AS e, round(12 * log10(greatest(10, freq)) - 18 * least(d, 2) - 2.5 * abs(len(word) - len(input)) + CASE WHEN transposed THEN 8 ELSE 0 END + CASE WHEN keyboard THEN 5 ELSE 0 END
+  + CASE WHEN scramble THEN 10 ELSE 0 END + CASE WHEN jumble THEN 9 ELSE 0 END, 9) AS score FROM j WHERE scramble OR normal OR jumble),
  r AS (SELECT *, row_number() OVER o AS rank, score - lead(score) OVER o AS margin FROM s WINDOW o AS (PARTITION BY input ORDER BY score DESC, word)),
  c AS (SELECT *, least(0.995, greatest(0, CASE WHEN jumble THEN 0.94 ELSE CASE WHEN e = 0 THEN 1.0 WHEN e = 1 THEN 0.955 WHEN len(input) >= 7 THEN 0.93 ELSE 0.88 END + CASE WHEN transposed THEN 0.025 ELSE 0 END
   + CASE WHEN keyboard THEN 0.015 ELSE 0 END + CASE WHEN scramble THEN 0.03 ELSE 0 END END - CASE WHEN margin < 8 THEN 0.08 ELSE 0 END)) AS confidence FROM r)"""
