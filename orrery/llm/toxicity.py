@@ -48,7 +48,7 @@ RUNS = (4, 5, 6)
 TIMES = (2, 3, 4, 6)
 STRIPES = 6
 #: Words whose features a worker remembers, and features that it counts before it hands them on.
-KNOWN, HELD = 100_000, 150_000
+KNOWN, HELD = 200_000, 150_000
 #: A feature counts where its G-squared against the class would make so many of all features pass by chance.
 BY_CHANCE = 4
 #: Share of toxic texts among those with a feature, at least, for a mined list.
