@@ -159,9 +159,7 @@ def test_suffix_order():
         assert order.tolist() == sorted(range(len(x)), key=lambda i, b=x.tobytes(): b[i:])
 
 
-@pytest.mark.parametrize("width,gram", [(200, 32), (40, 8)])
-def test_suffix_dedup(spark, rows, width, gram):
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in suffixdedup.suffix_dedup(docs_of(spark, rows), width=width, gram=gram, shard_bytes=20_000, keep=True).collect())
+def suffix_brute(rows, width):
     count = Counter(b[i : i + width] for _, t, _ in rows for b in [(t or "").encode()] for i in range(len(b) - width + 1))
     want = Counter()
     for d, t, _ in rows:
@@ -173,10 +171,42 @@ def test_suffix_dedup(spark, rows, width, gram):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         want[d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest(), kept] += 1
-    assert got == want
+    return want
+
+
+def suffix_found(docs, **kw):
+    return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in suffixdedup.suffix_dedup(docs, keep=True, **kw).collect())
+
+
+@pytest.mark.parametrize("width,gram", [(200, 32), (40, 8)])
+def test_suffix_dedup(spark, rows, width, gram):
+    assert suffix_found(docs_of(spark, rows), width=width, gram=gram, shard_bytes=20_000) == suffix_brute(rows, width)
     assert suffixdedup.suffix_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
+    """A passage between different neighbours, some of which repeat in part, runs of one letter and of a short period; every row far over a shard's bytes."""
+    rng, made, most = np.random.default_rng(3), [], []
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    passage, sides = word(150), [word(60) for _ in range(40)]
+    for i in range(160):
+        made.append((i, sides[rng.integers(40)][rng.integers(30) :] + passage + sides[rng.integers(40)][: rng.integers(60)] + word(int(rng.integers(50))), "a"))
+    made += [(200 + i, word(20) + "-" * (60 + i) + word(20) + "ab" * (30 + i), "b") for i in range(40)]
+    whole = suffixdedup.bounded
+
+    def spy(cut, *args):
+        out = whole(cut, *args)
+        most.append((len(out[0]), [c.groupBy("anchor").agg(F.sum(F.octet_length("piece")).alias("n")).agg(F.max("n")).first()[0] for c in out[1]]))
+        return out
+
+    monkeypatch.setattr(suffixdedup, "bounded", spy)
+    want = suffix_brute(made, 40)
+    assert suffix_found(docs_of(spark, made), width=40, gram=8, shard_bytes=1000) == want
+    assert most[0][0] == 3 and all((n or 0) <= 1000 for n in most[0][1])
+    assert suffix_found(docs_of(spark, made), width=40, gram=8) == want
+    assert most[1][0] == 1
+
+
 def test_bpe(spark, rows):
     from tokenizers import Tokenizer
 
