@@ -1,12 +1,14 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 A fingerprint is a path of 64 branches in a binary trie. The join walks pairs of trie nodes of equal depth together, adds up the
-branches in which they differ and drops a pair as soon as that exceeds the error budget. The upper part of the walk is done by
-dealing rows: a fingerprint goes to the cell of each pair of depth-p nodes that its prefix belongs to and that differ in no more
-than the budget. The lower part runs inside each cell over sorted arrays, where a trie node is a range.
+branches in which they differ and drops a pair as soon as that exceeds the error budget. Which bit comes first is free, since Hamming
+distance doesn't depend on the order of bits, so there is one trie more than the budget, each with another part of the bits on top: two
+fingerprints within the budget agree throughout one of these parts. In that trie the error budget of the upper part is zero and the whole
+budget is left for the rest. So a fingerprint goes to one cell a trie, that of its prefix, however many rows there are, and rows dealt grow in
+proportion. The walk runs inside each cell over sorted arrays, where a trie node is a range.
 
-Which bit comes first is free, since Hamming distance doesn't depend on the order of bits; the most evenly set bits come first so
-that prefixes split the rows evenly. A prefix that still holds a large share is dealt in blocks, every block against every other.
+The most evenly set bits come first so that prefixes split the rows evenly. A prefix that holds too many rows is dealt by all bits of the upper
+part instead, and one that still does in blocks, every block against every other.
 
 Only distinct fingerprints enter the join, so groups of exact copies count once. A cell returns a spanning forest of its links, not
 the links themselves: connectivity is the same and rows stay linear in the cell's rows.
@@ -20,12 +22,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,11 +73,11 @@ def reorder(prints: np.ndarray, order: list[int]) -> np.ndarray:
     return out
 
 
-def trie_join(left: np.ndarray, right: np.ndarray, budget: int, depth: int, same: bool, most: int = 1 << 17, bucket: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_join(left: np.ndarray, right: np.ndarray, budget: int, depth: int, same: bool, most: int = 1 << 17, bucket: int = 0, exact: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (into left and right, both sorted and distinct) within the budget. Their first ``depth`` bits are walked too, as
     ranges that don't split. same: both are one array, each pair comes once. most: node pairs walked at a time; the rest waits on a
     stack, so memory stays bounded. bucket: nodes of so many rows at most are leaves, whose rows are compared one by one; with it,
-    fingerprints may repeat."""
+    fingerprints may repeat. exact: the first so many bits must not differ."""
     if not len(left) or not len(right):
         return
     first = bin(int(left[0] ^ right[0]) >> (64 - depth)).count("1") if depth else 0
@@ -110,7 +111,7 @@ def trie_join(left: np.ndarray, right: np.ndarray, budget: int, depth: int, same
         bm = np.searchsorted(right, (right[b0] & mask) | one)
         kids = []
         for x0, x1, y0, y1, cost in ((a0, am, b0, bm, 0), (am, a1, bm, b1, 0), (a0, am, bm, b1, 1), (am, a1, b0, bm, 1)):
-            keep = (x0 < x1) & (y0 < y1) & (err + cost <= budget)
+            keep = (x0 < x1) & (y0 < y1) & (err + cost <= (0 if level < exact else budget))
             if same and cost and level >= 0:
                 keep &= (x0 < y1) if x0 is a0 else ~((a0 == b0) & (a1 == b1))  # of two mirrored children of one node, one is walked
             kids.append(np.stack([x0, x1, y0, y1, err + cost], 1)[keep])
@@ -142,53 +143,48 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 def links(prints: DataFrame, budget: int = 2, leaf: int = 8192) -> DataFrame:
     """prints: ``node`` long, distinct fingerprints. Returns ``a``, ``b``: links that connect what Hamming distance up to ``budget``
     connects. leaf: rows that one cell's side should hold."""
-    seen = prints.agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("node", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{b}") for b in range(64))).first()
+    bit = lambda b: F.shiftrightunsigned("node", b).bitwiseAND(F.lit(1).cast("long"))
+    seen = prints.agg(F.count("*").alias("n"), *(F.sum(bit(b)).alias(f"b{b}") for b in range(64))).first()
     n = seen["n"]
-    order = sorted(range(64), key=lambda b: (abs((seen[f"b{b}"] or 0) * 2 - n), b))
-    depth = min(20, max(0, math.ceil(math.log2(max(1, n / leaf)))))
-    masks = [sum(1 << b for b in c) for k in range(min(budget, depth) + 1) for c in combinations(range(depth), k)]
-    # A prefix with over a 64th of all rows is dealt in blocks; there are 64 of them at most.
-    blocks: dict[int, int] = {}
-    if depth:
-        prefix = F.lit(0).cast("long")
-        for place in range(depth):
-            prefix = prefix * 2 + F.shiftrightunsigned("node", order[place]).bitwiseAND(F.lit(1).cast("long"))
-        large = prints.groupBy(prefix.alias("p")).count().filter(F.col("count") > max(2 * leaf, n / 64)).collect()
-        blocks = {r["p"]: math.ceil(r["count"] / leaf) for r in large}
-
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            node = frame["node"].to_numpy()
-            bits = reorder(node.view(np.uint64), order)
-            own = (bits >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(bits), np.int64)
-            count = lambda p: np.array([blocks.get(x, 1) for x in p.tolist()], np.int64) if blocks else np.ones(len(p), np.int64)
-            mine = (bits ^ (bits >> np.uint64(31))).astype(np.int64) % 1_000_003 % count(own)
-            for mask in masks:
-                other = own ^ mask
-                times = count(other)
-                row = np.repeat(np.arange(len(node)), times)
-                block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                low = own[row] < other[row] if mask else mine[row] <= block
-                lo, hi = np.minimum(own, other)[row], np.maximum(own, other)[row]
-                at, to = np.where(low, mine[row], block), np.where(low, block, mine[row])
-                yield pd.DataFrame({"lo": lo, "hi": hi, "i": at, "j": to, "side": np.where(low, 0, 1).astype(np.int32), "node": node[row]})
+    even = sorted(range(64), key=lambda b: (abs((seen[f"b{b}"] or 0) * 2 - n), b))
+    # One cell for all needs one trie only.
+    tries = budget + 1 if n > leaf else 1
+    top = 64 // tries if tries > 1 else 0
+    depth = min(top, math.ceil(math.log2(max(1, n / leaf))))
+    orders = [even[t::tries] + [b for b in even if b not in even[t::tries]] for t in range(tries)]
+
+    def prefix(order: list[int], size: int) -> Column:
+        out = F.lit(0).cast("long")
+        for b in order[:size]:
+            out = out * 2 + bit(b)
+        return out
+
+    cells = F.explode(F.array(*(F.struct(F.lit(t).alias("trie"), prefix(o, depth).alias("short"), prefix(o, top).alias("full")) for t, o in enumerate(orders))))
+    keyed = prints.select("node", cells.alias("cell")).select("node", "cell.*")
+    large = materialize(keyed.groupBy("trie", "short").count().filter(F.col("count") > 2 * leaf).select("trie", "short", F.lit(True).alias("deep")), "large")
+    keyed = keyed.join(large, ["trie", "short"], "left").withColumn("deep", F.coalesce("deep", F.lit(False)))
+    keyed = keyed.select("node", "trie", "deep", F.when(F.col("deep"), F.col("full")).otherwise(F.col("short")).alias("prefix"))
+    sizes = keyed.filter("deep").groupBy("trie", "deep", "prefix").count().filter(F.col("count") > 2 * leaf)
+    sizes = materialize(sizes.select("trie", "deep", "prefix", F.ceil(F.col("count") / leaf).cast("long").alias("blocks")), "blocks")
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    dealt = keyed.join(sizes, ["trie", "deep", "prefix"], "left").select("node", "trie", "deep", "prefix", F.pmod(F.xxhash64("node"), blocks).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    dealt = dealt.select("trie", "deep", "prefix", F.least("mine", "block").alias("i"), F.greatest("mine", "block").alias("j"), (F.col("mine") > F.col("block")).cast("int").alias("side"), "node")
 
     def walk(cell: pd.DataFrame) -> pd.DataFrame:
-        bits = reorder(cell["node"].to_numpy().view(np.uint64), order)
+        bits = reorder(cell["node"].to_numpy().view(np.uint64), orders[cell["trie"].iat[0]])
         side = cell["side"].to_numpy()
-        same = cell["lo"].iat[0] == cell["hi"].iat[0] and cell["i"].iat[0] == cell["j"].iat[0]
+        same = cell["i"].iat[0] == cell["j"].iat[0]
         rank = np.argsort(bits, kind="stable")
         node, bits, side = cell["node"].to_numpy()[rank], bits[rank], side[rank]
         if same:
-            root = forest(len(node), trie_join(bits, bits, budget, depth, True))
+            root = forest(len(node), trie_join(bits, bits, budget, depth, True, exact=top))
         else:
             a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            root = forest(len(node), ((a[x], b[y]) for x, y in trie_join(bits[a], bits[b], budget, depth, False)))
+            root = forest(len(node), ((a[x], b[y]) for x, y in trie_join(bits[a], bits[b], budget, depth, False, exact=top)))
         linked = root != np.arange(len(root))
         return pd.DataFrame({"a": node[root[linked]], "b": node[linked]})
 
-    dealt = prints.select("node").mapInPandas(deal, "lo long, hi long, i long, j long, side int, node long")
-    return dealt.groupBy("lo", "hi", "i", "j").applyInPandas(walk, "a long, b long")
+    return dealt.groupBy("trie", "deep", "prefix", "i", "j").applyInPandas(walk, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:

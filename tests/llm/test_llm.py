@@ -89,6 +89,25 @@ def test_trie_links_across_cells(spark):
         assert groups == len({top(i) for i in range(len(x))})
 
 
+def test_trie_links_in_hot_prefixes(spark):
+    """Fingerprints that agree in two of three bits: prefixes pass a cell's rows, are dealt deeper and in blocks. No link may be lost."""
+    rng = np.random.default_rng(5)
+    base = np.concatenate([rng.integers(0, 2**20, 150, dtype=np.uint64), rng.integers(0, 2**64, 150, dtype=np.uint64)])
+    flip = lambda v: v ^ (np.uint64(1) << rng.integers(0, 64, len(v), dtype=np.uint64))
+    x = np.unique(np.concatenate([base, flip(base), flip(flip(base))]))
+    root = {int(v): int(v) for v in x.view(np.int64)}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for r in simhash.links(spark.createDataFrame([(v,) for v in root], "node long"), 2, 10).collect():
+        root[find(r["a"])] = find(r["b"])
+    own = list(range(len(x)))
+    top = lambda i: i if own[i] == i else top(own[i])
+    for i in range(len(x)):
+        for j in np.flatnonzero(np.bitwise_count(x[:i] ^ x[i]) <= 2):
+            own[top(i)] = top(int(j))
+    keys = x.view(np.int64).tolist()
+    assert len({(find(k), top(i)) for i, k in enumerate(keys)}) == len({find(k) for k in keys}) == len({top(i) for i in range(len(x))})
+
+
 def line_chunks(t):
     """(first line, stop) of each chunk by the stated rule."""
     m60 = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
