@@ -1,4 +1,4 @@
-"""Thin queries of the ten operators over their whole tables, and their SQL where SQL can express them."""
+"""Thin queries of the operators over their whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linededup, urls, vectors, warc
+from .alignment import align
 from .bpe import bpe_digest
 from .common import table
+from .lattice import near_embeddings
 from .mixing import mix
+from .runs import periodic_runs
 from .suffixdedup import suffix_dedup
 from .simhash import simhash_components
 from .toxicity import fit, held_out, toxicity
@@ -62,12 +65,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest, op3_url_filter, op4_mixing, op5_exact_topk, op6_simhash, op7_bpe, op8_suffix_dedup, op9_warc, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest, op3_url_filter, op4_mixing, op5_exact_topk, op6_simhash, op7_bpe, op8_suffix_dedup, op9_warc, op10_toxicity, op11_embedding_dedup, op12_periodic_runs, op13_alignment, pipeline)}
 
 ORACLES = {"op1_line_dedup": linededup.ORACLE, "op3_url_filter": urls.oracle(), "op5_exact_topk": vectors.TOPK_ORACLE, "op9_warc": warc.ORACLE}
