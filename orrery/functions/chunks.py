@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import code as C
 from . import files as P
 from . import text as X
+from .scopes import FACT
 
 #: Where a declaration begins, by language; our own patterns. The group behind the keyword is its name.
 DECLARATIONS = {
@@ -22,6 +23,7 @@ PLAIN, HEADLESS, SECTION, JSON, DECLARED = (2400, 260), (2600, 200), (2800, 180)
 #: Lengths from which sections, JSON texts and declarations are cut by size (fixed values).
 LONG_SECTION, LONG_JSON, LONG_DECLARED = 3400, 3500, 4200
 MOST = 24
+FACTS = "array<struct<" + FACT.replace(" ", ": ").replace(",: ", ", ") + ">>"
 RANGE = "array<struct<kind: string, symbol: string, start_line: int, end_line: int, body: string>>"
 
 
@@ -84,6 +86,20 @@ def ranges(path: Column, text: Column, most: int = MOST) -> Column:
     return X.let(body, cut)
 
 
+def scoped_ranges(text: Column, facts: Column, most: int = MOST) -> Column:
+    """The chunks of a file whose facts are known (see :mod:`.scopes`): one for each type, function, method and property, members inside their types included,
+    with its kind and parent. Empty where nothing is declared. facts: a column that is already there, since Spark
+    takes no Python function inside a transformation."""
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n")
+
+    def cut(body: Column) -> Column:
+        own = F.filter(F.coalesce(facts, F.array().cast(FACTS)), lambda f: f["fact"] == "symbol")
+        rows = F.transform(own, lambda f: F.struct(F.concat(F.lit("code_"), f["kind"]).alias("kind"), f["label"].alias("symbol"), f["start_line"].alias("start_line"), f["end_line"].alias("end_line"), F.substring(body, f["begin"] + 1, f["stop"] - f["begin"]).alias("body"), f["parent"].alias("parent")))
+        return F.slice(F.filter(rows, lambda r: F.trim(r["body"]) != ""), 1, most)
+
+    return X.let(body, cut)
+
+
 def summary(text: Column, role: Column, symbols: Column) -> Column:
     """The comment at a file's head (160 characters), else its role and first three symbols."""
     comment = X.clean(F.regexp_replace(F.regexp_extract(text, r"^\s*(/\*[\s\S]*?\*/|(?:(?://|#)[^\n]*\n?)+)", 1), r"(?m)^[ \t]*(?:/\*+|\*+/|\*|//+|#+!?)|\*+/", " "))

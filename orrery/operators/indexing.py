@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import chunks as K
 from ..functions import code as C
 from ..functions import files as P
+from ..functions import scopes as S
 from ..functions import text as X
 from . import graph as G
 from . import sync as Y
@@ -42,18 +43,23 @@ def point_id(text: Column) -> Column:
     return F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
-def chunked(files: DataFrame, project: str, most: int | None = None) -> DataFrame:
-    """files: of :func:`summarized`, with ``hash``. One row a chunk: ``id``, ``path``, ``file_name``, ``folder``, ``language``, ``kind``, ``symbol``, ``parent``, ``start_line``,
+def chunked(files: DataFrame, project: str, most: int | None = None, by: str = "scopes") -> DataFrame:
+    """files: of :func:`summarized`, with ``hash``. by: ``scopes`` cuts files at their declarations where these are known, ``lines`` by patterns. One row a chunk: ``id``, ``path``, ``file_name``, ``folder``, ``language``, ``kind``, ``symbol``, ``parent``, ``start_line``,
     ``end_line``, ``body``, ``preview``, ``imports``, ``tags``, ``file_hash``, ``hash``, ``importance``, ``metadata``. most: of a project over the limit, chunks of the most
     important files come first."""
-    rows = files.select("*", F.posexplode(K.ranges(F.col("path"), F.col("content"))).alias("index", "r"))
+    plain = F.transform(K.ranges(F.col("path"), F.col("content")), lambda r: r.withField("parent", F.lit("")))
+    if by == "scopes":
+        files = files.withColumn("_facts", S.facts(F.col("path"), F.col("content")))
+        files = files.withColumn("_scoped", K.scoped_ranges(F.col("content"), F.col("_facts"))).drop("_facts")
+        plain = F.when(F.size("_scoped") > 0, F.col("_scoped")).otherwise(plain)
+    rows = files.select("*", F.posexplode(plain).alias("index", "r"))
     body = F.trim(F.col("r.body"))
     hash_ = X.content_hash(F.concat_ws(":", "hash", F.col("r.start_line").cast("string"), F.col("r.end_line").cast("string"), body))
     tags = F.slice(F.array_distinct(F.filter(F.array(F.lower("role"), F.col("language"), F.col("r.symbol")), lambda t: F.trim(t) != "")), 1, 16)
     meta = F.to_json(F.struct("role", F.col("index").alias("index")))
     rows = rows.select(
         point_id(F.concat_ws(":", F.lit(project), "path", F.substring(hash_, 1, 16))).alias("id"), "path", P.name_of(F.col("path")).alias("file_name"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"),
-        "language", F.col("r.kind").alias("kind"), F.col("r.symbol").alias("symbol"), F.lit("").alias("parent"), F.col("r.start_line").alias("start_line"), F.col("r.end_line").alias("end_line"),
+        "language", F.col("r.kind").alias("kind"), F.col("r.symbol").alias("symbol"), F.col("r.parent").alias("parent"), F.col("r.start_line").alias("start_line"), F.col("r.end_line").alias("end_line"),
         body.alias("body"), X.preview(body).alias("preview"), "imports", tags.alias("tags"), F.col("hash").alias("file_hash"), hash_.alias("hash"), "importance", meta.alias("metadata"),
     )
     return rows if most is None else rows.orderBy(F.desc("importance"), "path", "start_line", "id").limit(most)

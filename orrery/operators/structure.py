@@ -1,7 +1,8 @@
 """A project's structure: what its files declare, import and call, the property graph of it, layers and communities.
 
 Files are a table ``path``, ``content`` and more; graphs are tables of nodes (``id``, ``type``, ``label``, ``path``, ``start_line``, ``end_line``) and edges (``a``, ``b``, ``type``).
-Everything is joins and windows over a file's or a name's rows; no file's content is shuffled, only its lines' names."""
+Files of the languages that :mod:`..functions.scopes` covers are read by tokens and scopes, once, into facts; other files line by line, by patterns. The
+rest is joins and windows over a file's or a name's rows; no file's content is shuffled, only its lines' names."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code as C
 from ..functions import files as P
+from ..functions import scopes as S
 from . import graph as G
 
 #: Words before a bracket that are no calls; our own list.
@@ -28,6 +30,39 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("content", "\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
+def scoped(files: DataFrame) -> DataFrame:
+    """``path``, ``facts``, ``content``: facts of each file that its tokens tell, and the content only where they don't (``facts`` is null). Written once,
+    since symbols, imports, calls and chunks are all read from it."""
+    read = files.select("path", "content", S.facts(F.col("path"), F.col("content")).alias("facts"))
+    return G.checkpoint(read.select("path", "facts", F.when(F.col("facts").isNull(), F.col("content")).alias("content")))
+
+
+def facts(read: DataFrame) -> DataFrame:
+    """read: of :func:`scoped`. A row a fact."""
+    return read.select("path", F.explode("facts").alias("f")).select("path", "f.*")
+
+
+def facts_by_lines(files: DataFrame) -> DataFrame:
+    """Facts of files by their lines: declarations, imports, and calls with the narrowest declaration around."""
+    none = F.lit(None)
+    declared = G.checkpoint(symbols(files))
+    shape = lambda df, fact, label, kind, start, end, parent, caller: df.select("path", F.lit(fact).alias("fact"), label.alias("label"), kind.alias("kind"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), parent.cast("string").alias("parent"), caller.cast("string").alias("caller"))
+    out = shape(declared, "symbol", F.col("label"), F.col("kind"), F.col("start_line"), F.col("end_line"), F.col("parent"), none)
+    out = out.union(shape(imports(files), "import", F.col("target"), F.lit("import"), F.lit(0), F.lit(0), none, none))
+    return out.union(shape(calls(files, declared), "call", F.col("label"), F.lit("call"), F.col("line"), F.col("line"), none, F.col("caller")))
+
+
+def all_facts(files: DataFrame, by: str = "scopes") -> DataFrame:
+    """``path``, ``fact`` (symbol, import or call), ``label``, ``kind``, ``start_line``, ``end_line``, ``parent``, ``caller``. by: ``scopes``, with lines for the files that these don't
+    cover, or ``lines`` for all."""
+    if by == "lines":
+        return facts_by_lines(files)
+    read = scoped(files)
+    parent = F.when(F.col("parent") != "", F.col("parent"))
+    told = facts(read).select("path", "fact", "label", "kind", "start_line", "end_line", parent.alias("parent"), "caller")
+    return told.union(facts_by_lines(read.filter("facts IS NULL AND content IS NOT NULL")))
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """``path``, ``label``, ``kind``, ``start_line``, ``end_line``, ``parent``: declarations, each to the line before the next one that isn't deeper; the
     parent is the last class-like one above that is less deep."""
@@ -106,19 +141,21 @@ def file_graph(files: DataFrame, project: str, most: int = 6) -> tuple[DataFrame
     return nodes, G.add_edges(edges.union(named.select(file_id(F.col("path")), symbol_id(F.col("path"), F.col("label")), F.lit("Exports"))))
 
 
-def extraction(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What the text of files says: nodes (``id``, ``label``, ``path``, ``kind``, ``start_line``, ``end_line``) and edges (``a``, ``b``, ``relation``)."""
-    declared = G.checkpoint(symbols(files))
-    made, called, why = imports(files), calls(files, declared), comments(files, declared)
+def extraction(files: DataFrame, by: str = "scopes") -> tuple[DataFrame, DataFrame]:
+    """What the text of files says: nodes (``id``, ``label``, ``path``, ``kind``, ``start_line``, ``end_line``) and edges (``a``, ``b``, ``relation``). by: see
+    :func:`all_facts`."""
+    found = G.checkpoint(all_facts(files, by))
+    declared, made, called = (found.filter(F.col("fact") == f) for f in ("symbol", "import", "call"))
+    why = comments(files, declared)
     node = lambda df, id_, label, kind, start, end: df.select(id_.alias("id"), label.alias("label"), F.col("path"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"))
     path, label, zero = F.col("path"), F.col("label"), F.lit(0)
-    import_id, call_id = F.concat(F.lit("import:"), path, F.lit("#"), F.col("target")), F.concat(F.lit("call:"), path, F.lit("#"), label)
+    import_id, call_id = F.concat(F.lit("import:"), path, F.lit("#"), label), F.concat(F.lit("call:"), path, F.lit("#"), label)
     why_id = F.concat_ws(":", F.lit("why"), path, F.col("line").cast("string"))
     nodes = node(files, file_id(path), P.name_of(path), "file", zero, zero)
     for more in (
         node(declared, symbol_id(path, label), label, F.col("kind"), F.col("start_line"), F.col("end_line")),
-        node(made, import_id, F.col("target"), "import", zero, zero),
-        node(called, call_id, label, "call", F.col("line"), F.col("line")),
+        node(made, import_id, label, "import", zero, zero),
+        node(called, call_id, label, "call", F.col("start_line"), F.col("start_line")),
         node(why, why_id, F.concat_ws(": ", "tag", "comment"), "rationale", F.col("line"), F.col("line")),
     ):
         nodes = nodes.unionByName(more)

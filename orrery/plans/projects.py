@@ -130,23 +130,23 @@ LINKED = f"SELECT DISTINCT a.path AS a, b.path AS b FROM ({CODE}) a JOIN ({CODE}
 @query(f"SELECT 'file:' || a AS a, 'file:' || b AS b FROM ({LINKED})")
 def resolved_calls(spark, sf_dir):
     """File to file calls through the extraction."""
-    return ST.resolve_calls(*ST.extraction(code(spark, sf_dir)))[1].select("a", "b")
+    return ST.resolve_calls(*ST.extraction(code(spark, sf_dir), "lines"))[1].select("a", "b")
 
 
 @query(f"""SELECT DISTINCT 'symbol:' || a.path || '#fn' || (a.doc_id % 40) AS a, 'symbol:' || b.path || '#fn' || (b.doc_id % 40) AS b FROM ({CODE}) a JOIN ({CODE}) b ON (a.doc_id + 3) % 40 = b.doc_id % 40 AND a.path <> b.path""")
 def symbol_calls(spark, sf_dir):
-    return ST.resolve_calls(*ST.extraction(code(spark, sf_dir)))[0].select("a", "b")
+    return ST.resolve_calls(*ST.extraction(code(spark, sf_dir), "lines"))[0].select("a", "b")
 
 
 @query(f"SELECT path, './f' || (doc_id + 1) AS label FROM ({CODE})")
 def import_labels(spark, sf_dir):
-    nodes, edges = ST.extraction(code(spark, sf_dir))
+    nodes, edges = ST.extraction(code(spark, sf_dir), "lines")
     return ST.import_labels(edges, nodes)
 
 
 @query(f"WITH c AS ({CODE}) SELECT 'Contains' AS type, 2 * count(*) AS n FROM c UNION ALL SELECT 'Imports', count(*) FROM c UNION ALL SELECT 'Calls', count(*) FROM c UNION ALL SELECT 'RelatedTo', count(*) FROM c")
 def extracted_edges(spark, sf_dir):
-    edges = ST.merged(*ST.extraction(code(spark, sf_dir)))[1]
+    edges = ST.merged(*ST.extraction(code(spark, sf_dir), "lines"))[1]
     return edges.groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -163,13 +163,13 @@ DEGREES = f"SELECT path, count(*) AS degree FROM (SELECT a AS path FROM ({LINKED
 def hub_layers(spark, sf_dir):
     """Layers of the nodes of degree 2 or more, counted before one a file is kept."""
     files = summed(spark, sf_dir)
-    return ST.hubs(ST.resolve_calls(*ST.extraction(files))[1], ST.file_graph(files, "demo")[0], files)[1]
+    return ST.hubs(ST.resolve_calls(*ST.extraction(files, "lines"))[1], ST.file_graph(files, "demo")[0], files)[1]
 
 
 @query(f"SELECT path, degree, {HUB_LAYER} AS layer FROM (SELECT path, degree, role FROM ({DEGREES}) JOIN ({ROLES}) USING (path)) ORDER BY degree DESC, path LIMIT 24")
 def file_hubs(spark, sf_dir):
     files = summed(spark, sf_dir)
-    return ST.hubs(ST.resolve_calls(*ST.extraction(files))[1], ST.file_graph(files, "demo")[0], files)[0].select("path", "degree", "layer")
+    return ST.hubs(ST.resolve_calls(*ST.extraction(files, "lines"))[1], ST.file_graph(files, "demo")[0], files)[0].select("path", "degree", "layer")
 
 
 @query(f"""WITH m AS (SELECT path, regexp_extract(path, '^([^/]*(/[^/]*)?)', 1) AS folder, doc_id % 5 AS g, {LAYER} AS layer, importance FROM ({ROLES})),
@@ -228,7 +228,7 @@ def read_order(spark, sf_dir):
 @query("SELECT count(*) AS files, count(*) AS previews, 0 AS vectors, 'EmbeddingUnavailable' AS status, 0.0 AS progress, 'Keyword fallback' AS mode, 3 * count(*) + 1 AS nodes FROM documents")
 def index_metadata(spark, sf_dir):
     files = summed(spark, sf_dir)
-    chunks = N.chunked(files, "demo").withColumn("vector", F.lit(None).cast("array<double>"))
+    chunks = N.chunked(files, "demo", by="lines").withColumn("vector", F.lit(None).cast("array<double>"))
     out = N.metadata(files, chunks, *ST.file_graph(files, "demo"))
     return out.select("files", "previews", F.col("vectors").cast("int").alias("vectors"), "status", "progress", "mode", "nodes")
 

@@ -704,4 +704,5 @@ def wordpiece_ids(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", WP.wordpiece(F.col("text"), vocabulary).alias("ids"))
 
 
-from . import projects as projects  # noqa: E402 - registers its queries in the tables above
+from . import projects as projects  # noqa: E402 - these register their queries in the tables above
+from . import scripts as scripts  # noqa: E402

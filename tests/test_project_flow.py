@@ -62,7 +62,7 @@ def test_patterns_of_code(spark):
 def test_summary_and_embedded_text(spark, files):
     rows = {r["path"]: r for r in N.summarized(files).collect()}
     assert rows["src/components/LoginForm.tsx"]["summary"] == "Sign-in form." and rows["src/lib/auth.ts"]["summary"].endswith("file: Auth, check, helper")
-    chunk = N.chunked(N.summarized(files), "p").filter("path = 'src/lib/auth.ts' and symbol = 'check'")
+    chunk = N.chunked(N.summarized(files), "p", by="lines").filter("path = 'src/lib/auth.ts' and symbol = 'check'")
     text = chunk.select(K.embedded({c: F.col(c) for c in ("path", "language", "kind", "symbol", "parent", "imports", "body")}).alias("t"), "id", "tags").first()
     assert text["t"].startswith("File: src/lib/auth.ts\nLanguage: typescript\nType: symbol\nSymbol: check\nParent: none\nImports: none\n\nCode/Text:\nexport function check")
     assert len(text["id"]) == 36 and text["tags"][-1] == "check"
@@ -122,7 +122,7 @@ def test_extraction(spark, files):
     assert declared["auth.ts", "Auth"] == ("class", 1, 5) and declared["auth.ts", "check"] == ("function", 6, 8)
     called = {(r["path"].split("/")[-1], r["label"], r["caller"]) for r in ST.calls(files, ST.symbols(files)).collect()}
     assert {("LoginForm.tsx", "check", "LoginForm"), ("page.tsx", "LoginForm", "Page"), ("auth.ts", "helper", "check"), ("auth.ts", "helper", "Auth")} <= called
-    nodes, edges = ST.extraction(files)
+    nodes, edges = ST.extraction(files, "lines")
     symbols, lifted = ST.resolve_calls(nodes, edges)
     assert {(r["a"], r["b"]) for r in lifted.collect()} == {("file:src/components/LoginForm.tsx", "file:src/lib/auth.ts"), ("file:src/app/page.tsx", "file:src/components/LoginForm.tsx")}
     assert ("symbol:src/app/page.tsx#Page", "symbol:src/components/LoginForm.tsx#LoginForm") in {(r["a"], r["b"]) for r in symbols.collect()}
