@@ -153,7 +153,8 @@ def test_names_and_terms():
 
 
 def test_parse_column_agrees_with_the_driver(spark):
-    texts = ["Fix AuthService.Login in src\\lib\\auth.ts and the loginForm UI", "", "nothing here", "Straße Über ABC a.b.C.D x_y1"]
+    texts = ["Fix AuthService.Login in src\\lib\\auth.ts and the loginForm UI", "", "nothing here", "Straße Über ABC a.b.C.D x_y1", "A.B.C.D Ab..Cd", "a\\b\\C.cs, /x/y.JS. http://h/p.md?q a//b.ts src/a.ts.bak d/e.ts/f ../up/q.py x.ts a/.ts a/b.tsx1"]
+    assert RT.parse_one(texts[-1]).paths == ["a/b/C.cs", "x/y.JS", "h/p.md", "src/a.ts", "d/e.ts", "../up/q.py"] and RT.parse_one(texts[-2]).types == ["A", "C"]
     for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", RT.parse(F.col("t")).alias("p")).collect():
         one = RT.parse_one(r["t"])
         assert r["p"].asDict() == {"paths": one.paths, "types": one.types, "methods": one.methods, "symbols": one.symbols}
