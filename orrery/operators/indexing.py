@@ -14,6 +14,8 @@ from ..functions import code as C
 from ..functions import files as P
 from ..functions import scopes as S
 from ..functions import text as X
+from ..sources.files import listed, read_listed
+from ..sources.tree import same_listing
 from . import graph as G
 from . import sync as Y
 
@@ -156,7 +158,8 @@ def query_text(query: Column) -> Column:
 
 @dataclass
 class Synced:
-    """What a sync did: ``status`` (initial, unchanged or updated), counts of added, modified and removed files and of embedded and failed chunks."""
+    """What a sync did: ``status`` (initial, unchanged or updated), counts of added, modified and removed files, of embedded and failed chunks, of files whose content
+    was read and of chunk buckets that were rewritten."""
 
     status: str
     added: int = 0
@@ -164,11 +167,14 @@ class Synced:
     removed: int = 0
     embedded: int = 0
     failed: int = 0
+    read: int = 0
+    buckets: int = 0
 
 
-def sync(collections, name: str, files: DataFrame, project: str, model: Callable | None = None, force: bool = False, most: int | None = MOST_CHUNKS) -> Synced:
-    """Brings a collection up to date with files (``path``, ``content``, ``hash``). Nothing is read beyond the hashes where none changed; else only new and changed chunks
-    are embedded, and the collection's tables (chunks, ``<name>.files``) get new versions."""
+def sync(collections, name: str, files: DataFrame, project: str, model: Callable | None = None, force: bool = False, most: int | None = MOST_CHUNKS, again: Callable[[], Synced] | None = None) -> Synced:
+    """Brings a collection up to date with files (``path``, ``content``, ``hash`` and more). Nothing is read beyond the hashes where none changed. Else only new and changed files are
+    summarised, chunked and embedded, and only the buckets of their paths and of removed ones are rewritten, in the collection's tables (chunks, ``<name>.files``), which are kept
+    in buckets by path. Vectors of another length than before make all files new (``again`` is then called, where the given files don't hold all contents). most: new chunks fill what the kept ones leave of it, the most important files first."""
     known = collections.read(f"{name}.files")
     spark = files.sparkSession
     before = known.select("path", "hash") if known is not None else spark.createDataFrame([], "path string, hash string")
@@ -177,20 +183,49 @@ def sync(collections, name: str, files: DataFrame, project: str, model: Callable
     done = Synced("initial" if known is None else "updated", n.get("added", 0), n.get("modified", 0), n.get("removed", 0))
     if known is not None and not force and not (done.added or done.modified or done.removed):
         return Synced("unchanged")
-    summed = G.checkpoint(summarized(files))
-    chunks = G.checkpoint(chunked(summed, project, most))
+    whole = force or known is None
+    gone = status.filter("status <> 'unchanged'").select("path") if not whole else status.select("path")
+    new = status.filter("status <> 'removed'" if whole else "status IN ('added', 'modified')").select("path")
+    summed = G.checkpoint(summarized(files.join(new, "path", "left_semi")))
     old = collections.read(name)
-    hashes = old.select("id", "hash") if old is not None else spark.createDataFrame([], "id string, hash string")
-    asked = Y.to_embed(chunks, status, hashes) if not force else chunks
+    room = most
+    if most is not None and not whole:
+        room = max(0, most - old.join(gone, "path", "left_anti").count())
+    chunks = G.checkpoint(chunked(summed, project, room))
     text = K.embedded({c: F.col(c) for c in ("path", "language", "kind", "symbol", "parent", "imports", "body")})
-    vectors = embed(asked.select("id", text.alias("text")), model) if model else asked.select("id", F.lit(None).cast("array<double>").alias("vector"))
-    vectors = G.checkpoint(vectors)
-    done.embedded, done.failed = vectors.agg(F.count("vector"), F.count("*") - F.count("vector")).first()
-    kept = old.select("id", "vector") if old is not None else spark.createDataFrame([], "id string, vector array<double>")
-    kept = kept.join(vectors.select("id"), "id", "left_anti").unionByName(vectors)
-    rows = chunks.join(kept, "id", "left")
-    collections.write(name, rows)
-    collections.write(f"{name}.files", summed.drop("content"))
+    vectors = embed(chunks.select("id", text.alias("text")), model) if model else chunks.select("id", F.lit(None).cast("array<double>").alias("vector"))
+    vectors = G.checkpoint(vectors.dropDuplicates(["id"]))
+    done.embedded, done.failed, size = vectors.agg(F.count("vector"), F.count("*") - F.count("vector"), F.max(F.size("vector"))).first()
+    if not whole and done.embedded and (was := old.agg(F.max(F.size("vector"))).first()[0]) not in (None, -1, size):
+        return again() if again else sync(collections, name, files, project, model, True, most)
+    rows, summed = chunks.join(vectors, "id", "left"), summed.drop("content")
+    if whole:
+        collections.write(name, rows, "path")
+        collections.write(f"{name}.files", summed, "path")
+        return done
+    done.buckets = collections.merge(name, rows, gone)
+    collections.merge(f"{name}.files", summed, gone)
+    return done
+
+
+def sync_tree(collections, name: str, spark: SparkSession, root: str, project: str, model: Callable | None = None, force: bool = False, most: int | None = MOST_CHUNKS, max_files: int = 1500, max_bytes: int = 200 << 10) -> Synced:
+    """:func:`sync` with a folder tree. Folders are listed; of the files, only those are opened whose size or time is not the known one."""
+    now = G.checkpoint(listed(spark, root, max_files, max_bytes))
+    known = collections.read(f"{name}.files")
+    if known is None or force:
+        asked, kept = now, None
+    else:
+        kept = G.checkpoint(same_listing(known, now))
+        asked = now.join(kept, "path", "left_anti")
+    read = G.checkpoint(read_listed(asked, root))
+    files = read if kept is None else read.unionByName(known.join(kept, "path", "left_semi").select(*(F.col(c) if c in known.columns else F.lit(None).cast(read.schema[c].dataType).alias(c) for c in read.columns)))
+    done = sync(collections, name, files, project, model, force, most, lambda: sync_tree(collections, name, spark, root, project, model, True, most, max_files, max_bytes))
+    if kept is not None and done.status != "initial":
+        # Files that were written again with the same text keep their row, but for size and time, so that they aren't read the next time.
+        seen = read.select("path", "hash", "size_bytes", "modified_at")
+        again = G.checkpoint(known.drop("size_bytes", "modified_at").join(seen, ["path", "hash"]))
+        collections.merge(f"{name}.files", again, again.select("path"))
+    done.read = done.read or asked.count()
     return done
 
 

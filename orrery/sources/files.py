@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import files as P
 from ..functions import text as X
+from .buckets import Buckets
+from .tree import contents, tree
 
 #: Folders, extensions and names that a scan skips (fixed values).
 IGNORED_FOLDERS = ["node_modules", "bin", "obj", "dist", "build", "out", "target", "vendor", "coverage", "packages"]
@@ -33,28 +33,49 @@ def skip_reason(path: Column, size: Column, binary: Column, max_bytes: int) -> C
     )
 
 
-def scan(spark: SparkSession, root: str, max_files: int = 1500, max_bytes: int = 200 << 10) -> tuple[DataFrame, DataFrame]:
-    """Files below a root, by any path that Spark reads, and the skipped ones with a reason. Of the accepted ones the first ``max_files``
-    by path are kept; the others are skipped as over the limit. Spark's reader itself leaves out hidden files (``.env`` among them) and
-    empty ones, so these are in neither table."""
-    base = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = "/" + root.split("://", 1)[-1].split(":", 1)[-1].strip("/") + "/"
-    rows = rows.select(F.when(base.startswith(prefix), F.substring(base, len(prefix) + 1, 1 << 30)).otherwise(base).alias("path"), "modificationTime", "length", "content")
+def scan(spark: SparkSession, root: str, max_files: int = 1500, max_bytes: int = 200 << 10, reader: str = "tree") -> tuple[DataFrame, DataFrame]:
+    """Files below a root, and the skipped ones with a reason. Of the accepted ones the first ``max_files`` by path are kept; the others are skipped as over the
+    limit. reader: ``tree`` lists folders itself (see :mod:`.tree`); ``spark`` takes any path that Spark reads, but Spark's reader itself leaves out hidden files (``.env`` among
+    them) and empty ones, so these are in neither table."""
+    if reader == "tree":
+        rows = tree(spark, root, max_bytes, IGNORED_FOLDERS, [*BINARY, *LOCKS, *NOISE])
+    else:
+        base = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        prefix = "/" + root.split("://", 1)[-1].split(":", 1)[-1].strip("/") + "/"
+        rows = rows.select(F.when(base.startswith(prefix), F.substring(base, len(prefix) + 1, 1 << 30)).otherwise(base).alias("path"), "modificationTime", "length", "content")
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     hidden = F.exists(folders, lambda f: (f.startswith(".") & (f != ".cursor")) | f.isin(IGNORED_FOLDERS))
     rows = rows.filter(~hidden)
-    nul = F.contains(F.substring("content", 1, 4096), F.lit(b"\0"))
+    nul = F.coalesce(F.contains(F.substring("content", 1, 4096), F.lit(b"\0")), F.lit(False))
     rows = rows.withColumn("reason", skip_reason(F.col("path"), F.col("length"), nul, max_bytes))
     kept = rows.filter("reason is null")
     # Paths alone are ranked, in ranges, so no task holds all of them and none holds the contents.
     ranked = kept.join(first_paths(kept, max_files), "path", "left") if max_files else kept.withColumn("inside", F.lit(True))
-    body = X.redact(F.decode("content", "UTF-8"))
-    files = ranked.filter("inside").select("path", P.extension_of(F.col("path")).alias("extension"), body.alias("content"), X.content_hash(body).alias("hash"), F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"))
+    files = as_files(ranked.filter("inside"))
     skipped = rows.filter("reason is not null").select("path", "reason").unionByName(ranked.filter("inside is null").select("path", F.lit("over the file limit").alias("reason")))
     return files, skipped
 
 
+def as_files(rows: DataFrame) -> DataFrame:
+    """Files of a project of rows with their bytes: text without secrets, its hash, size and time."""
+    body = X.redact(F.decode("content", "UTF-8"))
+    return rows.select("path", P.extension_of(F.col("path")).alias("extension"), body.alias("content"), X.content_hash(body).alias("hash"), F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"))
+
+
+def listed(spark: SparkSession, root: str, max_files: int = 1500, max_bytes: int = 200 << 10) -> DataFrame:
+    """``path``, ``length``, ``modificationTime`` of the files that a scan would look into, by name and size alone; no content is read."""
+    rows = tree(spark, root, 0, IGNORED_FOLDERS, []).drop("content")
+    rows = rows.filter(skip_reason(F.col("path"), F.col("length"), F.lit(False), max_bytes).isNull())
+    return rows.join(first_paths(rows, max_files).drop("inside"), "path", "left_semi") if max_files else rows
+
+
+def read_listed(rows: DataFrame, root: str) -> DataFrame:
+    """rows: of :func:`listed`. Their files as :func:`scan` gives them; what holds binary content is left out."""
+    found = contents(rows, root).filter("content is not null")
+    return as_files(found.filter(~F.contains(F.substring("content", 1, 4096), F.lit(b"\0"))))
+
+
 def first_paths(files: DataFrame, most: int) -> DataFrame:
     """``path``, ``inside``: the first ``most`` paths, by a sort whose tasks keep as many each."""
     return files.select("path").orderBy("path").limit(most).select("path", F.lit(True).alias("inside"))
@@ -79,52 +100,41 @@ def append_history(entries: DataFrame, path: str) -> None:
 
 
 class Collections:
-    """Chunk collections as Parquet versions below a root. A write makes a new version and then points at it, so readers see one state and a failed
-    write changes nothing."""
+    """Chunk collections below a root, each a table in buckets (see :mod:`.buckets`) by ``id``, else by ``path``, or by the key that its first write names. A change rewrites
+    the buckets of its keys; readers see one state and a failed write changes nothing."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 32):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/current"
+    def table(self, name: str) -> Buckets:
+        return Buckets(self.spark, f"{self.root}/{name}", self.buckets)
 
     def read(self, name: str) -> DataFrame | None:
-        """The newest version that was written whole."""
-        fs, folder = self._fs(self._pointer(name))
-        if not fs.exists(folder):
-            return None
-        last = max(str(f.getPath().toString()) for f in fs.listStatus(folder))
-        version = self.spark.read.text(last).first()
-        return self.spark.read.parquet(f"{self.root}/{name}/{version['value']}") if version else None
-
-    def _fs(self, uri: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(uri)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def write(self, name: str, rows: DataFrame) -> None:
-        """A new version under the next free number. Two writers can't take the same one: the marker is created only if it isn't there."""
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.root}/{name}/{version}")
-        fs, folder = self._fs(self._pointer(name))
-        fs.mkdirs(folder)
-        order = len(fs.listStatus(folder))
-        while True:
-            _, marker = self._fs(f"{self._pointer(name)}/{order:012d}")
-            try:
-                out = fs.create(marker, False)
-                break
-            except Exception as e:  # noqa: BLE001 - the JVM's own exception for a file that exists
-                if "exists" not in str(e):
-                    raise
-                order += 1
-        out.write(bytearray(version, "utf-8"))
-        out.close()
+        """The newest state."""
+        return self.table(name).read()
+
+    def read_keys(self, name: str, keys: DataFrame) -> DataFrame | None:
+        """Rows of some keys of the collection's key column; only their buckets are read."""
+        return self.table(name).read_keys(keys)
+
+    def write(self, name: str, rows: DataFrame, key: str | None = None) -> None:
+        """All rows anew."""
+        old = self.table(name).manifest()
+        key = key or (old["key"] if old and old["key"] in rows.columns else next((c for c in ("id", "path") if c in rows.columns), None))
+        self.table(name).replace(rows, key)
+
+    def merge(self, name: str, rows: DataFrame, gone: DataFrame) -> int:
+        """Rows of the keys in ``gone`` go, ``rows`` come; returns how many buckets were rewritten."""
+        return self.table(name).merge(rows, gone)
+
+    def compact(self, name: str, keep: int = 1, grace: float = 3600.0) -> int:
+        return self.table(name).compact(keep, grace)
 
     def clear(self, name: str) -> None:
-        """An empty version of the same columns; what the collection is stays known."""
-        if (old := self.read(name)) is not None:
-            self.write(name, old.limit(0))
+        """An empty state of the same columns, without the hashes of its files, so that a sync makes it anew."""
+        for table in (name, f"{name}.files"):
+            if (old := self.read(table)) is not None:
+                self.write(table, old.limit(0))
 
     def replace_graph(self, name: str, nodes: DataFrame, edges: DataFrame) -> None:
         self.write(f"{name}.nodes", nodes)
@@ -147,10 +157,19 @@ class Collections:
         dim = lambda df: (df.select(F.size("vector")).filter("vector is not null").limit(1).collect() or [[None]])[0][0]
         if old is not None and "vector" in rows.columns and dim(old) not in (None, dim(rows)):
             old = None  # vectors of another length: the collection starts anew
-        self.write(name, rows if old is None else upsert(old, rows, key))
+        if old is None:
+            self.write(name, rows)
+        elif self.table(name).manifest()["key"] == key and sorted(old.columns) == sorted(rows.columns):
+            self.merge(name, rows, rows.select(key))
+        else:
+            self.write(name, upsert(old, rows, key))
 
     def delete(self, name: str, gone: DataFrame, key: str) -> None:
         from ..operators.sync import delete_by
 
-        if (old := self.read(name)) is not None:
+        if (old := self.read(name)) is None:
+            return
+        if self.table(name).manifest()["key"] == key:
+            self.merge(name, old.limit(0), gone.select(key))
+        else:
             self.write(name, delete_by(old, gone, key))
