@@ -5,24 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder that ``spark.checkpoint.dir`` names and reads it again: lineage is cut, the rows outlive lost executors, and sizes are
-    those of the files (a checkpoint keeps the estimates of its plan, which grow with every round of an iteration). Only a local session may go without
-    that setting; it gets a temporary folder of its own."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one that ``spark.checkpoint.dir`` names. Only a local session may go without that setting; it gets a temporary folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='checkpoints-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/orrery-graph-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/orrery-{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder that ``spark.checkpoint.dir`` names and reads it again: lineage is cut, the rows outlive lost executors, and sizes are
+    those of the files (a checkpoint keeps the estimates of its plan, which grow with every round of an iteration)."""
+    path = scratch(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

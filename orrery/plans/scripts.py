@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from ..functions import chunks as K
 from ..functions import scopes as S
 from ..functions import text as X
+from ..operators import graph as G
+from ..operators import search as R
 from ..operators import structure as ST
-from .queries import query, table
+from ..operators.trigrams import Trigrams
+from ..sources.buckets import Buckets
+from .queries import LIKE, TERMS, documents, query, table
 
 #: A file of each family: {t} is the text, {i} the id. Each declares a type, a member with a head of two lines, and calls.
 JS = "/* {t}*/\nimport {{ a }} from './m{i}';\nexport class C{i} {{\n  run(a,\n      b = {{}}) {{\n    // no0(1)\n    return go(a, 'no1(2)', `${{deep(b)}} no2()`);\n  }}\n}}\nconst f{i} = async (x) => {{\n  wait(x);\n}};\n"
@@ -106,3 +110,13 @@ def page_script_calls(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), X.script_body(F.col("html")).alias("content"))
     found = rows.select("page_id", F.explode(S.facts(F.col("path"), F.col("content"))).alias("f")).filter("f.fact = 'call'")
     return found.groupBy("page_id", "f.label").agg(F.count("*").alias("n"))
+
+
+@query(LIKE)
+def indexed_terms(spark, sf_dir):
+    """The rows of ``like_terms`` through an index of trigrams over whole texts, made anew here."""
+    rows = Buckets(spark, G.scratch(spark, "texts"))
+    rows.replace(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "path", "text"), "id")
+    index = Trigrams(rows, G.scratch(spark, "trigrams"), ["text", "path"])
+    index.build()
+    return R.top_per_key(index.search(TERMS), F.col("term"), [F.col("id")], 6).select("id", "term")

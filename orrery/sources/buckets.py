@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 class Buckets:
     """A table below ``root``: ``data/<version>/_bucket=<n>`` folders and numbered ``manifests``. A manifest names the key, the number of buckets, the schema
-    and each bucket's version. It is written aside and renamed without overwriting, so it is there whole or not at all, and of two writers one takes the next number; the other
+    and each bucket's versions (more than one where rows were appended). It is written aside and renamed without overwriting, so it is there whole or not at all, and of two writers one takes the next number; the other
     gets an error, since what it merged with is no longer the newest state. The number of buckets is fixed when a table is first written; a bucket should stay below
     some hundreds of MB."""
 
@@ -59,7 +59,7 @@ class Buckets:
 
     def _read(self, manifest: dict, only: list[int] | None = None) -> DataFrame:
         schema = T.StructType.fromJson(manifest["schema"])
-        paths = [f"{self.root}/data/{v}/_bucket={b}" for b, v in manifest["at"].items() if only is None or int(b) in only]
+        paths = [f"{self.root}/data/{v}/_bucket={b}" for b, versions in manifest["at"].items() if only is None or int(b) in only for v in versions]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame | None:
@@ -78,21 +78,32 @@ class Buckets:
     def _touched(self, manifest: dict, keys: DataFrame) -> list[int]:
         return [r[0] for r in keys.select(self.bucket(manifest["key"], manifest["buckets"])).distinct().collect()]
 
-    def _write(self, rows: DataFrame, key: str | None, buckets: int) -> dict[str, str]:
-        """Writes rows as a version; version by bucket that has rows."""
+    def _write(self, rows: DataFrame, key: str | None, buckets: int, spread: Column | None = None, order: list[str] | None = None) -> dict[str, list[str]]:
+        """Writes rows as a version; versions by bucket that has rows. spread: deals a bucket to several files, so that a hot key has several tasks. order: rows of a file are
+        sorted by it, so that a filter on it skips parts of files."""
         version = uuid.uuid4().hex
         path = f"{self.root}/data/{version}"
-        rows.withColumn("_bucket", self.bucket(key, buckets)).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+        rows = rows.withColumn("_bucket", self.bucket(key, buckets))
+        rows = rows.repartition("_bucket") if spread is None else rows.repartition("_bucket", spread)
+        rows = rows.sortWithinPartitions("_bucket", *order) if order else rows
+        rows.write.partitionBy("_bucket").parquet(path)
         fs, folder = self._fs(), self._path(path)
         names = [f.getPath().getName() for f in fs.listStatus(folder)]
-        return {n.removeprefix("_bucket="): version for n in names if n.startswith("_bucket=")}
+        return {n.removeprefix("_bucket="): [version] for n in names if n.startswith("_bucket=")}
 
-    def replace(self, rows: DataFrame, key: str | None) -> None:
+    def replace(self, rows: DataFrame, key: str | None, spread: Column | None = None, order: list[str] | None = None) -> None:
         """All rows anew."""
         old = self.manifest()
-        at = self._write(rows, key, self.buckets if key else 1)
+        at = self._write(rows, key, self.buckets if key else 1, spread, order)
         self._publish({"key": key, "buckets": self.buckets if key else 1, "schema": rows.schema.jsonValue(), "at": at, "made": time.time()}, old["number"] if old else -1)
 
+    def append(self, rows: DataFrame, spread: Column | None = None, order: list[str] | None = None) -> None:
+        """Rows beside those that are there; nothing is rewritten."""
+        manifest = self.manifest()
+        at = self._write(rows, manifest["key"], manifest["buckets"], spread, order)
+        both = {b: [*manifest["at"].get(b, []), *at.get(b, [])] for b in {*manifest["at"], *at}}
+        self._publish(manifest | {"at": both, "made": time.time()}, manifest["number"])
+
     def merge(self, rows: DataFrame, gone: DataFrame) -> int:
         """Rows of the keys in ``gone`` (one column, the table's key) go, ``rows`` come. Only buckets of these keys are rewritten; how many is returned. Rows must have
         the table's columns."""
@@ -114,10 +125,11 @@ class Buckets:
         fs, numbers = self._fs(), self.numbers()
         held = [self.manifest(n) for n in numbers]
         stay = [m for i, m in enumerate(held) if i >= len(held) - max(1, keep) or m["made"] > time.time() - grace]
-        used, gone = {(b, v) for m in stay for b, v in m["at"].items()}, 0
+        folders = lambda m: {(b, v) for b, versions in m["at"].items() for v in versions}
+        used, gone = set().union(*map(folders, stay)), 0
         for m in held:
             if m not in stay:
                 fs.delete(self._path(f"{self.root}/manifests/{m['number']:012d}"), False)
-        for b, v in {(b, v) for m in held for b, v in m["at"].items()} - used:
+        for b, v in set().union(*map(folders, held)) - used:
             gone += bool(fs.delete(self._path(f"{self.root}/data/{v}/_bucket={b}"), True))
         return gone

@@ -183,6 +183,22 @@ def test_retrieval_engines(spark, files):
     assert RT.summaries(seeds, p.files).first()["role"] is not None
 
 
+def test_retrieval_with_an_index(spark, files, tmp_path):
+    """The same results, whether chunks are scanned or found by trigrams."""
+    from dataclasses import replace
+
+    from orrery.operators.trigrams import Trigrams
+
+    p = project(spark, files)
+    store = Collections(spark, f"file://{tmp_path}", 8)
+    store.write("p", p.chunks)
+    index = Trigrams(store.table("p"), f"file://{tmp_path}/index", RT.CHUNK_COLUMNS, 8)
+    index.build()
+    for query in ("where is LoginForm used", "auth check"):
+        rows, other = RT.retrieve(query, p, "ast")[0], RT.retrieve(query, replace(p, index=index), "ast")[0]
+        assert sorted(map(str, rows.collect())) == sorted(map(str, other.collect())) and rows.count()
+
+
 def test_profile_boost(spark, files):
     p = project(spark, files)
     rows = RT.results(spark.createDataFrame([("src/lib/auth.ts",)], "path string"), score=0.5)

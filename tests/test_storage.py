@@ -147,3 +147,42 @@ def test_upsert_and_delete_by_key(spark, tmp_path):
     assert store.read("c").count() == 39
     store.upsert("c", spark.createDataFrame([("1", "x", [1.0, 2.0])], "id string, path string, vector array<double>"))
     assert store.read("c").count() == 1  # vectors of another length begin anew
+
+
+def texts(spark):
+    words = ["Alpha", "beta", "gAMMa", "del_ta", "e%f", "ünïcode", "x", "\n", "back\\slash"]
+    rows = [(i, " ".join(words[(i * k) % len(words)] for k in range(1, 2 + i % 7)), f"src/{words[i % 5]}{i % 11}.py", words[i % 9] if i % 4 else None) for i in range(300)]
+    return spark.createDataFrame([*rows, (300, None, None, None), (301, "", "", "")], "id long, body string, path string, symbol string")
+
+
+def test_terms_by_trigrams_are_those_of_a_scan(spark, tmp_path):
+    from orrery.operators import trigrams as TG
+
+    table = Buckets(spark, f"{tmp_path}/rows", 16)
+    rows = texts(spark)
+    table.replace(rows.filter("id < 250"), "id")
+    index = TG.Trigrams(table, f"{tmp_path}/index", ["body", "path", "symbol"], 8)
+    index.build()
+    table.merge(rows.filter("id >= 250"), rows.filter("id >= 250 OR id = 8").select("id"))
+    index.add(rows.filter("id >= 250"))
+    left = rows.filter("id <> 8")
+    terms = ["alpha", "GAMMA", "l_ta", "a%b", "x", "ünï", "NICODE", "nowhere", "", "_", "src/beta1", "gamma", "alpha", "\\_ta"]
+    for columns, exact in ((None, None), (["body"], "symbol")):
+        want = left.withColumn("term", F.explode(F.array(*map(F.lit, dict.fromkeys(terms))))).filter(TG.holds(F.col("term"), columns or index.columns, exact))
+        got = index.search(terms, columns, exact)
+        assert sorted((r["id"], r["term"]) for r in got.collect()) == sorted((r["id"], r["term"]) for r in want.collect())
+    assert TG.grams_of("ab%cdef_g") == ["cde", "def"] and index.wanted(["nowhere"])["nowhere"]
+
+
+def test_a_rare_term_reads_a_part_of_the_table(spark, tmp_path):
+    from orrery.operators import trigrams as TG
+
+    table = Buckets(spark, f"{tmp_path}/rows", 32)
+    table.replace(spark.range(2000).select("id", F.concat(F.lit("common words "), F.when(F.col("id") == 77, "needle").otherwise("hay")).alias("body")), "id")
+    index = TG.Trigrams(table, f"{tmp_path}/index", ["body"], 16)
+    index.build()
+    found = index.search(["needle"])
+    assert [r["id"] for r in found.collect()] == [77] and len(found.inputFiles()) < len(table.read().inputFiles()) / 4
+    asked = index.candidates(index.wanted(["needle"]))
+    assert len(asked.inputFiles()) < len(index.postings.read().inputFiles()) / 2 and asked.count() == 1
+    assert "In(gram" in asked._jdf.queryExecution().toString() or "gram IN" in asked._jdf.queryExecution().toString()
