@@ -13,6 +13,7 @@ from ..functions import code as C
 from ..functions import files as P
 from ..functions import scopes as S
 from . import graph as G
+from . import project as J
 
 #: Words before a bracket that are no calls; our own list.
 KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "function", "def", "class", "using", "lock", "typeof", "sizeof", "await", "new", "super", "elif", "except", "with", "and", "or", "not", "in", "print"]
@@ -197,6 +198,51 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     return found.select("a", "b", type_).distinct(), found.select(file_id(F.col("from_path")).alias("a"), file_id(F.col("to_path")).alias("b"), type_).distinct()
 
 
+def ancestors(path: Column) -> Column:
+    """A file's folders from its own to the root (an empty text): structs of ``folder`` and ``up``, how many steps it is away."""
+    folders = F.split(F.regexp_extract(path, r"^(.*/)?[^/]*$", 1), "/")
+    depth = F.size(folders) - 1
+    return F.transform(F.sequence(F.lit(0), depth), lambda up: F.struct(F.array_join(F.slice(folders, F.lit(1), depth - up), "/").alias("folder"), up.alias("up")))
+
+
+def resolve_scoped(called: DataFrame, declared: DataFrame, links: DataFrame, most: int = 1) -> DataFrame:
+    """Which declarations calls mean, ``most`` of them a call, however many files declare the name. called: ``path``, ``label``; declared: ``path``, ``label``; links: ``a``, ``b`` paths
+    of resolved imports. ``path``, ``label``, ``target``, ``how``: declarations of files that the caller imports come first (``import``); where there is none, those of the
+    nearest folder around the caller (``folder``), the lesser path first. Names are compared without case, the caller's own file is no target.
+
+    No join is on the name alone: imported files meet by path and name; otherwise each folder above a declaration keeps the first few paths of a name (limited before
+    they are shuffled), and a call looks at its own folders."""
+    asks = called.select("path", "label", F.lower("label").alias("key")).distinct()
+    has = declared.select(F.col("path").alias("target"), F.lower("label").alias("key")).distinct()
+    order = Window.partitionBy("path", "key")
+    reached = asks.select("path", "key").distinct().join(links.filter("a <> b").select(F.col("a").alias("path"), F.col("b").alias("target")).distinct(), "path").join(has, ["target", "key"])
+    reached = G.checkpoint(reached.withColumn("rn", F.row_number().over(order.orderBy("target"))).filter(F.col("rn") <= most).select("path", "key", "target"))
+    # One more than is wanted, since one of them may be the caller's own file.
+    first = Window.partitionBy("key", "folder").orderBy("target")
+    held = has.select("key", "target", F.explode(ancestors(F.col("target"))).alias("x")).select("key", "target", "x.folder")
+    held = held.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= most + 1).select("key", "folder", "target")
+    rest = asks.select("path", "key").distinct().join(reached.select("path", "key").distinct(), ["path", "key"], "left_anti")
+    around = rest.select("path", "key", F.explode(ancestors(F.col("path"))).alias("x")).select("path", "key", "x.folder", "x.up")
+    near = around.join(held, ["key", "folder"]).filter("path <> target").groupBy("path", "key", "target").agg(F.min("up").alias("up"))
+    near = near.withColumn("rn", F.row_number().over(order.orderBy("up", "target"))).filter(F.col("rn") <= most).select("path", "key", "target")
+    found = reached.withColumn("how", F.lit("import")).unionByName(near.withColumn("how", F.lit("folder")))
+    return asks.join(found, ["path", "key"]).select("path", "label", "target", "how")
+
+
+def scoped_calls(nodes: DataFrame, edges: DataFrame, files: DataFrame, most: int = 1) -> tuple[DataFrame, DataFrame]:
+    """:func:`resolve_calls` with a bound: nodes, edges: an extraction; files: ``path``. Edges from the caller to the symbol of each file that :func:`resolve_scoped` names, and
+    from file to file."""
+    called = nodes.filter("kind = 'call'").select(F.col("id").alias("call"), "path", "label", F.lower("label").alias("key"))
+    caller = edges.filter("relation = 'calls'").groupBy(F.col("b").alias("call")).agg(F.min("a").alias("a"))
+    symbol = nodes.filter(~F.col("kind").isin("file", "import", "call", "rationale")).select(F.col("id").alias("b"), "path", "label")
+    made = nodes.filter("kind = 'import'").select("path", F.col("label").alias("target"))
+    found = resolve_scoped(called, symbol, J.resolve_imports(made, files), most).select("path", F.lower("label").alias("key"), "target").distinct()
+    target = symbol.select("b", F.col("path").alias("target"), F.lower("label").alias("key")).groupBy("target", "key").agg(F.min("b").alias("b"))
+    met = called.join(found, ["path", "key"]).join(target, ["target", "key"]).join(caller, "call")
+    type_ = F.lit("Calls").alias("type")
+    return met.select("a", "b", type_).distinct(), met.select(file_id(F.col("path")).alias("a"), file_id(F.col("target")).alias("b"), type_).distinct()
+
+
 def calls_within(nodes: DataFrame) -> DataFrame:
     """``a`` (call), ``b`` (symbol): calls of a symbol of the same file, the first of its name by line."""
     called = nodes.filter("kind = 'call'").select(F.col("id").alias("a"), "path", F.lower("label").alias("key"))

@@ -138,6 +138,19 @@ def symbol_calls(spark, sf_dir):
     return ST.resolve_calls(*ST.extraction(code(spark, sf_dir), "lines"))[0].select("a", "b")
 
 
+_FOLDERS = "string_split(regexp_extract({}, '^(.*/)?[^/]*$', 1), '/')"
+
+
+@query(f"""WITH c AS (SELECT path, 'fn' || (doc_id % 40) AS own, 'fn' || ((doc_id + 3) % 40) AS far, {_FOLDERS.format('path')} AS f FROM ({CODE})),
+ m AS (SELECT a.path, a.far AS label, b.path AS target, len(list_filter(range(1, 1 + least(len(a.f), len(b.f))), lambda i: a.f[1:i] = b.f[1:i] AND a.f[i] <> '')) AS deep FROM c a JOIN c b ON a.far = b.own AND a.path <> b.path)
+ SELECT path, label, target, 'folder' AS how FROM (SELECT *, row_number() OVER (PARTITION BY path, label ORDER BY deep DESC, target) AS rn FROM m) WHERE rn <= 2""")
+def nearest_calls(spark, sf_dir):
+    """Two targets a call at most: declarations of the nearest folders, since the made-up imports lead to no file."""
+    found = ST.all_facts(code(spark, sf_dir), "lines")
+    none = spark.createDataFrame([], "a string, b string")
+    return ST.resolve_scoped(found.filter("fact = 'call'"), found.filter("fact = 'symbol'"), none, 2)
+
+
 @query(f"SELECT path, './f' || (doc_id + 1) AS label FROM ({CODE})")
 def import_labels(spark, sf_dir):
     nodes, edges = ST.extraction(code(spark, sf_dir), "lines")
