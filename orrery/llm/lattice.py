@@ -76,12 +76,12 @@ def number(points: np.ndarray) -> np.ndarray:
     for column in twice.T:
         out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def cells(unit: np.ndarray, tables: int, probes: int, blocks: int, scale: float) -> np.ndarray:
     """Cells of unit vectors, tables x (home, then the neighbours visited)."""
-    out = np.empty((len(unit), tables, 1 + probes), np.int64)
+    out = np.empty((len(unit), tables, 1 + probes), np.int32)
     for t in range(tables):
         x = np.zeros((len(unit), 8 * blocks))
         for part, at in enumerate(range(0, unit.shape[1], COLUMNS)):
@@ -143,13 +143,13 @@ def tree(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def embedding_links(distinct: DataFrame, least: float, tables: int, probes: int, blocks: int, scale: float, leaf: int = LEAF) -> DataFrame:
-    """distinct: ``node`` long, ``label``, ``v`` array<double>, ``copies`` long; usable vectors, each once. Returns rows ``a``, ``b``, ``n``: for each
+    """distinct: ``node`` long, ``label``, ``v`` array of float or double, ``copies`` long; usable vectors, each once. Returns rows ``a``, ``b``, ``n``: for each
     vector ``a`` (``b`` is null) how many others it links with, or a link of a tree of links (``n`` is null). Connectivity is that of all links."""
     width = tables * (1 + probes)
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<int>")
     def signature(vectors: pd.Series) -> pd.Series:
-        out = np.empty((len(vectors), width), np.int64)
+        out = np.empty((len(vectors), width), np.int32)
         size = vectors.map(len).to_numpy()
         for length in np.unique(size):
             at = np.flatnonzero(size == length)
@@ -204,7 +204,9 @@ def near_embeddings(vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_
     smallest id that such links reach, and whether that is its own. blocks: lattice points a cell is made of; more of them, with more tables,
     make cells smaller where a label has very many vectors."""
     arrow_bounds(vectors.sparkSession)
-    rows = vectors.select(vectors[vec_id].alias("vec_id"), vectors[label].alias("label"), vectors[embedding].cast("array<double>").alias("v"))
+    kind = vectors.schema[embedding].dataType.simpleString()  # floats travel as floats; cosines are of doubles
+    v = vectors[embedding] if kind == "array<float>" else vectors[embedding].cast("array<double>")
+    rows = vectors.select(vectors[vec_id].alias("vec_id"), vectors[label].alias("label"), v.alias("v"))
     sound = F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     grouped = rows.filter("sound").groupBy("label", "v").agg(F.min("vec_id").alias("best"), F.count("*").alias("copies"))
