@@ -10,6 +10,7 @@ from ..functions import chunks as K
 from ..functions import scopes as S
 from ..functions import text as X
 from ..operators import graph as G
+from ..operators import rewrites as W
 from ..operators import search as R
 from ..operators import structure as ST
 from ..operators.trigrams import Trigrams
@@ -120,3 +121,38 @@ def indexed_terms(spark, sf_dir):
     index = Trigrams(rows, G.scratch(spark, "trigrams"), ["text", "path"])
     index.build()
     return R.top_per_key(index.search(TERMS), F.col("term"), [F.col("id")], 6).select("id", "term")
+
+
+# Prompts that are typed in haste: each message behind a phrase that the rewrites know, by its place in the conversation.
+HASTE = ["please maek a vidoe, ", "I need  very ", "hey bro ", "same stlye no text same character ", ""]
+_HASTE = "CASE turn % 5 " + " ".join(f"WHEN {k} THEN '{h}'" for k, h in enumerate(HASTE)) + " END || coalesce(text, '')"
+_W = r"[ \t\n\x0B\f\r]+"
+_FIX = "list_transform(string_split(raw, ' '), lambda w: CASE lower(regexp_replace(w, '^[,.!?;:]+|[,.!?;:]+$', '', 'g')) " + " ".join(f"WHEN '{a}' THEN regexp_replace(w, '{a}', '{b}', 'gi')" for a, b in W.TYPOS.items()) + " ELSE w END)"
+_TRIM = f"regexp_replace({{}}, '^{_W}|{_W}$', '', 'g')"
+_FLAT = "list_aggregate(list_filter(list_transform(string_split({}, ' '), lambda p: " + _TRIM.format("p") + "), lambda p: p <> ''), 'string_agg', ' ')"
+_SHAPE = "CASE WHEN {0} = '' THEN '' WHEN right({0}, 1) IN ('.', '!', '?') THEN upper(left({0}, 1)) || substr({0}, 2) ELSE upper(left({0}, 1)) || substr({0}, 2) || '.' END"
+
+
+def _less(text: str, phrases: list[str]) -> str:
+    for phrase in phrases:
+        text = f"regexp_replace({text}, '{phrase}', '', 'gi')"
+    return text
+
+
+_VIDEO = "shaped"
+for _phrase, _to in W.VIDEO:
+    _VIDEO = f"regexp_replace({_VIDEO}, '{_phrase}', '{_to}', 'gi')"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, {_HASTE} AS raw FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn, {_TRIM.format(f"array_to_string({_FIX}, ' ')")} AS fixed FROM a),
+ c AS (SELECT *, coalesce({_FLAT.format('fixed')}, '') AS flat FROM b), d AS (SELECT *, {_SHAPE.format('flat')} AS shaped FROM c)
+ SELECT conv_id, turn, action, md5(rewritten) AS rewritten_md5 FROM (SELECT conv_id, turn, unnest([{{'action': 'smart', 'rewritten': {_less('shaped', W.FILLERS)}}}, {{'action': 'optimize', 'rewritten': CASE WHEN shaped = '' THEN fixed ELSE shaped END}},
+ {{'action': 'compress', 'rewritten': {_less('shaped', W.FILLERS)}}}, {{'action': 'professional', 'rewritten': {_less('shaped', [W.CASUAL])}}}, {{'action': 'direct', 'rewritten': {_less('shaped', W.FILLERS)}}},
+ {{'action': 'video', 'rewritten': {_VIDEO}}}, {{'action': 'coding', 'rewritten': '{W.CODING[0]}' || shaped || '{W.CODING[1]}'}}], recursive := true) FROM d)""")
+def prompt_rewrites(spark, sf_dir):
+    """What each of the seven actions makes of each prompt."""
+    haste = F.lit("")
+    for k, h in enumerate(HASTE):
+        haste = F.when(F.col("turn") % 5 == k, h).otherwise(haste)
+    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat(haste, F.coalesce("text", F.lit(""))).alias("text"))
+    return rows.select("conv_id", "turn", F.explode(W.all_rewrites(F.col("text"))).alias("r")).select("conv_id", "turn", "r.action", F.md5("r.rewritten").alias("rewritten_md5"))
