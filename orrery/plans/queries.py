@@ -706,3 +706,4 @@ def wordpiece_ids(spark, sf_dir):
 
 from . import projects as projects  # noqa: E402 - these register their queries in the tables above
 from . import scripts as scripts  # noqa: E402
+from . import streams as streams  # noqa: E402

@@ -91,11 +91,11 @@ class Buckets:
         names = [f.getPath().getName() for f in fs.listStatus(folder)]
         return {n.removeprefix("_bucket="): [version] for n in names if n.startswith("_bucket=")}
 
-    def replace(self, rows: DataFrame, key: str | None, spread: Column | None = None, order: list[str] | None = None) -> None:
-        """All rows anew."""
+    def replace(self, rows: DataFrame, key: str | None, spread: Column | None = None, order: list[str] | None = None, notes: dict | None = None) -> None:
+        """All rows anew. notes: what a writer wants to find again in the manifest."""
         old = self.manifest()
         at = self._write(rows, key, self.buckets if key else 1, spread, order)
-        self._publish({"key": key, "buckets": self.buckets if key else 1, "schema": rows.schema.jsonValue(), "at": at, "made": time.time()}, old["number"] if old else -1)
+        self._publish({"key": key, "buckets": self.buckets if key else 1, "schema": rows.schema.jsonValue(), "at": at, "made": time.time(), "notes": notes or {}}, old["number"] if old else -1)
 
     def append(self, rows: DataFrame, spread: Column | None = None, order: list[str] | None = None) -> None:
         """Rows beside those that are there; nothing is rewritten."""
@@ -104,19 +104,22 @@ class Buckets:
         both = {b: [*manifest["at"].get(b, []), *at.get(b, [])] for b in {*manifest["at"], *at}}
         self._publish(manifest | {"at": both, "made": time.time()}, manifest["number"])
 
-    def merge(self, rows: DataFrame, gone: DataFrame) -> int:
+    def merge(self, rows: DataFrame, gone: DataFrame, notes: dict | None = None) -> int:
         """Rows of the keys in ``gone`` (one column, the table's key) go, ``rows`` come. Only buckets of these keys are rewritten; how many is returned. Rows must have
         the table's columns."""
         manifest = self.manifest()
         key, buckets, schema = manifest["key"], manifest["buckets"], T.StructType.fromJson(manifest["schema"])
         touched = sorted({*self._touched(manifest, gone), *self._touched(manifest, rows)})  # a number a bucket at most
+        noted = {"notes": manifest.get("notes", {}) if notes is None else notes, "made": time.time()}
         if not touched:
+            if notes is not None:
+                self._publish(manifest | noted, manifest["number"])
             return 0
         kept = self._read(manifest, touched).join(gone.select(key).distinct(), key, "left_anti")
         rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
         at = self._write(kept.unionByName(rows), key, buckets)
         left = {b: v for b, v in manifest["at"].items() if int(b) not in touched}
-        self._publish(manifest | {"at": left | at, "made": time.time()}, manifest["number"])
+        self._publish(manifest | noted | {"at": left | at}, manifest["number"])
         return len(touched)
 
     def compact(self, keep: int = 1, grace: float = 3600.0) -> int:
