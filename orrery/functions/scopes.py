@@ -2,7 +2,7 @@
 
 A file is cut into tokens once, so that comments, strings, templates and regular expressions hide what stands in them; brackets are paired;
 then declarations are read where a scope allows them, each with the token at which it ends. Parents and callers are the scopes around. Python
-files go through Python's own parser. A file that can't be read, or whose language isn't covered, gives null: its lines are then read by patterns.
+files go through Python's own parser. Of Vue, Svelte and Astro files the first script is read, of Razor files the code blocks, at their places in the file. A file that can't be read, or whose language isn't covered, gives null: its lines are then read by patterns.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Families by the end of a path.
 FAMILIES = {"js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "ts": "js", "tsx": "js", "cs": "csharp", "java": "java", "go": "go", "py": "python"}
+#: Files whose code stands in script elements, or in blocks behind a mark.
+SCRIPTED, RAZOR = {"vue", "svelte", "astro"}, {"razor", "cshtml"}
 FACT = "fact string, label string, kind string, start_line int, end_line int, parent string, caller string, begin int, stop int"
 TYPES = {"csharp": {"class", "interface", "struct", "record", "enum"}, "java": {"class", "interface", "record", "enum"}}
 #: Words in front of a bracket that call nothing: those of all families, and each one's own.
@@ -49,7 +51,8 @@ _BEFORE_REGEX = set("( , = : [ ! & | ? { } ; + - * % ~ ^ < > => return typeof ca
 class Source:
     """A file's tokens: ``kind`` (word, string, number or mark), ``text``, ``line``, ``at``, ``to``; the partner of each bracket."""
 
-    def __init__(self, family: str, content: str):
+    def __init__(self, family: str, content: str, inside: bool = False):
+        self.inside = inside  # whether members stand at the top, as inside a type
         self.family, self.kind, self.text, self.line, self.at, self.to = family, [], [], [], [], []
         pattern, pos, line, seen, templates = TOKENS[family], 0, 1, 0, []
         while pos < len(content):
@@ -192,7 +195,7 @@ def arrow(s: Source, name: int) -> int:
 
 def members(s: Source) -> Iterator[Unit]:
     """Types and their methods and properties, of C# and Java: a member's head is read up to its body or end."""
-    types, todo = TYPES[s.family], [(0, s.n, False)]
+    types, todo = TYPES[s.family], [(0, s.n, s.inside)]
     while todo:
         i, stop, inside = todo.pop()
         while i < stop:
@@ -391,9 +394,44 @@ def python(content: str) -> list[dict]:
     return sorted(out, key=lambda r: (r["begin"], -r["stop"], r["fact"]))
 
 
+_SCRIPT, _TYPED = re.compile(r"<script\b([^>]*)>(.*?)</script>", re.IGNORECASE | re.DOTALL), re.compile(r"""\blang\s*=\s*["']?(?:ts|typescript)\b""", re.IGNORECASE)
+
+
+def only(content: str, kept: list[tuple[int, int]]) -> str:
+    """The content with blanks for all but some stretches, so that lines and places stay what they are."""
+    blank = lambda part: re.sub(r"[^\n]", " ", part)
+    out, at = [], 0
+    for start, stop in kept:
+        out += [blank(content[at:start]), content[start:stop]]
+        at = stop
+    return "".join([*out, blank(content[at:])])
+
+
+def script_of(content: str) -> str | None:
+    """The first script element's body in its place; null where there is none or it is blank."""
+    m = _SCRIPT.search(content)
+    return only(content, [m.span(2)]) if m and m.group(2).strip() else None
+
+
+def blocks_of(content: str) -> str:
+    """The C# blocks of a Razor file in their places: what stands between the braces behind ``@code``, ``@functions`` and ``@``. All of it where there is none."""
+    kept = []
+    for m in re.finditer(r"@(?:code|functions)?\s*\{", content):
+        if not kept or m.start() >= kept[-1][1]:
+            block = Source("csharp", content[m.end() - 1 :])
+            kept.append((m.end(), m.end() - 1 + (block.at[block.pair[0]] if block.is_(block.pair[0], "}") else len(content))))
+    return only(content, kept) if kept else content
+
+
 def facts_of(path: str | None, content: str | None) -> list[dict] | None:
     """Facts of one file by place; null where its lines must be read instead."""
-    family = FAMILIES.get((path or "").rpartition(".")[2].lower())
+    ending = (path or "").rpartition(".")[2].lower()
+    family = FAMILIES.get(ending)
+    if content is not None and ending in SCRIPTED:
+        script = script_of(content.replace("\r\n", "\n"))
+        return None if script is None else scoped(Source("js", script))
+    if content is not None and ending in RAZOR:
+        return scoped(Source("csharp", blocks_of(content.replace("\r\n", "\n")), True))
     if family is None or content is None:
         return None
     if family == "python":

@@ -316,3 +316,9 @@ def buckets(files: DataFrame) -> DataFrame:
 def prioritized(files: DataFrame) -> DataFrame:
     """Files in the order in which they are read: by priority, then path."""
     return files.withColumn("priority", P.priority(F.col("path"))).orderBy(F.desc("priority"), "path")
+
+
+def most_important(files: DataFrame, most: int = 28) -> DataFrame:
+    """files: ``path``, ``role``, ``importance``. ``label``, ``role``, ``path`` of the most important files, a list of the contract's length."""
+    rows = files.orderBy(F.desc(F.coalesce("importance", F.lit(0.0))), F.lower("path"), "path").limit(most)
+    return rows.select(P.name_of(F.col("path")).alias("label"), "role", "path")

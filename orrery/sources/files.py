@@ -82,10 +82,14 @@ def first_paths(files: DataFrame, most: int) -> DataFrame:
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """``word freq`` lines: two parts, 2 to 24 letters or apostrophes; of a word that repeats, the largest count."""
+    """``word freq`` lines: two parts, 2 to 24 letters or apostrophes; of a word that repeats in a file, the
+    last count; of one in several files, the largest."""
     parts = F.split(F.trim("value"), " ")
-    rows = spark.read.text(path).filter(F.size(parts) == 2).select(F.lower(parts[0]).alias("word"), parts[1].try_cast("long").alias("freq"))
-    return rows.filter(F.col("word").rlike(r"^[\p{L}']{2,24}$") & F.col("freq").isNotNull()).groupBy("word").agg(F.max("freq").alias("freq"))
+    # Lines of one file in their order: where a part of it starts, then the line within the part.
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).alias("line"))
+    rows = read.filter(F.size(parts) == 2).select(F.lower(parts[0]).alias("word"), parts[1].try_cast("long").alias("freq"), "file", "line")
+    rows = rows.filter(F.col("word").rlike(r"^[\p{L}']{2,24}$") & F.col("freq").isNotNull())
+    return rows.groupBy("word", "file").agg(F.max_by("freq", "line").alias("freq")).groupBy("word").agg(F.max("freq").alias("freq"))
 
 
 def read_history(spark: SparkSession, path: str, limit: int = 200) -> DataFrame:
