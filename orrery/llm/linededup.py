@@ -102,10 +102,12 @@ def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     body = lambda lines: F.transform("marks", lambda m: F.struct(m["hash"].alias("hash"), m["first"].alias("first"), m["lines"].alias("lines"), F.array_join(F.slice(lines, m["first"] + 1, m["lines"]), "\n").alias("chunk")))
     texts = rows.filter("marks is not null").select("doc_id", "fold", F.explode(let(F.split("text", "\n", -1), body)).alias("z")).select("doc_id", "fold", "z.*")
     at = F.struct("doc_id", "fold", "first").alias("at")
-    owner = texts.groupBy("hash", "chunk").agg(F.min(at).alias("owner"), F.max(at).alias("last")).filter("owner <> last")
-    # Texts of equal hash have, if their bytes differ, owners of their own; a place is checked against the one of its bytes.
-    owner = materialize(owner.select(F.col("hash").alias("seen"), "owner", F.col("chunk").alias("bytes")), "owners")
+    owner = texts.groupBy("hash", "chunk").agg(F.min(at).alias("owner"), F.max(at).alias("last"))
+    # Texts of equal hash have, if their bytes differ, owners of their own; a place is checked against the one of its bytes. Texts that stand once count here, too: they
+    # share a hash with others, but have nothing to remove.
+    owner = materialize(owner.select(F.col("hash").alias("seen"), "owner", "last", F.col("chunk").alias("bytes")), "owners")
     many = owner.groupBy("seen").count().filter("count > 1").limit(1).count()
+    owner = owner.filter("owner <> last").drop("last")
     same = (F.col("hash") == F.col("seen")) & (F.col("chunk") == F.col("bytes")) if many else F.col("hash") == F.col("seen")
     places = texts if many else near.distinct()
     apart = ~(F.col("doc_id").eqNullSafe(F.col("owner.doc_id")) & (F.col("fold") == F.col("owner.fold")) & (F.col("first") < F.col("owner.first") + F.col("lines")))

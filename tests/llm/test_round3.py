@@ -10,7 +10,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from orrery.llm import alignment, lattice, queries, runs
+from pyspark.sql import functions as F
+
+from orrery.llm import alignment, lattice, linededup, queries, runs
 
 DOCS = "doc_id long, text string, n_a string, slot int, batch int, node long, x string"
 
@@ -243,3 +245,18 @@ def test_registered(name):
     import __spark_entry__
 
     assert name in __spark_entry__.queries()
+
+
+# --- line dedup, bytes against hashes ---------------------------------------------------------------------------------------------
+
+
+def test_lines_of_one_hash_are_told_by_their_bytes(spark, monkeypatch):
+    """All chunks on one hash: what stands once, or other bytes, must stay."""
+    shared = "\n".join(f"shared line number {i} of a passage" for i in range(8))
+    rows = [(1, shared), (2, f"own start\n{shared}"), (3, "nothing of this\nstands elsewhere"), (4, "\n".join(f"line {i} here alone" for i in range(6)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {tuple(r) for r in linededup.line_dedup(df).select("doc_id", "text", "n_removed").collect()}
+    told = linededup.chunks
+    monkeypatch.setattr(linededup, "chunks", lambda *a: told(*a).withColumn("hash", F.unhex(F.md5(F.lit("one")))))
+    got = {tuple(r) for r in linededup.line_dedup(df).select("doc_id", "text", "n_removed").collect()}
+    assert got == want and {(3, rows[2][1], 0), (4, rows[3][1], 0)} <= got and any(n for _, _, n in got)
