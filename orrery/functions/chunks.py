@@ -16,6 +16,7 @@ DECLARATIONS = {
     "python": r"(?:async[ \t]+def|def|class)[ \t]+(\w+)",
     "csharp": r"(?:public|private|protected|internal)[ \t]+(?:[\w<>\[\],?]+[ \t]+)*([A-Za-z_]\w*)[ \t]*(?=[({:\n]|$)",
     "sql": r"(?i:create|alter)[ \t]+(?i:or[ \t]+replace[ \t]+)?\w+[ \t]+(?i:if[ \t]+not[ \t]+exists[ \t]+)?([\w.]+)",
+    "css": r"([.#@*&]?[A-Za-z_][^{};\n]*?)[ \t]*\{",
 }
 DECLARATIONS["javascript"] = DECLARATIONS["typescript"]
 #: Sizes and overlaps: of plain text, of long sections without headings, with them, of JSON and of long declarations (fixed values).

@@ -19,6 +19,18 @@ def topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
     return scored.filter("score > 0").orderBy(F.desc("score"), id_col).limit(max(1, k))
 
 
+def first_places(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k highest scores, the highest first, ties to the smaller place. Rows are partitioned; only those with ties at the k-th score are sorted."""
+    if scores.shape[1] <= 2 * k:
+        return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    at = np.sort(np.argpartition(-scores, k - 1, axis=1)[:, :k], axis=1)
+    best = np.take_along_axis(scores, at, 1)
+    tied = np.flatnonzero((scores >= best.min(axis=1)[:, None]).sum(axis=1) > k)
+    at = np.take_along_axis(at, np.argsort(-best, axis=1, kind="stable"), 1)
+    at[tied] = np.argsort(-scores[tied], axis=1, kind="stable")[:, :k]
+    return at
+
+
 def knn_edges(vectors: DataFrame, k: int = 3, id_col: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
     """``a`` < ``b``: an undirected edge between each row and the k rows of the highest dot product, ties to the smaller id. Rows
     without an id, and vectors that are null or hold a null, take no part; where lengths differ, a missing component counts as 0. Exact: blocks of rows meet in cells, all
@@ -43,7 +55,7 @@ def knn_edges(vectors: DataFrame, k: int = 3, id_col: str = "vec_id", vector: st
         for low in range(0, len(x), 512):
             s = x[low : low + 512] @ y.T
             s[ids[low : low + 512, None] == to[None, :]] = -np.inf
-            at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            at = first_places(s, k)
             score = np.take_along_axis(s, at, 1)
             parts.append(pd.DataFrame({"id": np.repeat(ids[low : low + 512], at.shape[1]), "to": to[at].ravel(), "score": score.ravel()}))
         out = pd.concat(parts)

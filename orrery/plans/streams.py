@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import layout as L
 from ..sources.buckets import Buckets
 from ..streaming.state import Keyed, follow, typed
 from .queries import query, table
@@ -47,3 +48,11 @@ def streamed_words(spark, sf_dir):
     """Words and pairs that users typed, with their counts."""
     rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select("text")
     return streamed(spark, rows, Keyed(bucket(spark), ["kind", "first", "second"]), typed)
+
+
+@query("""WITH f AS (SELECT source AS name, count(*) AS n FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id WHERE embedding IS NOT NULL GROUP BY 1), t AS (SELECT count(*) AS total FROM f)
+ SELECT coalesce(name, '(root)') AS name, n AS count FROM f ORDER BY n DESC, name LIMIT 12""")
+def map_legend(spark, sf_dir):
+    """Folders of a map of the embeddings, whose files are the documents of the same number."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    return L.legend(table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL").join(docs, "vec_id")).select("name", "count")
