@@ -142,6 +142,26 @@ def tree(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             return label
 
 
+def meet_cell(unit: np.ndarray, own: np.ndarray, copies: np.ndarray, side: np.ndarray, table: int, here: int, one: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of one cell, or of two of its blocks: how many others each links with, counting pairs that meet here first, and the least place that it reaches by links."""
+    home = own[:, table, 0] == here
+    counts, pairs = np.zeros(len(unit), np.int64), []
+    left, right = (np.arange(len(unit)),) * 2 if one else (np.flatnonzero(~side), np.flatnonzero(side))
+    for i, j in linked(unit[left], unit[right], least):
+        i, j = left[i], right[j]
+        keep = (home[i] | home[j]) & ((i < j) if one else True)
+        i, j = i[keep], j[keep]
+        if not len(i):
+            continue
+        pairs.append((i, j))
+        for at in range(0, len(i), AT_ONCE):
+            x, y = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
+            first = first_meeting(own[x], own[y], table, here)
+            np.add.at(counts, x[first], copies[y[first]])
+            np.add.at(counts, y[first], copies[x[first]])
+    return counts, tree(len(unit), pairs) if pairs else np.arange(len(unit))
+
+
 def embedding_links(distinct: DataFrame, least: float, tables: int, probes: int, blocks: int, scale: float, leaf: int = LEAF) -> DataFrame:
     """distinct: ``node`` long, ``label``, ``v`` array of float or double, ``copies`` long; usable vectors, each once. Returns rows ``a``, ``b``, ``n``: for each
     vector ``a`` (``b`` is null) how many others it links with, or a link of a tree of links (``n`` is null). Connectivity is that of all links."""
@@ -167,36 +187,38 @@ def embedding_links(distinct: DataFrame, least: float, tables: int, probes: int,
     key = ["label", "width", "t", "cell"]
     sizes = dealt.groupBy(*key).agg(F.count("*").alias("rows"), F.max("home").alias("used"))
     # Cells where nobody is at home need no work, nor do those of one vector.
-    sizes = materialize(sizes.filter("used AND rows > 1").select(*key, F.ceil(F.col("rows") / leaf).cast("long").alias("blocks")), "cells")
+    sizes = materialize(sizes.filter("used AND rows > 1").select(*key, "rows", F.ceil(F.col("rows") / leaf).cast("long").alias("blocks")), "cells")
     zero = F.lit(0).cast("long")
     placed = signed.select("node", "label", "v", "copies", "cells", F.size("v").alias("width"), meets.alias("m")).select("node", "label", "v", "copies", "cells", "width", "m.t", "m.cell")
-    placed = placed.join(sizes, key).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-    placed = placed.select(*key, F.least("mine", "block").alias("i"), F.greatest("mine", "block").alias("j"), (F.col("mine") > F.col("block")).alias("side"), "node", "v", "copies", "cells")
-
-    def meet(cell: pd.DataFrame) -> pd.DataFrame:
-        node, copies, side = cell["node"].to_numpy(), cell["copies"].to_numpy(), cell["side"].to_numpy()
-        unit, own = units(cell["v"]), np.stack(cell["cells"].to_numpy()).reshape(len(cell), tables, 1 + probes)
-        table, here, one = int(cell["t"].iat[0]), int(cell["cell"].iat[0]), cell["i"].iat[0] == cell["j"].iat[0]
-        home = own[:, table, 0] == here
-        counts, pairs = np.zeros(len(node), np.int64), []
-        left, right = (np.arange(len(node)),) * 2 if one else (np.flatnonzero(~side), np.flatnonzero(side))
-        for i, j in linked(unit[left], unit[right], least):
-            i, j = left[i], right[j]
-            keep = (home[i] | home[j]) & ((i < j) if one else True)
-            i, j = i[keep], j[keep]
-            if not len(i):
-                continue
-            pairs.append((i, j))
-            for at in range(0, len(i), AT_ONCE):
-                x, y = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
-                first = first_meeting(own[x], own[y], table, here)
-                np.add.at(counts, x[first], copies[y[first]])
-                np.add.at(counts, y[first], copies[x[first]])
-        root = tree(len(node), pairs)
-        some, moved = np.flatnonzero(counts), np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"a": np.concatenate([node[some], node[moved]]), "b": pd.array([*[None] * len(some), *node[root[moved]].tolist()], "Int64"), "n": pd.array([*counts[some].tolist(), *[None] * len(moved)], "Int64")})
-
-    return materialize(placed.groupBy(*key, "i", "j").applyInPandas(meet, "a long, b long, n long"), "meetings")
+    placed = placed.join(sizes.drop("rows"), key).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    # Small cells share a group, since each call of Python costs more than such a cell; blocks of a large one have groups of their own.
+    many = max(1, -(-(sizes.agg(F.sum("rows")).first()[0] or 0) // leaf))
+    i, j = F.least("mine", "block"), F.greatest("mine", "block")
+    group = F.when(F.col("blocks") > 1, F.xxhash64(*key, i, j)).otherwise(F.pmod(F.xxhash64(*key), F.lit(many)))
+    placed = placed.select(group.alias("group"), *key, i.alias("i"), j.alias("j"), (F.col("mine") > F.col("block")).alias("side"), "node", "v", "copies", "cells")
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["width", *key[:1], *key[2:], "i", "j"], ignore_index=True)
+        parts = frame[[*key, "i", "j"]].to_numpy()
+        stops = [*(np.flatnonzero((parts[1:] != parts[:-1]).any(1)) + 1).tolist(), len(frame)]
+        node, copies, side, size = (frame[c].to_numpy() for c in ("node", "copies", "side", "width"))
+        own = np.stack(frame["cells"].to_numpy()).reshape(len(frame), tables, 1 + probes)
+        found, start, width_at, unit = [], 0, -1, np.zeros((0, 0))
+        for stop in stops:
+            if size[start] != width_at:  # rows of one length stand together
+                low, high, width_at = start, int(np.searchsorted(size, size[start], "right")), size[start]
+                unit = units(frame["v"].iloc[low:high])
+            _, _, table, here, block, other = parts[start].tolist()
+            counts, root = meet_cell(unit[start - low : stop - low], own[start:stop], copies[start:stop], side[start:stop], int(table), int(here), block == other, least)
+            found.append((node[start:stop], counts, root))
+            start = stop
+        some = [(n[c > 0], c[c > 0]) for n, c, _ in found]
+        moved = [(n[m], n[r[m]]) for n, _, r in found if len(m := np.flatnonzero(r != np.arange(len(r))))]
+        ids, sums = (np.concatenate(x) for x in zip(*some, strict=True))
+        a, b = (np.concatenate(x) for x in zip(*moved, strict=True)) if moved else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"a": np.concatenate([ids, a]), "b": pd.array([*[None] * len(ids), *b.tolist()], "Int64"), "n": pd.array([*sums.tolist(), *[None] * len(a)], "Int64")})
+
+    return materialize(placed.groupBy("group").applyInPandas(meet, "a long, b long, n long"), "meetings")
 
 
 def near_embeddings(vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", tables: int = 2, probes: int = 8, blocks: int = 1, scale: float = 1.6, leaf: int = LEAF) -> DataFrame:
