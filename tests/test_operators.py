@@ -170,10 +170,12 @@ def test_sync_and_sources(spark, tmp_path):
     (root / "node_modules").mkdir()
     for name, body in {"src/config.ts": 'export const apiKey = "sk-secret-value"', ".env": "A=1", "node_modules/x.js": "x", "a.min.js": "x", "empty.ts": "", "bin.dat": "a\0b", "package.json": "{}"}.items():
         (root / name).write_text(body)
-    files, skipped = scan(spark, str(root))
-    kept = {r["path"]: r["content"] for r in files.collect()}
-    assert set(kept) == {"src/config.ts", "package.json"} and "sk-secret-value" not in kept["src/config.ts"]
-    assert {r["path"]: r["reason"] for r in skipped.collect()} == {"a.min.js": "generated or minified", "bin.dat": "binary content"}
+    seen = {"a.min.js": "generated or minified", "bin.dat": "binary content"}
+    for reader, more in (("spark", {}), ("tree", {".env": "secret file", "empty.ts": "empty"})):
+        files, skipped = scan(spark, str(root), reader=reader)
+        kept = {r["path"]: r["content"] for r in files.collect()}
+        assert set(kept) == {"src/config.ts", "package.json"} and "sk-secret-value" not in kept["src/config.ts"]
+        assert {r["path"]: r["reason"] for r in skipped.collect()} == seen | more
     (tmp_path / "d.txt").write_text("hello 5\nhello 7\nx 1\nbad line here\nworld z\n")
     assert [tuple(r) for r in read_dictionary(spark, str(tmp_path / "d.txt")).collect()] == [("hello", 7)]
     log = str(tmp_path / "log")
