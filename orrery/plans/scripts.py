@@ -32,8 +32,8 @@ def quoted(text: Column, of: int) -> Column:
     return F.replace(F.replace(safe, F.lit("\\"), F.lit("/")), F.lit("\x00"), F.lit(" ")) if of == 3 else safe
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``path``, ``content``, one for each document, in one of four languages."""
+def files(spark: SparkSession, sf_dir: str, of: int | None = None) -> DataFrame:
+    """``doc_id``, ``path``, ``content``, one for each document, in one of four languages, or all in one."""
     i = F.col("doc_id").cast("string")
     path = content = F.lit(None).cast("string")
     for k, (name, shape) in enumerate(SHAPES):
@@ -41,7 +41,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         for at, template in enumerate((name, shape)):
             parts = [F.concat_ws("", *(x for j, own in enumerate(p.replace("{{", "{").replace("}}", "}").split("{i}")) for x in ([i] if j else []) + [F.lit(own)])) for p in template.split("{t}")]
             made[at] = F.concat(*(x for j, p in enumerate(parts) for x in ([quoted(F.coalesce("text", F.lit("")), k)] if j else []) + [p]))
-        own = F.pmod("doc_id", F.lit(4)) == k
+        own = F.pmod("doc_id", F.lit(4)) == k if of is None else F.lit(of == k)
         path, content = F.when(own, made[0]).otherwise(path), F.when(own, made[1]).otherwise(content)
     return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), content.alias("content"))
 
@@ -96,10 +96,10 @@ def scope_chunks(spark, sf_dir):
 
 
 @query("""SELECT doc_id, md5('public class C' || doc_id || chr(10) || '  {' || chr(10) || '    private string held = @"' || replace(replace(coalesce(text, ''), chr(13), ' '), '"', '""') || '";' || chr(10)
- || '    public int Size => held.Length;' || chr(10) || '    public bool Run(int a,' || chr(10) || '        int b)' || chr(10) || '    {' || chr(10) || '      return Go(a, "class No { }");' || chr(10) || '    }' || chr(10) || '  }') AS body_md5 FROM documents WHERE doc_id % 4 = 1""")
+ || '    public int Size => held.Length;' || chr(10) || '    public bool Run(int a,' || chr(10) || '        int b)' || chr(10) || '    {' || chr(10) || '      return Go(a, "class No { }");' || chr(10) || '    }' || chr(10) || '  }') AS body_md5 FROM documents""")
 def class_bodies(spark, sf_dir):
-    """The text of each C# class, which holds a whole document."""
-    rows = files(spark, sf_dir).filter(F.col("path").endswith(".cs"))
+    """The text of a C# class for each document, which holds it whole."""
+    rows = files(spark, sf_dir, 1)
     rows = rows.withColumn("facts", S.facts(F.col("path"), F.col("content")))
     found = rows.select("doc_id", F.explode(K.scoped_ranges(F.col("content"), F.col("facts"))).alias("r"))
     return found.filter("r.kind = 'code_class'").select("doc_id", F.md5("r.body").alias("body_md5"))
