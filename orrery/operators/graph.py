@@ -71,14 +71,18 @@ def traverse(edges: DataFrame, seeds: DataFrame, most_hops: int = 3, most: int |
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node``, ``component`` (its least node). Labels spread along edges and jump to their root's label until nothing changes."""
+    """``node``, ``component`` (its least node). Labels spread along edges, a label's own node takes the least that any node of that label has met, and all jump twice towards their
+    root's label, until nothing changes: groups that touch merge at once, so rounds grow with the logarithm of a chain's length."""
     near = checkpoint(both_ways(edges))
     state = checkpoint(near.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
     while True:
         seen = near.join(state.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
-        step = state.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "seen").alias("component"))
+        step = checkpoint(state.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "seen").alias("component")))
+        met = step.groupBy(F.col("old").alias("node")).agg(F.min("component").alias("met"))
+        step = checkpoint(step.join(met, "node", "left").select("node", "old", F.least("component", "met").alias("component")))
         up = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = checkpoint(step.join(up, "component").select("node", "old", F.least("component", "root").alias("component")))
+        far = step.select(F.col("node").alias("root"), F.col("component").alias("top"))
+        new = checkpoint(step.join(up, "component").join(far, "root").select("node", "old", F.least("component", "root", "top").alias("component")))
         state = new.select("node", "component")
         if not new.filter("old <> component").limit(1).count():
             break

@@ -271,8 +271,10 @@ def communities(files: DataFrame, links: DataFrame, most: int = 24, listed: int
     member = G.checkpoint(G.components(links, rows.select(F.col("path").alias("node"))).select(F.col("node").alias("path"), "component").join(rows, "path"))
     mode = lambda c: member.groupBy("component", c).agg(F.count("*").alias("n")).groupBy("component").agg(F.min_by(c, F.struct(-F.col("n"), F.col(c))).alias(c))
     order = Window.partitionBy("component").orderBy(F.desc("importance"), "path")
-    ranked = member.withColumn("rn", F.row_number().over(order))
-    head = ranked.groupBy("component").agg(F.count("*").alias("size"), F.max(F.when(F.col("rn") == 1, F.col("path"))).alias("seed"), F.transform(F.sort_array(F.collect_list(F.when(F.col("rn") <= listed, F.struct("rn", "path")))), lambda x: x["path"]).alias("file_paths"))
+    # Only the listed ones are ranked, so tasks keep that many of a group before they are shuffled.
+    ranked = member.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= max(listed, 1))
+    first = ranked.groupBy("component").agg(F.max(F.when(F.col("rn") == 1, F.col("path"))).alias("seed"), F.transform(F.sort_array(F.collect_list(F.when(F.col("rn") <= listed, F.struct("rn", "path")))), lambda x: x["path"]).alias("file_paths"))
+    head = member.groupBy("component").agg(F.count("*").alias("size")).join(first, "component")
     out = head.join(mode("folder"), "component").join(mode("layer"), "component").drop("component")
     return out.orderBy(F.desc("size"), "seed").limit(most)
 
