@@ -187,15 +187,41 @@ def merge_symbols(files: DataFrame, nodes: DataFrame, most: int = 40) -> DataFra
     return rows.withColumns({"symbols": F.coalesce("_symbols", "symbols"), "imports": F.coalesce("_imports", "imports")}).drop("_symbols", "_imports")
 
 
+def call_ends(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes, edges: an extraction. Calls (``a``, the first caller by id, ``path``, ``key``) and declarations (``b``, ``path``, ``key``), each once; they meet by key, a name in small letters."""
+    called = nodes.filter("kind = 'call'").select(F.col("id").alias("call"), "path", F.lower("label").alias("key"))
+    caller = edges.filter("relation = 'calls'").groupBy(F.col("b").alias("call")).agg(F.min("a").alias("a"))
+    target = nodes.filter(~F.col("kind").isin("file", "import", "call", "rationale")).select(F.col("id").alias("b"), "path", F.lower("label").alias("key"))
+    told = lambda rows: rows.filter("path is not null and key is not null").distinct()
+    return told(called.join(caller, "call").select("a", "path", "key")), told(target)
+
+
+def file_calls(nodes: DataFrame, edges: DataFrame) -> G.Bundles:
+    """The file to file calls of :func:`resolve_calls`, not expanded: files' nodes by the names that they call and declare."""
+    called, declared = call_ends(nodes, edges)
+    source = called.select(file_id(F.col("path")).alias("a"), "key").distinct()
+    return G.Bundles(G.checkpoint(source), G.checkpoint(declared.select("key", file_id(F.col("path")).alias("b")).distinct()))
+
+
+def symbol_calls(nodes: DataFrame, edges: DataFrame, block: int = 4096) -> DataFrame:
+    """``a``, ``b``: the symbol calls of :func:`resolve_calls`. Callers and declarations are made distinct before they meet, so that no call is shuffled; names that many files share meet in
+    blocks."""
+    called, declared = (G.checkpoint(rows) for rows in call_ends(nodes, edges))
+    # An id tells the path and the name, so a pair comes from one name. Should an id stand for several paths, a pair counts if any two of these differ.
+    ends = lambda rows, id_, p, q: rows.groupBy(id_, "key").agg(F.min("path").alias(p), F.max("path").alias(q))
+    left, right = G.checkpoint(ends(called, "a", "_p", "_q")), G.checkpoint(ends(declared, "b", "_r", "_s"))
+    sizes = lambda rows, n: rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    blocks = G.checkpoint(sizes(left, "_m").join(sizes(right, "_n"), "key"))
+    met = G.crossed(left.join(blocks, "key"), right.join(blocks, "key"), ["key"])
+    return met.filter("_p <> _r or _p <> _q or _r <> _s").select("a", "b")
+
+
 def resolve_calls(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes, edges: an extraction. Calls of a symbol that another file declares under the same name, whatever the case: edges from the caller (the first that
-    has the call, by id) to the symbol; and, lifted, from file to file."""
-    called = nodes.filter("kind = 'call'").select(F.col("id").alias("call"), F.col("path").alias("from_path"), F.lower("label").alias("key"))
-    caller = edges.filter("relation = 'calls'").groupBy(F.col("b").alias("call")).agg(F.min("a").alias("a"))
-    target = nodes.filter(~F.col("kind").isin("file", "import", "call", "rationale")).select(F.col("id").alias("b"), F.col("path").alias("to_path"), F.lower("label").alias("key"))
-    found = called.join(caller, "call").join(target, "key").filter("from_path <> to_path").select("a", "b", "from_path", "to_path").distinct()
+    has the call, by id) to the symbol; and, lifted, from file to file. Their number grows with the square of the files that share a name; :func:`file_calls` has the lifted ones
+    unexpanded."""
     type_ = F.lit("Calls").alias("type")
-    return found.select("a", "b", type_).distinct(), found.select(file_id(F.col("from_path")).alias("a"), file_id(F.col("to_path")).alias("b"), type_).distinct()
+    return symbol_calls(nodes, edges).select("a", "b", type_), G.expanded(file_calls(nodes, edges)).select("a", "b", type_)
 
 
 def ancestors(path: Column) -> Column:
@@ -256,15 +282,17 @@ def import_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return made.join(nodes.select("id", "label"), "id").select("path", "label").distinct()
 
 
-def file_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``a``, ``b``: paths of files that an edge links, through their nodes."""
+def file_links(edges: DataFrame | G.Bundles, nodes: DataFrame) -> DataFrame | G.Bundles:
+    """``a``, ``b``: paths of files that an edge links, through their nodes; of bundles (of :func:`file_calls`) bundles."""
+    if isinstance(edges, G.Bundles):
+        return G.Bundles(edges.sources.select(path_of(F.col("a")).alias("a"), "key"), edges.targets.select("key", path_of(F.col("b")).alias("b")))
     ends = edges.filter(F.col("type").isin(LINKS)).select("a", "b").distinct()
     left = paths_of(ends.withColumnRenamed("a", "id"), nodes).select(F.col("path").alias("from"), F.col("b").alias("id"))
     both = paths_of(left, nodes).select(F.col("from").alias("a"), F.col("path").alias("b"))
     return both.filter("a is not null and b is not null and a <> b").distinct()
 
 
-def communities(files: DataFrame, links: DataFrame, most: int = 24, listed: int = 40) -> DataFrame:
+def communities(files: DataFrame, links: DataFrame | G.Bundles, most: int = 24, listed: int = 40) -> DataFrame:
     """files: ``path``, ``role``, ``importance``; links: ``a``, ``b`` paths. ``seed`` (the most important file), ``size``, ``folder`` and ``layer`` (the most frequent ones; ties to
     the lesser name), ``file_paths`` (the most important ones): linked files, the largest groups first; a file without links is a group."""
     rows = files.select("path", C.top_folder(F.col("path")).alias("folder"), P.layer(F.col("role")).alias("layer"), F.coalesce("importance", F.lit(0.0)).alias("importance"))
@@ -279,9 +307,9 @@ def communities(files: DataFrame, links: DataFrame, most: int = 24, listed: int
     return out.orderBy(F.desc("size"), "seed").limit(most)
 
 
-def hubs(edges: DataFrame, nodes: DataFrame, files: DataFrame, least: int = 2, most: int = 24) -> tuple[DataFrame, DataFrame]:
+def hubs(edges: DataFrame | G.Bundles, nodes: DataFrame, files: DataFrame, least: int = 2, most: int = 24) -> tuple[DataFrame, DataFrame]:
     """The best hubs (``path``, ``label``, ``layer``, ``degree``), one a file, and how many nodes of each layer there were before that (``layer``, ``n``)."""
-    degree = G.degree(edges.select("a", "b")).filter(F.col("degree") >= least).withColumnRenamed("node", "id")
+    degree = G.degree(edges).filter(F.col("degree") >= least).withColumnRenamed("node", "id")
     found = paths_of(degree, nodes).join(nodes.select("id", "label"), "id", "left").filter("path is not null").join(files.select("path", "role"), "path", "left")
     found = found.withColumn("layer", P.hub_layer(F.col("path"), F.coalesce("role", F.lit("Unknown"))))
     once = F.row_number().over(Window.partitionBy(F.lower("path")).orderBy(F.desc("degree"), "id"))

@@ -9,6 +9,7 @@ from ..functions import chunks as K
 from ..functions import code as C
 from ..functions import files as P
 from ..functions import text as X
+from ..operators import graph as G
 from ..operators import indexing as N
 from ..operators import project as J
 from ..operators import retrieval as RT
@@ -182,7 +183,7 @@ def hub_layers(spark, sf_dir):
 @query(f"SELECT path, degree, {HUB_LAYER} AS layer FROM (SELECT path, degree, role FROM ({DEGREES}) JOIN ({ROLES}) USING (path)) ORDER BY degree DESC, path LIMIT 24")
 def file_hubs(spark, sf_dir):
     files = summed(spark, sf_dir)
-    return ST.hubs(ST.resolve_calls(*ST.extraction(files, "lines"))[1], ST.file_graph(files, "demo")[0], files)[0].select("path", "degree", "layer")
+    return ST.hubs(ST.file_calls(*ST.extraction(files, "lines")), ST.file_graph(files, "demo")[0], files)[0].select("path", "degree", "layer")
 
 
 @query(f"""WITH m AS (SELECT path, regexp_extract(path, '^([^/]*(/[^/]*)?)', 1) AS folder, doc_id % 5 AS g, {LAYER} AS layer, importance FROM ({ROLES})),
