@@ -177,7 +177,7 @@ DEGREES = f"SELECT path, count(*) AS degree FROM (SELECT a AS path FROM ({LINKED
 def hub_layers(spark, sf_dir):
     """Layers of the nodes of degree 2 or more, counted before one a file is kept."""
     files = summed(spark, sf_dir)
-    return ST.hubs(ST.resolve_calls(*ST.extraction(files, "lines"))[1], ST.file_graph(files, "demo")[0], files)[1]
+    return ST.hubs(ST.file_calls(*ST.extraction(files, "lines")), ST.file_graph(files, "demo")[0], files)[1]
 
 
 @query(f"SELECT path, degree, {HUB_LAYER} AS layer FROM (SELECT path, degree, role FROM ({DEGREES}) JOIN ({ROLES}) USING (path)) ORDER BY degree DESC, path LIMIT 24")
