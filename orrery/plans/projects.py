@@ -131,7 +131,7 @@ LINKED = f"SELECT DISTINCT a.path AS a, b.path AS b FROM ({CODE}) a JOIN ({CODE}
 @query(f"SELECT 'file:' || a AS a, 'file:' || b AS b FROM ({LINKED})")
 def resolved_calls(spark, sf_dir):
     """File to file calls through the extraction."""
-    return ST.resolve_calls(*ST.extraction(code(spark, sf_dir), "lines"))[1].select("a", "b")
+    return G.expanded(ST.file_calls(*ST.extraction(code(spark, sf_dir), "lines")))
 
 
 @query(f"""SELECT DISTINCT 'symbol:' || a.path || '#fn' || (a.doc_id % 40) AS a, 'symbol:' || b.path || '#fn' || (b.doc_id % 40) AS b FROM ({CODE}) a JOIN ({CODE}) b ON (a.doc_id + 3) % 40 = b.doc_id % 40 AND a.path <> b.path""")
