@@ -136,7 +136,7 @@ def resolved_calls(spark, sf_dir):
 
 @query(f"""SELECT DISTINCT 'symbol:' || a.path || '#fn' || (a.doc_id % 40) AS a, 'symbol:' || b.path || '#fn' || (b.doc_id % 40) AS b FROM ({CODE}) a JOIN ({CODE}) b ON (a.doc_id + 3) % 40 = b.doc_id % 40 AND a.path <> b.path""")
 def symbol_calls(spark, sf_dir):
-    return ST.resolve_calls(*ST.extraction(code(spark, sf_dir), "lines"))[0].select("a", "b")
+    return ST.symbol_calls(*ST.extraction(code(spark, sf_dir), "lines"))
 
 
 _FOLDERS = "string_split(regexp_extract({}, '^(.*/)?[^/]*$', 1), '/')"
