@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from orrery.operators import graph as G
 from orrery.operators import structure as ST
+from orrery.operators import vectors as V
 
 
 def test_components_of_long_chains_settle_in_few_rounds(spark, monkeypatch):
@@ -57,3 +59,18 @@ def test_symbol_calls_of_a_shared_name(spark):
     # Made distinct before they meet: what a call puts out is neither aggregated nor shuffled.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_neighbours_without_copies_of_the_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-3, 4, size=(90, 5)).astype(float)  # whole numbers: exact scores with many ties
+    given = [(i * 3, [float(v) for v in row]) for i, row in enumerate(x)] + [(1, None), (None, [1.0] * 5), (2, [1.0, None, 0.0, 0.0, 0.0]), (4, [2.0])]
+    ids, full = np.array([3 * i for i in range(90)] + [4]), np.vstack([x, [2, 0, 0, 0, 0]])
+    want = set()
+    for i, a in enumerate(ids):
+        order = sorted((-float(full[i] @ full[j]), b) for j, b in enumerate(ids) if b != a)
+        want |= {(min(a, b), max(a, b)) for _, b in order[:2]}
+    found = V.knn_edges(spark.createDataFrame(given, "vec_id long, embedding array<float>"), 2, block=16)
+    assert {tuple(r) for r in found.collect()} == want
+    # Rows used to be exploded into a cell for each block of the others, all of which were shuffled.
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
