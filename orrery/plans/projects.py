@@ -293,14 +293,14 @@ def prompt_names(spark, sf_dir):
 
 def project_of(spark: SparkSession, sf_dir: str) -> RT.Project:
     """The made-up project with its graph; vectors by equal ids."""
-    files = ST.G.checkpoint(summed(spark, sf_dir))
+    files = G.checkpoint(summed(spark, sf_dir))
     nodes, edges = ST.extraction(files)
-    nodes, edges = ST.G.checkpoint(ST.merged(nodes, edges)[0]), ST.G.checkpoint(ST.resolve_calls(nodes, edges)[1])
+    nodes, edges = G.checkpoint(ST.merged(nodes, edges)[0]), ST.file_calls(nodes, edges)
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     chunks = N.chunked(files.drop("doc_id").withColumn("n", F.regexp_extract("path", r"(\d+)[^/]*$", 1).cast("long")), "demo")
     chunks = chunks.withColumn("n", F.regexp_extract("path", r"(\d+)[^/]*$", 1).cast("long")).join(vectors, F.col("n") == F.col("vec_id"), "left").drop("n", "vec_id")
     links = ST.file_links(edges, nodes)
-    return RT.Project(files, nodes, edges, ST.G.checkpoint(chunks), links, ST.hubs(edges, nodes, files)[0], J.entry_points(files), ST.communities(files, links))
+    return RT.Project(files, nodes, edges, G.checkpoint(chunks), links, ST.hubs(edges, nodes, files)[0], J.entry_points(files), ST.communities(files, links))
 
 
 def retrieved(spark: SparkSession, sf_dir: str, engine: str) -> DataFrame:

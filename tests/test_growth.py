@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from orrery.operators import graph as G
+from orrery.operators import retrieval as RT
 from orrery.operators import structure as ST
 from orrery.operators import vectors as V
 
@@ -74,3 +75,15 @@ def test_neighbours_without_copies_of_the_vectors(spark):
     assert {tuple(r) for r in found.collect()} == want
     # Rows used to be exploded into a cell for each block of the others, all of which were shuffled.
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_projects_links_need_no_pairs(spark):
+    files = spark.createDataFrame([(f"f{i}.ts", f"function go{i}() {{\n  go{i // 2}(1);\n  help();\n}}\n") for i in range(9)] + [("help.ts", "function help() {}\n")], "path string, content string")
+    nodes, edges = ST.extraction(files, "lines")
+    bundles, merged = ST.file_calls(nodes, edges), ST.merged(nodes, edges)[0]
+    plain = ST.resolve_calls(nodes, edges)[1]
+    seeds = spark.createDataFrame([("f4.ts",)], "path string")
+    links = ST.file_links(bundles, merged)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(RT.near_files(seeds, links)) == rows(RT.near_files(seeds, ST.file_links(plain, merged)))
+    assert rows(G.expanded(links)) == rows(ST.file_links(plain, merged))
